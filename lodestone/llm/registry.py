@@ -6,16 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm import exact_search
+from lodestone.llm.embedding_dedup import op8_embedding_near_dedup
 from lodestone.llm.encoding import op2_bpe_round_trip
+from lodestone.llm.exact_search import op4_exact_top_k
+from lodestone.llm.packing import op10_best_fit_packing
+from lodestone.llm.simhash import op6_simhash_near_dedup
+from lodestone.llm.suffix_dedup import op5_suffix_array_dedup
 from lodestone.llm.token_counts import op7_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op4_exact_top_k": op4_exact_top_k,
+        "op5_suffix_array_dedup": op5_suffix_array_dedup,
+        "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_token_counts": op7_token_counts,
+        "op8_embedding_near_dedup": op8_embedding_near_dedup,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_top_k": exact_search.ORACLE}

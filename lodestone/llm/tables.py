@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import reachable_by_workers
+
 #: An Arrow batch sent to a Python worker holds at most so many bytes or rows, however long the texts are.
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 1000
 
@@ -24,6 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes and rows; smaller bounds that the session has stay."""
+    reachable_by_workers(spark)
     for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
         held = spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b")
         if not held.isdigit() or not 0 < int(held) <= most:
