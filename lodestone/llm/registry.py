@@ -11,19 +11,23 @@ from lodestone.llm.embedding_dedup import op8_embedding_near_dedup
 from lodestone.llm.encoding import op2_bpe_round_trip
 from lodestone.llm.exact_search import op4_exact_top_k
 from lodestone.llm.packing import op10_best_fit_packing
+from lodestone.llm.quality import op1_quality_attention
 from lodestone.llm.simhash import op6_simhash_near_dedup
 from lodestone.llm.suffix_dedup import op5_suffix_array_dedup
 from lodestone.llm.token_counts import op7_token_counts
+from lodestone.llm.toxicity import op9_toxicity_weak_supervision
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_attention": op1_quality_attention,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op4_exact_top_k": op4_exact_top_k,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_token_counts": op7_token_counts,
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
+        "op9_toxicity_weak_supervision": op9_toxicity_weak_supervision,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
