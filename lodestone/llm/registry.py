@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import exact_search
+from lodestone.llm import exact_search, line_dedup
 from lodestone.llm.embedding_dedup import op8_embedding_near_dedup
 from lodestone.llm.encoding import op2_bpe_round_trip
 from lodestone.llm.exact_search import op4_exact_top_k
+from lodestone.llm.line_dedup import op3_line_dedup
 from lodestone.llm.packing import op10_best_fit_packing
 from lodestone.llm.quality import op1_quality_attention
 from lodestone.llm.simhash import op6_simhash_near_dedup
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_attention": op1_quality_attention,
         "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op3_line_dedup": op3_line_dedup,
         "op4_exact_top_k": op4_exact_top_k,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
@@ -33,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": exact_search.ORACLE}
+    return {"op3_line_dedup": line_dedup.ORACLE, "op4_exact_top_k": exact_search.ORACLE}

@@ -360,5 +360,35 @@ def remove_repeats(df: DataFrame, span: int = SPAN) -> DataFrame:
     return map_rows(rows.select(F.col("doc_id").cast("long"), "text", "spans"), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def _whole_characters(text: bytes, spans: list[dict]) -> list[dict]:
+    """The removed runs, shrunk to whole UTF-8 characters."""
+    change = np.zeros(len(text) + 1, np.int64)
+    np.add.at(change, np.minimum([s["lo"] for s in spans], len(text)), 1)
+    np.add.at(change, np.minimum([s["hi"] for s in spans], len(text)), -1)
+    starts = np.append(np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80), len(text))
+    lo, hi = _runs(np.cumsum(change[:-1]) > 0)
+    lo, hi = starts[np.searchsorted(starts, lo)], starts[np.searchsorted(starts, hi + 1, "right") - 1]
+    return [{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if a < b]
+
+
+def cut_repeats(df: DataFrame, span: int = SPAN) -> DataFrame:
+    """``df(doc_id, text, ...)`` with repeated strings cut out of ``text``, whole characters only; other columns stay.
+
+    Nulls stay null; other cases are those of :func:`remove_repeats`.
+    """
+    rows = with_spans(df, span)
+    own, place = df.columns, df.columns.index("text")
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        names = batch.schema.names
+        texts, spans = batch.column(names.index("text")), batch.column(names.index("spans")).to_pylist()
+        got = [t if t is None or not s else _kept(t.encode(), _whole_characters(t.encode(), s))[0].decode() for t, s in zip(texts.to_pylist(), spans, strict=True)]
+        columns = [batch.column(names.index(c)) for c in own]
+        columns[place] = pa.array(got, texts.type)
+        yield pa.RecordBatch.from_arrays(columns, own)
+
+    return map_rows(rows.select(*own, "spans"), work, df.schema)
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
