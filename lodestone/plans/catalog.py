@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from lodestone.plans import graph_queries, ml_queries, text_queries, vector_queries
+
+_MODULES = (text_queries, vector_queries, graph_queries, ml_queries)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: q for m in _MODULES for k, q in m.ORACLE.items()}
