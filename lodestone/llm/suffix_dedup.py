@@ -15,9 +15,11 @@ a merge scan against each existing level finds those that start there already; w
 is new becomes a level of its own, and levels of equal size merge into one of twice
 the size, so a bucket keeps logarithmically many.
 
-*Hot anchors.*  Anchors in a large share of a bounded sample of documents (this only
-chooses the route, never the result) are not gathered in one task: their strings
-are reduced to first starts where they are read, and then by hash.
+*Hot grams.*  Hashes in a noticeable share of a bounded sample of documents (this only
+chooses the route, never the result) become anchors only of strings that hold no
+other hash.  Such strings lie inside passages that very many documents share, so
+their blocks have few distinct texts: the first block of each text, found by
+aggregation, goes to the index with the others, and every later one repeats it.
 """
 
 from __future__ import annotations
@@ -40,13 +42,14 @@ SLICE_BYTES = 1 << 20
 BUCKET_BLOCKS, BATCH_BLOCKS = 8192, 2048
 #: Anchors of a partition of the first exchange, about.
 PARTITION_ANCHORS = 1 << 20
-#: Documents sampled for hot anchors, and the share of them that makes an anchor hot.
-SAMPLE_DOCUMENTS, HOT_SHARE = 4000, 0.01
+#: Documents sampled for hot grams (of at most so many bytes), and how many of them make a gram hot.
+SAMPLE_DOCUMENTS, SAMPLE_DOCUMENT_BYTES, HOT_DOCUMENTS = 3000, 16_384, 8
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
-_LOW = np.uint64(0xFFFFFFFF)
+_LOW, _TOP = np.uint64(0xFFFFFFFF), np.uint64(1 << 63)
+_SCREEN_BITS = 22
 
 
 def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -75,39 +78,58 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(values) - width + 1], low[width - step :][: len(values) - width + 1])
 
 
-def blocks(texts: list[bytes], span: int, gram: int) -> tuple[np.ndarray, ...]:
-    """``row, first, last, anchor, hash`` of each block of each text; offsets count from the text's start.
+class HotGrams:
+    """Sorted hashes behind a small screen of their low bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes.astype(np.uint64))
+        self.screen = np.zeros(1 << _SCREEN_BITS, bool)
+        self.screen[(self.hashes & np.uint64((1 << _SCREEN_BITS) - 1)).astype(np.int64)] = True
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Positions of hot hashes."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64)
+        maybe = np.flatnonzero(self.screen[(hashes & np.uint64((1 << _SCREEN_BITS) - 1)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
+        return maybe[self.hashes[at] == hashes[maybe]]
+
+
+def blocks(texts: list[bytes], span: int, gram: int, hot: HotGrams) -> tuple[np.ndarray, ...]:
+    """``row, first, last, anchor, hash, is_hot`` of each block of each text; offsets count from the text's start.
 
     Long texts are read in parts that overlap; a block at a border may come in two halves.
     """
     if max(map(len, texts), default=0) <= 4 * SLICE_BYTES:
-        return _blocks(texts, span, gram)
+        return _blocks(texts, span, gram, hot)
     found = []
     for i, t in enumerate(texts):
         for at in range(0, max(len(t) - span + 1, 1), SLICE_BYTES):
-            row, first, last, anchor, hashes = _blocks([t[at : at + SLICE_BYTES + span - 1]], span, gram)
-            found.append((row + i, first + at, last + at, anchor + at, hashes))
+            row, first, last, anchor, hashes, is_hot = _blocks([t[at : at + SLICE_BYTES + span - 1]], span, gram, hot)
+            found.append((row + i, first + at, last + at, anchor + at, hashes, is_hot))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _blocks(texts: list[bytes], span: int, gram: int) -> tuple[np.ndarray, ...]:
+def _blocks(texts: list[bytes], span: int, gram: int, hot: HotGrams) -> tuple[np.ndarray, ...]:
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < span or sizes.max() < span:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(bool)
     begins = np.cumsum(sizes) - sizes
     hashes = _gram_hashes(data, gram)
-    tagged = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)  # equal high halves: leftmost
-    anchor = (_window_minima(tagged, span - gram + 1) & _LOW).astype(np.int64)
-    row = np.repeat(np.arange(len(texts)), np.maximum(sizes - span + 1, 0))
+    # Smallest is: not hot, then the smallest high half of the hash, then the leftmost.
+    tagged = ((hashes >> np.uint64(1)) & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
+    tagged[hot(hashes)] |= _TOP
+    least = _window_minima(tagged, span - gram + 1)
     count = np.maximum(sizes - span + 1, 0)
+    row = np.repeat(np.arange(len(texts)), count)
     start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + begins[row]
-    at = anchor[start]
-    edge = np.flatnonzero((row[1:] != row[:-1]) | (at[1:] != at[:-1]))
+    least = least[start]
+    edge = np.flatnonzero((row[1:] != row[:-1]) | (least[1:] != least[:-1]))
     first, last = np.concatenate([[0], edge + 1]), np.concatenate([edge, [len(row) - 1]])
-    own = row[first]
-    return own, start[first] - begins[own], start[last] - begins[own], at[first] - begins[own], hashes[at[first]]
+    own, at = row[first], (least[first] & _LOW).astype(np.int64)
+    return own, start[first] - begins[own], start[last] - begins[own], at - begins[own], hashes[at], least[first] >= _TOP
 
 
 def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -208,36 +230,29 @@ def _search_bucket(bucket: pd.DataFrame, span: int) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": np.concatenate(out_doc), "lo": np.concatenate(out_lo), "hi": np.concatenate(out_hi)})
 
 
-def _hot_anchors(docs: DataFrame, span: int, gram: int, total: int) -> np.ndarray:
-    """Anchor hashes in at least HOT_SHARE of a sample; at most (anchors of a document) / HOT_SHARE of them."""
+def _hot_grams(docs: DataFrame, gram: int, total: int) -> HotGrams:
+    """Hashes that HOT_DOCUMENTS or more of a bounded sample of documents hold."""
     share = min(1.0, SAMPLE_DOCUMENTS / max(total, 1))
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for _, texts in _sliced(batch):
-            row, _, _, _, hashes = blocks(texts, span, gram)
-            pair = np.unique(np.rec.fromarrays([row, hashes.view(np.int64)])) if len(row) else None
-            yield pa.RecordBatch.from_arrays([pa.array(pair["f1"] if pair is not None else np.zeros(0, np.int64))], ["hash"])
-
-    sampled = docs.sample(share, 7) if share < 1 else docs
-    counts = map_rows(sampled, work, "hash long").groupBy("hash").count()
-    least = max(50, int(HOT_SHARE * min(total, SAMPLE_DOCUMENTS)))
-    return np.sort(np.array([r["hash"] for r in counts.filter(F.col("count") >= least).collect()], np.int64))
-
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.unique(_gram_hashes(np.frombuffer(t, np.uint8), gram)) for b in batches for t in b.column(0).cast(pa.binary()).to_pylist()]
+        if held:
+            hashes, count = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[count >= HOT_DOCUMENTS].view(np.int64))], ["hash"])
 
-def _is_hot(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    if not len(hot):
-        return np.zeros(len(hashes), bool)
-    at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
-    return hot[at] == hashes
+    short = docs.filter(F.octet_length("text") <= SAMPLE_DOCUMENT_BYTES)
+    sampled = short.sample(share, 7) if share < 1 else short
+    found = sampled.select("text").limit(2 * SAMPLE_DOCUMENTS).repartition(1).mapInArrow(work, "hash long").collect()
+    return HotGrams(np.array([r["hash"] for r in found], np.int64).view(np.uint64))
 
 
 def _shared_anchors(docs: DataFrame, span: int, gram: int, hot, n_bytes: int) -> DataFrame:
-    """``doc_id, anchors array<int>`` of anchors whose hash occurs more than once, hot ones left out."""
+    """``doc_id, anchors array<int>`` of anchors whose hash is not hot and occurs more than once."""
 
     def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for ids, texts in _sliced(batch):
-            row, _, _, anchor, hashes = blocks(texts, span, gram)
-            keep = ~_is_hot(hashes.view(np.int64), hot.value)
+            row, _, _, anchor, hashes, is_hot = blocks(texts, span, gram, hot.value)
+            keep = ~is_hot
             yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(ids[row[keep]].astype(np.int64)), pa.array(anchor[keep].astype(np.int32))], ["hash", "doc_id", "anchor"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,14 +269,14 @@ def _shared_anchors(docs: DataFrame, span: int, gram: int, hot, n_bytes: int) ->
     return found.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
 
 
-def _bodies(docs: DataFrame, span: int, gram: int) -> DataFrame:
+def _bodies(docs: DataFrame, span: int, gram: int, hot) -> DataFrame:
     """``hash, doc_id, first, body``: the blocks of the listed anchors with their bytes."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         listed = batch.column(2).to_pylist()
         done = 0
         for ids, texts in _sliced(batch):
-            row, first, last, anchor, hashes = blocks(texts, span, gram)
+            row, first, last, anchor, hashes, _ = blocks(texts, span, gram, hot.value)
             wanted = [set(x) for x in listed[done : done + len(texts)]]
             done += len(texts)
             pick = [i for i, (r, a) in enumerate(zip(row.tolist(), anchor.tolist(), strict=True)) if a in wanted[r]]
@@ -272,32 +287,38 @@ def _bodies(docs: DataFrame, span: int, gram: int) -> DataFrame:
     return map_rows(docs.select("doc_id", "text", "anchors"), work, "hash long, doc_id long, first long, body binary")
 
 
-def _hot_spans(docs: DataFrame, span: int, gram: int, hot) -> DataFrame:
-    """``doc_id, lo, hi`` of the strings at hot anchors: first starts by slice, then over all slices."""
+def _hot_blocks(docs: DataFrame, span: int, gram: int, hot) -> DataFrame:
+    """``hash, doc_id, first, body, copy_of_batch`` of hot blocks.
+
+    ``copy_of_batch`` marks all but the first block of each text in a batch.
+    """
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for ids, texts in _sliced(batch):
-            row, first, last, _, hashes = blocks(texts, span, gram)
-            mine = np.flatnonzero(_is_hot(hashes.view(np.int64), hot.value))
-            row, first, count = row[mine], first[mine], (last - first + 1)[mine]
-            block = np.repeat(np.arange(len(mine)), count)
-            start = first[block] + np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
-            if not len(start):
-                continue
-            sizes = np.array([len(t) for t in texts], np.int64)
-            at = (np.cumsum(sizes) - sizes)[row[block]] + start
-            whole = _gram_hashes(np.frombuffer(b"".join(texts), np.uint8), span)[at]
-            doc = ids[row[block]].astype(np.int64)
-            order = np.lexsort([start, doc, whole])
-            same = np.zeros(len(order), bool)
-            same[1:] = (whole[order][1:] == whole[order][:-1]) & ((doc[order][1:] != doc[order][:-1]) | (start[order][1:] != start[order][:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[mine][block][order].view(np.int64)), pa.array(whole[order].view(np.int64)), pa.array(doc[order]), pa.array(start[order]), pa.array(same)], ["hash", "whole", "doc_id", "lo", "known"])
-
-    rows = stored(map_rows(docs, work, "hash long, whole long, doc_id long, lo long, known boolean"))
-    firsts = rows.filter(~F.col("known")).groupBy("hash", "whole").agg(F.sort_array(F.collect_set(F.struct("doc_id", "lo"))).alias("at"))
-    later = firsts.filter(F.size("at") > 1).select(F.inline(F.expr("slice(at, 2, size(at) - 1)")))
-    starts = rows.filter("known").select("doc_id", "lo").unionByName(later)
-    return starts.select("doc_id", "lo", (F.col("lo") + span).alias("hi"))
+            row, first, last, _, hashes, is_hot = blocks(texts, span, gram, hot.value)
+            pick = np.flatnonzero(is_hot)
+            for h, r, a, z in zip(hashes[pick].view(np.int64).tolist(), row[pick].tolist(), first[pick].tolist(), last[pick].tolist(), strict=True):
+                out.append((int(ids[r]), a, h, texts[r][a : z + span]))
+        if out:
+            out = sorted(set(out))
+            seen: set[bytes] = set()
+            again = [body in seen or seen.add(body) is not None for _, _, _, body in out]
+            doc, first, h, body = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(body, pa.binary()), pa.array(again)], ["hash", "doc_id", "first", "body", "copy_of_batch"])
+
+    return map_rows(docs, work, "hash long, doc_id long, first long, body binary, copy_of_batch boolean")
+
+
+def _split_hot(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """First blocks of each text, for the index, and ``doc_id, lo, hi`` of all later ones."""
+    span = [F.col("first").alias("lo"), (F.col("first") + F.length("body")).alias("hi")]
+    rows = stored(rows)
+    firsts = stored(rows.filter(~F.col("copy_of_batch")).groupBy("hash", "body").agg(F.min(F.struct("doc_id", "first")).alias("at")))
+    mark = F.struct("doc_id", "first") > F.col("at")
+    later = rows.filter(~F.col("copy_of_batch")).join(firsts, ["hash", "body"]).filter(mark)
+    spans = rows.filter("copy_of_batch").select("doc_id", *span).unionByName(later.select("doc_id", *span))
+    return firsts.select("hash", "at.doc_id", "at.first", "body"), spans
 
 
 def repeated_spans(df: DataFrame, span: int = SPAN, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,14 +326,18 @@ def repeated_spans(df: DataFrame, span: int = SPAN, gram: int = GRAM, key: str =
     spark = df.sparkSession
     docs = df.filter(F.col(key).isNotNull() & (F.octet_length(text) >= span)).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    hot = spark.sparkContext.broadcast(_hot_anchors(docs, span, gram, total))
+    hot = spark.sparkContext.broadcast(_hot_grams(docs, gram, total))
     shared = _shared_anchors(docs, span, gram, hot, n_bytes)
-    bodies = stored(_bodies(docs.join(shared, "doc_id"), span, gram))
+    found, more = _bodies(docs.join(shared, "doc_id"), span, gram, hot), None
+    if len(hot.value.hashes):
+        firsts, more = _split_hot(_hot_blocks(docs, span, gram, hot))
+        found = found.unionByName(firsts)
+    bodies = stored(found)
     buckets = max(1, -(-bodies.count() // BUCKET_BLOCKS))
     dealt = bodies.withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(buckets)).cast("int"))
     spans = dealt.groupBy("bucket").applyInPandas(lambda b: _search_bucket(b, span), "doc_id long, lo long, hi long")
-    if len(hot.value):
-        spans = spans.unionByName(_hot_spans(docs, span, gram, hot))
+    if more is not None:
+        spans = spans.unionByName(more)
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
