@@ -7,8 +7,8 @@ of thousands.  In a bucket, pieces longer than a quarter of a sequence are *larg
 1. sorted by length, they are cut into groups of equal cardinality, and each
    length is rounded up to its group's largest;
 2. for these few sizes, configurations (how many of each size share a sequence)
-   are chosen one after the other by a knapsack over the sizes still in stock,
-   the fullest first, and repeated as often as the stock allows;
+   are chosen one after the other: the fullest, by a knapsack over the sizes still
+   in stock, that has the largest of them, repeated as often as the stock allows;
 3. actual pieces take the places of the rounded sizes;
 4. the small pieces, longest first, go where they leave least room.
 """
@@ -66,7 +66,10 @@ def cut(df: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = Fal
 
 
 def _fullest(sizes: np.ndarray, stock: np.ndarray, capacity: int) -> list[tuple[int, int]]:
-    """The configuration of most tokens that the stock allows: pairs of a size's index and its number."""
+    """The fullest configuration with the largest size in stock: pairs of a size's index and its number."""
+    stock, first = stock.copy(), int(np.flatnonzero(stock)[0])
+    stock[first] -= 1
+    capacity -= int(sizes[first])
     reach = 1  # bit r: r tokens can be reached
     steps: list[tuple[int, int]] = []
     masks = [reach]
@@ -76,7 +79,7 @@ def _fullest(sizes: np.ndarray, stock: np.ndarray, capacity: int) -> list[tuple[
             reach |= (reach << int(sizes[i])) & full
             steps.append((i, int(sizes[i])))
             masks.append(reach)
-    at, took = reach.bit_length() - 1, {}
+    at, took = reach.bit_length() - 1, {first: 1}
     for k in range(len(steps) - 1, -1, -1):
         if not masks[k] >> at & 1:
             took[steps[k][0]] = took.get(steps[k][0], 0) + 1

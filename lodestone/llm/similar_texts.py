@@ -94,4 +94,4 @@ def one_of_each_group(df: DataFrame) -> DataFrame:
     gone = stored(joined.filter("node <> component").select(F.col("node").alias("doc_id")))
     kept = texts.select(F.col("node").alias("doc_id")).join(gone, "doc_id", "left_anti").withColumn("__kept", F.lit(True))
     alone = df.filter("doc_id IS NULL")
-    return df.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*df.columns).unionByName(alone)
+    return df.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in df.columns)).unionByName(alone)

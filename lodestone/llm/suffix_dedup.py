@@ -355,8 +355,8 @@ def _kept(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
 
 
 def with_spans(df: DataFrame, span: int = SPAN) -> DataFrame:
-    """``df`` with its document's ``spans``, null where nothing repeats."""
-    return df.join(stored(repeated_spans(df, span)), "doc_id", "left")
+    """``df`` with its document's ``__spans``, null where nothing repeats."""
+    return df.join(stored(repeated_spans(df, span)).withColumnRenamed("spans", "__spans"), "doc_id", "left")
 
 
 def remove_repeats(df: DataFrame, span: int = SPAN) -> DataFrame:
@@ -382,7 +382,7 @@ def remove_repeats(df: DataFrame, span: int = SPAN) -> DataFrame:
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
-    return map_rows(rows.select(F.col("doc_id").cast("long"), "text", "spans"), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_rows(rows.select(F.col("doc_id").cast("long"), "text", "__spans"), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _whole_characters(text: bytes, spans: list[dict]) -> list[dict]:
@@ -406,13 +406,13 @@ def cut_repeats(df: DataFrame, span: int = SPAN) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         names = batch.schema.names
-        texts, spans = batch.column(names.index("text")), batch.column(names.index("spans")).to_pylist()
+        texts, spans = batch.column(names.index("text")), batch.column(names.index("__spans")).to_pylist()
         got = [t if t is None or not s else _kept(t.encode(), _whole_characters(t.encode(), s))[0].decode() for t, s in zip(texts.to_pylist(), spans, strict=True)]
         columns = [batch.column(names.index(c)) for c in own]
         columns[place] = pa.array(got, texts.type)
         yield pa.RecordBatch.from_arrays(columns, own)
 
-    return map_rows(rows.select(*own, "spans"), work, df.schema)
+    return map_rows(rows.select(*(F.col(f"`{c}`") for c in own), "__spans"), work, df.schema)
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,15 +34,16 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def map_rows(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow of a function from one batch to batches, with bounded input batches."""
+    """mapInArrow of a function from one batch to batches, with bounded input batches; any column names will do."""
     bounded_batches(df.sparkSession)
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield from work(batch)
+                yield from work(batch.rename_columns(names))
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
