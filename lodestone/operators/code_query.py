@@ -78,7 +78,7 @@ def report(graph: CodeGraph, name: str, depth: int = 3) -> DataFrame:
         return parts[0]
 
     def gather(section: str, rows: DataFrame, *order: str) -> DataFrame:
-        items = F.transform(F.array_sort(F.collect_list(F.struct(*order, "item"))), lambda x: x["item"])
+        items = F.transform(F.array_sort(F.collect_list(F.struct(*(F.col(o).alias(f"by{i}") for i, o in enumerate(order)), "item"))), lambda x: x["item"])
         return rows.agg(items.alias("items")).filter(F.size("items") > 0).select(F.lit(section), F.lit(0), listed(F.col("items")))
 
     short = F.substring_index("name", ".", -1).alias("item")

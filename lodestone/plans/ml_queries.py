@@ -223,7 +223,7 @@ def matrix_reshape(spark: SparkSession, d: str) -> DataFrame:
     return ml.reshaped(_matrix(spark, d), 64, 32).withColumn("v", F.round("v", 6))
 
 
-@query("SELECT p_partkey, round(p_size * 1.0, 4) AS s, round(p_retailprice, 4) AS r, round(p_size * p_size * 1.0, 4) AS s_s, round(p_size * p_retailprice, 4) AS s_r, round(p_retailprice * p_retailprice, 4) AS r_r FROM part")
+@query("SELECT p_partkey, round(CAST(p_size AS DOUBLE), 4) AS s, round(p_retailprice, 4) AS r, round(CAST(p_size * p_size AS DOUBLE), 4) AS s_s, round(p_size * p_retailprice, 4) AS s_r, round(p_retailprice * p_retailprice, 4) AS r_r FROM part")
 def polynomial_features(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").alias("r"))
     return rows.select("p_partkey", *(F.round(c, 4).alias(n) for n, c in ml.polynomial(["s", "r"], 2)))
