@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestone import reachable_by_workers
+from lodestone.plans.lineage import written as stored
+
+__all__ = ["bounded_batches", "documents", "map_rows", "stored", "table"]
 
 #: An Arrow batch sent to a Python worker holds at most so many bytes or rows, however long the texts are.
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 1000
@@ -44,25 +44,3 @@ def map_rows(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordB
                 yield from work(batch.rename_columns(names))
 
     return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset, as in local tests."""
-    given = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        given = tempfile.mkdtemp(prefix="spark-shared-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(given)
-    return given
-
-
-def stored(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def with_nulls_empty(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
