@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import ml
+from lodestone.operators import learners, ml
 from lodestone.plans.registry import Registry, table
 
 query = Registry()
@@ -236,3 +236,51 @@ SELECT l_orderkey, l_returnflag FROM r WHERE k = 1
 """)
 def forest_vote(spark: SparkSession, d: str) -> DataFrame:
     return ml.majority(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag")
+
+
+def _labelled_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return learners.with_features(table(spark, d, "embeddings").withColumn("y", F.col("label").cast("double")), "embedding")
+
+
+@query("""
+WITH r AS (SELECT d.doc_id, n_chars, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+SELECT doc_id, CAST(CASE WHEN (SELECT max(quality) FROM r) = 0 THEN 0 ELSE 1 END AS DOUBLE) AS always FROM r WHERE n_chars IS NOT NULL
+""")
+def tree_predict_majority(spark: SparkSession, d: str) -> DataFrame:
+    """A tree without a split predicts the more frequent class."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").filter("n_chars IS NOT NULL")
+    return rows.select("doc_id", learners.grow_tree(rows, ["n_chars"], "quality", depth=0).predicted().alias("always"))
+
+
+@query()
+def tree_predict(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return rows.select("doc_id", learners.grow_tree(rows, ["n_chars"], "quality", depth=2).predicted().alias("quality"))
+
+
+@query()
+def forest_predict(spark: SparkSession, d: str) -> DataFrame:
+    rows = _labelled_vectors(spark, d)
+    return learners.forest(rows, "y").transform(rows).select("vec_id", "prediction")
+
+
+@query()
+def svm_multiclass(spark: SparkSession, d: str) -> DataFrame:
+    rows = _labelled_vectors(spark, d)
+    return learners.linear_margin(rows, "y", rounds=20, many=True).transform(rows).select("vec_id", "prediction")
+
+
+@query()
+def network_predict(spark: SparkSession, d: str) -> DataFrame:
+    rows = _labelled_vectors(spark, d)
+    return learners.network(rows, "y", [64, 16, 10], rounds=20).transform(rows).select("vec_id", "prediction")
+
+
+@query("""
+WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+SELECT vec_id, round(greatest(e[1] + 2 * e[2] + 0.5, 0), 6) AS a, round(greatest(e[64] - e[1] - 0.1, 0), 6) AS b FROM p
+""")
+def dense_forward(spark: SparkSession, d: str) -> DataFrame:
+    weights = [[1.0, 2.0] + [0.0] * 62, [-1.0] + [0.0] * 62 + [1.0]]
+    out = learners.dense(F.col("embedding"), weights, [0.5, -0.1], lambda x: F.greatest(x, F.lit(0.0)))
+    return table(spark, d, "embeddings").select("vec_id", out.alias("o")).select("vec_id", F.round(F.get("o", F.lit(0)), 6).alias("a"), F.round(F.get("o", F.lit(1)), 6).alias("b"))

@@ -6,10 +6,11 @@ import zipfile
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from lodestone.functions import text as fn
-from lodestone.operators import chunking, code_graph, code_query, embedding, hybrid, ml, models, session, store, traversal, vector_search
+from lodestone.operators import chunking, code_graph, code_query, embedding, hybrid, learners, ml, models, session, store, traversal, vector_search
 from lodestone.plans import catalog
 from lodestone.plans.fixtures import PACKAGE, package, package_graph
 from lodestone.sources import files
@@ -276,3 +277,20 @@ def test_numbers(spark):
     pieces = spark.createDataFrame([(["a", "b", "a", "b"], 3), (["a", "a", "a"], 1)], "symbols array<string>, n long")
     assert ml.fit_merges(pieces, 2)[0] == ("a", "b", "ab")
     assert [r.symbols for r in ml.merged(pieces, "a", "a", "aa").collect()][1] == ["aa", "a"]
+
+
+def test_learners(spark):
+    rows = spark.createDataFrame([(float(i), float(i % 7), int(3 < i < 12)) for i in range(20)], "x double, z double, y int")
+    tree = learners.grow_tree(rows, ["x", "z"], "y", depth=2)
+    assert (tree.feature, tree.threshold) == ("x", 11.0)
+    assert rows.filter(tree.predicted() != rows.y).isEmpty()
+    assert learners.grow_tree(rows.filter("false"), ["x"], "y").value == 0.0
+    for rule in ("sgd", "momentum", "adagrad", "adam"):
+        optimizer, p = learners.Optimizer(rule, 0.5), {"w": 4.0}
+        for _ in range(200):
+            p = optimizer.step(p, {"w": 2 * p["w"]})
+        assert abs(p["w"]) < 1.5
+    m = spark.range(4000).select(learners.initialised(F.col("id"), F.col("id"), "he", 8, 4, 3).alias("w"))
+    assert abs(m.agg(F.stddev("w")).first()[0] - 0.5) < 0.05
+    loss = spark.createDataFrame([([1.0, 0.0], [0.5, 0.5])], "t array<double>, p array<double>").agg(learners.one_hot_loss(F.col("t"), F.col("p")).alias("l"))
+    assert abs(loss.first().l - 0.6931) < 1e-3
