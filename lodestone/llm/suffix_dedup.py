@@ -288,37 +288,45 @@ def _bodies(docs: DataFrame, span: int, gram: int, hot) -> DataFrame:
 
 
 def _hot_blocks(docs: DataFrame, span: int, gram: int, hot) -> DataFrame:
-    """``hash, doc_id, first, body, copy_of_batch`` of hot blocks.
+    """``hash, doc_id, lo, hi, body`` of hot blocks: the first of each text in a batch with its ``body``.
 
-    ``copy_of_batch`` marks all but the first block of each text in a batch.
+    All others repeat one of those; they come merged to runs of bytes, without a body.
     """
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+        found: set[tuple] = set()
         for ids, texts in _sliced(batch):
             row, first, last, _, hashes, is_hot = blocks(texts, span, gram, hot.value)
             pick = np.flatnonzero(is_hot)
             for h, r, a, z in zip(hashes[pick].view(np.int64).tolist(), row[pick].tolist(), first[pick].tolist(), last[pick].tolist(), strict=True):
-                out.append((int(ids[r]), a, h, texts[r][a : z + span]))
+                found.add((int(ids[r]), a, z + span, h, texts[r][a : z + span]))
+        seen: set[bytes] = set()
+        out: list[tuple] = []
+        runs: list[list[int]] = []
+        for doc, lo, hi, h, body in sorted(found):
+            if body not in seen:
+                seen.add(body)
+                out.append((h, doc, lo, hi, body))
+            elif runs and runs[-1][0] == doc and lo <= runs[-1][2]:
+                runs[-1][2] = max(hi, runs[-1][2])
+            else:
+                runs.append([doc, lo, hi])
+        out += [(0, doc, lo, hi, None) for doc, lo, hi in runs]
         if out:
-            out = sorted(set(out))
-            seen: set[bytes] = set()
-            again = [body in seen or seen.add(body) is not None for _, _, _, body in out]
-            doc, first, h, body = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(body, pa.binary()), pa.array(again)], ["hash", "doc_id", "first", "body", "copy_of_batch"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["hash", "doc_id", "lo", "hi", "body"])
 
-    return map_rows(docs, work, "hash long, doc_id long, first long, body binary, copy_of_batch boolean")
+    return map_rows(docs, work, "hash long, doc_id long, lo long, hi long, body binary")
 
 
 def _split_hot(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """First blocks of each text, for the index, and ``doc_id, lo, hi`` of all later ones."""
-    span = [F.col("first").alias("lo"), (F.col("first") + F.length("body")).alias("hi")]
     rows = stored(rows)
-    firsts = stored(rows.filter(~F.col("copy_of_batch")).groupBy("hash", "body").agg(F.min(F.struct("doc_id", "first")).alias("at")))
-    mark = F.struct("doc_id", "first") > F.col("at")
-    later = rows.filter(~F.col("copy_of_batch")).join(firsts, ["hash", "body"]).filter(mark)
-    spans = rows.filter("copy_of_batch").select("doc_id", *span).unionByName(later.select("doc_id", *span))
-    return firsts.select("hash", "at.doc_id", "at.first", "body"), spans
+    texts = rows.filter("body IS NOT NULL")
+    firsts = stored(texts.groupBy("hash", "body").agg(F.min(F.struct("doc_id", "lo")).alias("at")))
+    later = texts.join(firsts, ["hash", "body"]).filter(F.struct("doc_id", "lo") > F.col("at"))
+    spans = rows.filter("body IS NULL").select("doc_id", "lo", "hi").unionByName(later.select("doc_id", "lo", "hi"))
+    return firsts.select("hash", "at.doc_id", F.col("at.lo").alias("first"), "body"), spans
 
 
 def repeated_spans(df: DataFrame, span: int = SPAN, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
