@@ -55,7 +55,8 @@ def remove_repeated_lines(df: DataFrame, run: int = RUN) -> DataFrame:
     gone = stored(repeated_lines(df, run))
     own = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     named = [F.col(f"`{c}`") for c in own]
-    rows = df.select(*named, F.split("text", "\n").alias("__lines")).join(gone.withColumnRenamed("gone", "__gone"), "doc_id", "left")
+    # Texts meet their deletions in a merge join at every size; they are split after it, so they move once.
+    rows = df.select(*named).join(gone.withColumnRenamed("gone", "__gone").hint("merge"), "doc_id", "left").withColumn("__lines", F.split("text", "\n"))
     keep = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
     left = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get("__lines", i)), "\n"))
     size = F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).cast("long")
