@@ -28,6 +28,7 @@ RECALL = 0.95
 BUCKET = 16
 #: Larger buckets are compared block by block.
 BLOCK = 1024
+ROWS_AT_ONCE = 8192
 
 
 def plan_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -58,26 +59,41 @@ def _keyed(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
     return map_rows(classes.select("cid", "size", "embedding"), work, "cid long, size long, unit binary, keys binary")
 
 
-def _compare(cell: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of one cell: between its two blocks, or within its one block."""
-    out = []
-    t, i, j = (int(cell[c].iloc[0]) for c in ("t", "lo", "hi"))
-    cell = cell.sort_values("cid", ignore_index=True)
-    for _, same in cell.groupby(cell["unit"].map(len)):  # only vectors of one dimension have a cosine
-        ids, size = same["cid"].to_numpy(np.int64), same["size"].to_numpy(np.int64)
-        units = np.frombuffer(b"".join(same["unit"]), np.float64).reshape(len(same), -1)
-        keys = np.frombuffer(b"".join(same["keys"]), "<i4").reshape(len(same), -1)[:, :t]
-        left, right = (np.flatnonzero(same["block"].to_numpy() == b) for b in (i, j))
+def _links_of_cell(units: np.ndarray, keys: np.ndarray, block: np.ndarray, lo: int, hi: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that are linked and that no earlier table brings together; between two blocks, or within one."""
+    if lo == hi:
+        x, y = np.nonzero(units @ units.T >= threshold)
+        x, y = x[x < y], y[x < y]
+    else:
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         x, y = np.nonzero(units[left] @ units[right].T >= threshold)
         x, y = left[x], right[y]
-        if i == j:
-            x, y = x[x < y], y[x < y]
+    if len(x) and keys.shape[1]:
         fresh = np.ones(len(x), bool)
-        for earlier in range(t):
+        for earlier in range(keys.shape[1]):
             fresh &= keys[x, earlier] != keys[y, earlier]
         x, y = x[fresh], y[fresh]
-        links = np.bincount(x, size[y], len(ids)) + np.bincount(y, size[x], len(ids))
-        root = np.arange(len(ids))
+    return x, y
+
+
+def _compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """``cid, links, root`` of many cells: each linked class's links in a cell, and the cell's smallest class joined to it."""
+    rows = rows.sort_values(["cell", "cid"], ignore_index=True)
+    cell, ids, size = (rows[c].to_numpy(np.int64) for c in ("cell", "cid", "size"))
+    t, block, lo, hi = (rows[c].to_numpy(np.int64) for c in ("t", "block", "lo", "hi"))
+    unit, key = rows["unit"].tolist(), rows["keys"].tolist()
+    edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(rows)]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for s, e in zip(edges[:-1], edges[1:], strict=True):
+        if e - s < 2:
+            continue
+        units = np.frombuffer(b"".join(unit[s:e]), np.float64).reshape(e - s, -1)
+        keys = np.frombuffer(b"".join(key[s:e]), "<i4").reshape(e - s, -1)[:, : t[s]]
+        x, y = _links_of_cell(units, keys, block[s:e], int(lo[s]), int(hi[s]), threshold)
+        if not len(x):
+            continue
+        links = np.bincount(x, size[s:e][y], e - s) + np.bincount(y, size[s:e][x], e - s)
+        root = np.arange(e - s)
         while True:  # smallest class linked within the cell
             low = np.minimum(root[x], root[y])
             new = root.copy()
@@ -88,8 +104,11 @@ def _compare(cell: pd.DataFrame, threshold: float) -> pd.DataFrame:
                 break
             root = new
         some = np.flatnonzero(links)
-        out.append(pd.DataFrame({"cid": ids[some], "links": links[some].astype(np.int64), "root": ids[root[some]]}))
-    return pd.concat(out) if out else pd.DataFrame({"cid": [], "links": [], "root": []}).astype("int64")
+        found.append((ids[s:e][some], links[some].astype(np.int64), ids[s:e][root[some]]))
+    if not found:
+        return pd.DataFrame({"cid": [], "links": [], "root": []}).astype("int64")
+    cid, links, root = map(np.concatenate, zip(*found, strict=True))
+    return pd.DataFrame({"cid": cid, "links": links, "root": root})
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 42) -> DataFrame:
@@ -114,8 +133,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
         .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("cid", "size", "unit", "keys", "t", "bucket", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        .withColumn("cell", F.xxhash64("t", "bucket", "lo", "hi", F.length("unit")))
     )
-    found = stored(cells.groupBy("t", "bucket", "lo", "hi").applyInPandas(lambda cell: _compare(cell, threshold), "cid long, links long, root long"))
+    # Small cells share a task's call: about so many rows each, never a part of a cell.
+    calls = max(1, -(-placed.count() // ROWS_AT_ONCE))
+    dealt = cells.drop("bucket").withColumn("call", F.pmod(F.xxhash64("cell"), F.lit(calls)))
+    found = stored(dealt.groupBy("call").applyInPandas(lambda rows: _compare(rows, threshold), "cid long, links long, root long"))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")).filter("a <> b"))
     per_class = stored(
