@@ -5,6 +5,8 @@ by about ten bits.  Distances of unrelated fingerprints to a vantage point sprea
 about four bits, so at such a radius a vantage-point tree prunes nothing.  Pairs
 within the fingerprint radius come from the tree; further candidates come from bands
 of minimum hashes, and each is confirmed by the exact similarity of its whole texts.
+All members of a band meet: first each with the band's leader; then, in bands whose
+other members are not one group by that, all of these with each other, in blocks.
 """
 
 from __future__ import annotations
@@ -12,17 +14,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import simhash
 from lodestone.llm.components import components
-from lodestone.llm.tables import map_rows, stored
+from lodestone.llm.tables import bounded_batches, map_rows, stored
 
 WORDS, SIMILARITY = 5, 0.8
 #: Two texts of similarity 0.8 share one of the bands with probability 0.998, at 0.9 practically always.
 BANDS, BAND_ROWS = 12, 4
+#: Texts of a block, and its shingles, about; a cell compares two blocks.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
+#: Shingles that a cell counts at once.
+COLUMNS = 8192
 
 _RNG = np.random.default_rng(8)
 _MULT = _RNG.integers(1, 1 << 62, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,17 +50,18 @@ def _bands(hashes: np.ndarray) -> list[int]:
 
 
 def _signatures(texts: DataFrame) -> DataFrame:
-    """``node, fp, bands`` of each text: its fingerprint of five-word shingles and its band keys."""
+    """``node, fp, size, bands`` of each text: its fingerprint of five-word shingles, their number and its band keys."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fps, bands = [], []
+        fps, sizes, bands = [], [], []
         for t in batch.column(1).to_pylist():
             hashes = simhash.shingle_hashes(t, WORDS)
             fps.append(simhash.fingerprint(hashes))
+            sizes.append(len(hashes))
             bands.append(_bands(np.unique(hashes)) if len(hashes) else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["node", "fp", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["node", "fp", "size", "bands"])
 
-    return map_rows(texts.select("node", "text"), work, "node long, fp long, bands array<long>")
+    return map_rows(texts.select("node", "text"), work, "node long, fp long, size long, bands array<long>")
 
 
 def _confirmed(pairs: DataFrame) -> DataFrame:
@@ -72,6 +80,59 @@ def _confirmed(pairs: DataFrame) -> DataFrame:
     return map_rows(pairs, work, "a long, b long")
 
 
+def _linked(cell: pd.DataFrame) -> pd.DataFrame:
+    """``a, b``: a spanning forest of the similar texts of a cell, each pair of which is compared exactly."""
+    node = cell["node"].to_numpy(np.int64)
+    sets = [np.unique(simhash.shingle_hashes(t, WORDS)) for t in cell["text"]]
+    size = np.array([len(s) for s in sets])
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(sets)), size), n[column] > 1
+    kinds, column = np.unique(column[shared], return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[shared][order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, len(kinds), COLUMNS):
+        s, e = np.searchsorted(column, [lo, lo + COLUMNS])
+        has = np.zeros((len(sets), min(COLUMNS, len(kinds) - lo)), np.float32)
+        has[owner[s:e], column[s:e] - lo] = 1
+        both += has @ has.T
+    both = both.astype(np.int64)
+    x, y = np.nonzero(both >= SIMILARITY * (size[:, None] + size - both))
+    forest = simhash._Forest(len(sets))
+    forest.join(x, y)
+    some = np.flatnonzero(forest.root != np.arange(len(sets)))
+    return pd.DataFrame({"a": node[some], "b": node[forest.root[some]]})
+
+
+def _among_members(members: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """``a, b``: links between members of a band that are not in one group yet; none if there are no such bands.
+
+    ``members(band, key, node, size)`` are without the band's leader, which has met them all.  Those outside the
+    largest group of their band meet all others; bands with the same members are compared once.
+    """
+    band = ["band", "key"]
+    members = stored(members.join(joined, "node", "left").select(*band, "node", "size", F.coalesce("component", "node").alias("component")))
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    groups = members.groupBy(*band, "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"), *marks)
+    most = lambda c: F.max_by(c, F.struct("n", "component"))
+    whole = [F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)]
+    several = groups.groupBy(*band).agg(most("component").alias("major"), most("n").alias("n1"), most("size").alias("s1"), F.sum("n").alias("n"), F.sum("size").alias("s"), F.count("*").alias("groups"), *whole)
+    blocks = lambda n, s: F.greatest(F.lit(1), F.ceil(F.expr(n) / BLOCK), F.ceil(F.expr(s) / BLOCK_SHINGLES)).cast("int")
+    several = several.filter("groups > 1").dropDuplicates(["n", "x0", "x1"])
+    several = stored(several.select(*band, "major", blocks("n - n1", "s - s1").alias("minors"), blocks("n1", "s1").alias("majors")))
+    if several.isEmpty():
+        return None
+    minor, at = F.col("component") != F.col("major"), F.xxhash64("node")
+    cells = (
+        members.join(several, band)
+        .withColumn("block", F.when(minor, F.pmod(at, F.col("minors"))).otherwise(F.col("minors") + F.pmod(at, F.col("majors"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("minors") - 1 + F.when(minor, F.col("majors")).otherwise(0))))
+        .select(*band, "node", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    )
+    bounded_batches(texts.sparkSession)
+    return cells.join(texts, "node").groupBy(*band, "lo", "hi").applyInPandas(_linked, "a long, b long")
+
+
 def one_of_each_group(df: DataFrame) -> DataFrame:
     """The rows of ``df(doc_id, text, ...)`` with the smallest doc_id of their group of near-duplicates; all columns stay.
 
@@ -84,13 +145,18 @@ def one_of_each_group(df: DataFrame) -> DataFrame:
     signed = stored(_signatures(texts))
     nodes = stored(signed.groupBy("fp").agg(F.min("node").alias("node")))
     equal = signed.join(nodes.withColumnRenamed("node", "b"), "fp").filter("node <> b").select(F.col("node").alias("a"), "b")
-    near = simhash.links(nodes).unionByName(equal)
-    placed = signed.select("node", F.posexplode("bands").alias("band", "key"))
+    near = stored(simhash.links(nodes).unionByName(equal))
+    placed = signed.select("node", "size", F.posexplode("bands").alias("band", "key"))
     leaders = stored(placed.groupBy("band", "key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    pairs = placed.join(leaders, ["band", "key"]).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    members = stored(placed.join(leaders, ["band", "key"]).filter("node <> b"))
+    pairs = members.select(F.col("node").alias("a"), "b").distinct()
     side = lambda end, name: texts.select(F.col("node").alias(end), F.col("text").alias(name))
-    known = _confirmed(stored(pairs).join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right"))
-    joined = components(near.unionByName(known))
+    known = stored(_confirmed(stored(pairs).join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right")))
+    known = near.unionByName(known)
+    joined = components(known)
+    further = _among_members(members.drop("b"), joined, texts)
+    if further is not None:
+        joined = components(known.unionByName(further))
     gone = stored(joined.filter("node <> component").select(F.col("node").alias("doc_id")))
     kept = texts.select(F.col("node").alias("doc_id")).join(gone, "doc_id", "left_anti").withColumn("__kept", F.lit(True))
     alone = df.filter("doc_id IS NULL")

@@ -92,6 +92,35 @@ def test_near_duplicates_of_texts(spark):
     assert ids == [None, *range(40), 65]
 
 
+def _kept_by_brute_force(texts):
+    """Smallest numbers of the groups of texts linked at similarity 0.8, over all pairs."""
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and _similarity(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return sorted(set(root))
+
+
+def test_near_duplicates_among_texts_of_one_template(spark, monkeypatch):
+    """Pairs at 0.8 or more among texts of which any two share a long passage; also over several blocks."""
+    rng = np.random.default_rng(4)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 1 << 40, n)]
+    passage, texts = word(160), []
+    for _ in range(40):
+        own = word(40)
+        texts += [" ".join(passage + own), " ".join(passage + own[:20] + word(20))]
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    want = _kept_by_brute_force(texts)
+    assert len(want) == 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for block in (256, 16):
+        monkeypatch.setattr(similar_texts, "BLOCK", block, raising=False)
+        assert sorted(r.doc_id for r in similar_texts.one_of_each_group(df).collect()) == want
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, seen = docs.dtypes, [docs]
