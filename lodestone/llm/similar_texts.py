@@ -1,10 +1,11 @@
-"""Near-duplicate documents by word shingles: operator 6's links, and those that it cannot reach.
+"""Near-duplicate documents by word shingles: operator 6's candidates, and those that it cannot reach.
 
 At a similarity of 0.8 (Jaccard, of five-word shingles) two 64-bit fingerprints differ
 by about ten bits.  Distances of unrelated fingerprints to a vantage point spread by
-about four bits, so at such a radius a vantage-point tree prunes nothing.  Pairs
-within the fingerprint radius come from the tree; further candidates come from bands
-of minimum hashes, and each is confirmed by the exact similarity of its whole texts.
+about four bits, so at such a radius a vantage-point tree prunes nothing.  So there are
+two kinds of candidates: bands of minimum hashes, and one more band of fingerprints that
+the tree links.  Every link is confirmed by the exact similarity of its whole texts: a
+word repeated often enough decides the fingerprint of texts that have nothing in common.
 All members of a band meet: first each with the band's leader; then, in bands whose
 other members are not one group by that, all of these with each other, in blocks.
 """
@@ -144,15 +145,14 @@ def one_of_each_group(df: DataFrame) -> DataFrame:
     texts = stored(rows.groupBy("text").agg(F.min("doc_id").alias("node")))
     signed = stored(_signatures(texts))
     nodes = stored(signed.groupBy("fp").agg(F.min("node").alias("node")))
-    equal = signed.join(nodes.withColumnRenamed("node", "b"), "fp").filter("node <> b").select(F.col("node").alias("a"), "b")
-    near = stored(simhash.links(nodes).unionByName(equal))
-    placed = signed.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    near = components(simhash.links(nodes)).withColumnRenamed("component", "key")
+    alike = signed.join(nodes.withColumnRenamed("node", "first").join(near, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("key", "first").alias("key")), "fp")
+    placed = signed.select("node", "size", F.posexplode("bands").alias("band", "key")).unionByName(alike.select("node", "size", F.lit(BANDS).alias("band"), "key"))
     leaders = stored(placed.groupBy("band", "key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     members = stored(placed.join(leaders, ["band", "key"]).filter("node <> b"))
     pairs = members.select(F.col("node").alias("a"), "b").distinct()
     side = lambda end, name: texts.select(F.col("node").alias(end), F.col("text").alias(name))
     known = stored(_confirmed(stored(pairs).join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right")))
-    known = near.unionByName(known)
     joined = components(known)
     further = _among_members(members.drop("b"), joined, texts)
     if further is not None:

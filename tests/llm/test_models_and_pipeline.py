@@ -121,6 +121,19 @@ def test_near_duplicates_among_texts_of_one_template(spark, monkeypatch):
         assert sorted(r.doc_id for r in similar_texts.one_of_each_group(df).collect()) == want
 
 
+def test_equal_fingerprints_of_unlike_texts_are_no_link(spark):
+    """A word repeated often decides the fingerprint; texts that share nothing else stay, with and without near copies."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join([f"w{i}" for i in rng.integers(0, 1 << 40, 60)] + ["again"] * 100) for _ in range(12)]
+    texts += [texts[i].replace("again", f"x{i} again", 1) for i in (3, 8)] + [texts[4].upper(), "again " * 100, "", "\t"]
+    fps = {similar_texts.simhash.fingerprint(similar_texts.simhash.shingle_hashes(t, 5)) for t in texts[:12]}
+    assert len(fps) == 1 and max(_similarity(texts[i], texts[0]) for i in range(1, 12)) < 0.05
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = [*range(12), 15, 16]
+    assert _kept_by_brute_force(texts[:16]) == want[:-1]
+    assert sorted(r.doc_id for r in similar_texts.one_of_each_group(df).collect()) == want
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, seen = docs.dtypes, [docs]
