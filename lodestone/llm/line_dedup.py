@@ -9,19 +9,32 @@ first, if several are equal), so equal runs of that length are guaranteed to sha
 one.  Fingerprint positions are joined by hash; those that occur once end there.  The
 matches are extended both ways, to all windows around the position, whose hashes are
 compared in full; windows that overlap make up the maximal runs to delete.
+
+Lines of ``alone`` characters or more, where that is given, are runs by themselves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.tables import documents, stored
 
 RUN = 2
+#: Characters of a line that the pipeline counts as a run by itself: about 50 words.
+ALONE = 300
+
+
+def _repeated_alone(docs: DataFrame, long: Column) -> DataFrame:
+    """``doc_id, gone array<int>``: numbers of those lines of the array ``long(i, t)`` that stand earlier, too."""
+    at, names = F.struct("doc_id", "i"), ["h0", "h1"]
+    each = docs.select("doc_id", F.explode(long).alias("p"))
+    each = stored(each.select("doc_id", F.col("p.i").alias("i"), *(F.xxhash64("p.t", F.lit(k)).alias(n) for k, n in enumerate(names))))
+    firsts = stored(each.groupBy(*names).agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    return each.join(firsts, names).filter(at > F.col("first")).groupBy("doc_id").agg(F.collect_set("i").alias("gone"))
 
 
-def repeated_lines(df: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_lines(df: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text", alone: int | None = None) -> DataFrame:
     """``doc_id, gone array<int>``: numbers (from 0) of the lines to delete, for documents that have any."""
     docs = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.split(text, "\n").alias("lines"))
     full = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("t"))), lambda p: p["t"] != "")
@@ -42,17 +55,21 @@ def repeated_lines(df: DataFrame, run: int = RUN, key: str = "doc_id", text: str
     later = around.join(firsts, names).filter(at > F.col("first"))
     lines = later.select("doc_id", F.explode(F.sequence("j", F.col("j") + run - 1)).alias("j")).distinct().groupBy("doc_id").agg(F.collect_list("j").alias("js"))
     found = lined.select("doc_id", F.col("l.i").alias("at")).join(lines, "doc_id").dropDuplicates(["doc_id"])
-    return found.select("doc_id", F.transform("js", lambda j: F.get("at", j)).alias("gone"))
+    found = found.select("doc_id", F.transform("js", lambda j: F.get("at", j)).alias("gone"))
+    if alone is None:
+        return found
+    every = found.unionByName(_repeated_alone(docs, F.filter(full, lambda p: F.length(p["t"]) >= alone)))
+    return every.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
-def remove_repeated_lines(df: DataFrame, run: int = RUN) -> DataFrame:
+def remove_repeated_lines(df: DataFrame, run: int = RUN, alone: int | None = None) -> DataFrame:
     """``df(doc_id, text, ...)`` with its repeated runs deleted from ``text``, and ``n_lines``, ``n_removed``.
 
     Other columns stay, except ones named like the two that are added.  A null text stays null and has
     no line; an empty text has one blank line.  Rows with a null doc_id stay whole and take no part.
     Rows that repeat a doc_id and its text count as one document.
     """
-    gone = stored(repeated_lines(df, run))
+    gone = stored(repeated_lines(df, run, alone=alone))
     own = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     named = [F.col(f"`{c}`") for c in own]
     # Texts meet their deletions in a merge join at every size; they are split after it, so they move once.

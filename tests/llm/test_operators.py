@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from lodestone.llm import bpe, embedding_dedup, encoding, exact_search, line_dedup, packing, simhash, suffix_dedup, token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -138,6 +139,21 @@ def test_line_dedup(awkward):
             assert (r.text or "") == want[r.doc_id]
 
 
+def test_line_dedup_of_single_long_lines(spark):
+    """A long line between different ones goes where it stands again; short ones and the first stay."""
+    long, other = "licence " * 40, "é" * 299
+    rows = [(5, f"a\n {long}\nb"), (2, f"c\n{long}\nd\n{long}"), (3, f"{other}\ne\nf"), (4, f"g\n{other}\nh\ne\nf"), (6, f"{long}x"), (7, None), (None, long), (8, long)]
+    want = {2: f"c\n{long}\nd", 3: rows[2][1], 4: f"g\n{other}\nh", 5: "a\nb", 6: f"{long}x", 7: None, None: long, 8: ""}
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").repartition(3)
+    got = line_dedup.remove_repeated_lines(df, alone=300)
+    assert [dict(zip(got.columns, r, strict=True)) for r in got.filter("doc_id = 4").collect()] == [{"doc_id": 4, "text": want[4], "n_lines": 5, "n_removed": 2}]
+    found = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(found) == 9 and dict(found) == want
+    kept = corpus_pipeline.drop_repeated_lines(spark, df, "")
+    assert {r.doc_id: r.text for r in kept.collect()} == want
+    assert "Python" not in got._jdf.queryExecution().toString()
+
+
 def test_line_dedup_uses_no_python(docs):
     plan = line_dedup.remove_repeated_lines(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
