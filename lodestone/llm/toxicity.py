@@ -38,12 +38,25 @@ PATTERNS = 5
 CACHED_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
+_UPPER = bytes(range(65, 91))
+_LETTERS = _UPPER + bytes(range(97, 123))
 
 
 def words_of(text: str | None) -> set[str]:
     return {w for u in set((text or "").lower().split()) for w in ((u,) if u.isalpha() else _WORD.findall(u))}
 
 
+def shouts(text: str | None) -> bool:
+    """Whether over half of the letters of the whole text are capitals."""
+    text = text or ""
+    plain = text.encode("ascii", "ignore")
+    upper, letters = (len(plain) - len(plain.translate(None, kind)) for kind in (_UPPER, _LETTERS))
+    for part in () if text.isascii() else _BEYOND_ASCII.findall(text):
+        upper, letters = upper + sum(map(str.isupper, part)), letters + sum(map(str.isalpha, part))
+    return 2 * upper > letters
+
+
 def _forms(word: str) -> list[str]:
     """A word as a term, and its stems (marked by a final *)."""
     return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
@@ -128,12 +141,13 @@ class Voters:
 
     def votes(self, text: str | None) -> np.ndarray:
         """1 where a voter fires: terms, then one, two, four terms at least, shouting, no term."""
-        text = text or ""
-        got = self.terms(set(text.lower().split()))
+        return self.of(set((text or "").lower().split()), shouts(text))
+
+    def of(self, units: set[str], loud: bool) -> np.ndarray:
+        got = self.terms(units)
         out = np.zeros(len(self.index) + PATTERNS, np.float32)
         out[list(got)] = 1
-        upper = sum(map(str.isupper, text[:: max(1, len(text) // 512)]))
-        out[-PATTERNS:] = (len(got) >= 1, len(got) >= 2, len(got) >= 4, upper > 256, not got)
+        out[-PATTERNS:] = (len(got) >= 1, len(got) >= 2, len(got) >= 4, loud, not got)
         return out
 
 
@@ -201,14 +215,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         words = [" ".join(sorted(words_of(t))) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words, pa.string()), batch.column(0)], ["y", "words", "text"])
+        loud = [shouts(t) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words, pa.string()), pa.array(loud, pa.bool_())], ["y", "words", "loud"])
 
-    got = sorted((r.y, r.words, r.text) for r in map_rows(rows, work, "y int, words string, text string").collect())
+    got = sorted((r.y, r.words, r.loud) for r in map_rows(rows, work, "y int, words string, loud boolean").collect())
     y = np.array([r[0] for r in got])
     sets = [set(r[1].split()) for r in got]
     terms = mine(sets, y) if len(got) else list(ABUSE)
     voters = Voters(terms)
-    votes = np.stack([voters.votes(r[2]) for r in got]).astype(np.float64) if got else np.zeros((0, len(terms) + PATTERNS))
+    votes = np.stack([voters.of(words, r[2]) for words, r in zip(sets, got, strict=True)]).astype(np.float64) if got else np.zeros((0, len(terms) + PATTERNS))
     if len(set(y.tolist())) < 2:  # nothing to estimate from: any fixed word counts
         weights = np.zeros(len(terms) + PATTERNS)
         weights[-PATTERNS] = 8.0

@@ -51,6 +51,19 @@ def test_label_model_finds_accuracies_and_correlations():
     assert ((model.posterior(votes) > 0.5) == y).mean() > 0.85
 
 
+def test_shouting_at_every_length():
+    """Over half of all letters, whatever the length, the alphabet and the place of the capitals."""
+    fires = lambda t: bool(toxicity.Voters(["x"]).votes(t)[-2])
+    for times in (1, 40, 60, 100, 1000):  # 10 to 10,000 characters
+        for text, want in (("ABCDEF ghi", True), ("ABCD efghi", False), ("ABC 12 de!", True), ("ÄÖÜ éè 日 ", False), ("ÄÖÜÉ éè -", True), ("A\u0301B c 1 ", True)):
+            assert fires(text * times) == want, (text, times)
+    assert not fires("Abcdefgh" * 4096) and not fires("") and not fires(None) and not fires("12 34")
+    rng = np.random.default_rng(2)
+    for n in (5, 300, 3000):
+        text = "".join(rng.choice(list("abXYZ éÖß٣日ǅ\n"), n))
+        assert toxicity.shouts(text) == (2 * sum(map(str.isupper, text)) > sum(map(str.isalpha, text)))
+
+
 def test_classifiers_on_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (None, "idiot", "z"), (1, "z" * 200_000, "w"), (3, "you idiot moron", "v")], "doc_id long, text string, score string")
     none = spark.createDataFrame([(None, 1, 1), (9, None, None)], "doc_id long, quality int, toxic int")
