@@ -18,9 +18,6 @@ from lodestone.functions.text import module_name
 from lodestone.operators.code_parse import parsed
 from lodestone.plans.lineage import written
 
-#: Rounds in which re-exports and base classes are followed; each handles one hop more.
-HOPS = 8
-
 
 @dataclass
 class CodeGraph:
@@ -61,14 +58,10 @@ def module_table(nodes: DataFrame) -> DataFrame:
 def _absolute(facts: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``from``, ``star`` and ``import`` facts with relative ones made absolute."""
     modules = nodes.filter("kind = 'module'").select(F.col("name").alias("module"))
-    parent = modules.select(_head(F.col("module")).alias("module")).filter("module IS NOT NULL")
     # A module is a package if some module's name goes on below it, at any depth.
-    above = parent
-    packages = parent.distinct()
-    for _ in range(HOPS):
-        above = above.select(_head(F.col("module")).alias("module")).filter("module IS NOT NULL").distinct()
-        packages = packages.unionByName(above)
-    packages = packages.distinct().withColumn("package", F.lit(True))
+    names = F.split("module", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda n: F.array_join(F.slice(names, 1, n), "."))
+    packages = modules.filter(F.col("module").contains(".")).select(F.explode(above).alias("module")).distinct().withColumn("package", F.lit(True))
     rel = facts.filter("fact = 'relative'").join(packages, F.col("name") == F.col("module"), "left").drop("module")
     parts = F.split("name", r"\.")
     own = F.when(F.col("package"), parts).otherwise(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))))
@@ -99,7 +92,7 @@ def symbol_table(nodes: DataFrame, wanted: DataFrame, froms: DataFrame, aliases:
     find = modules
     todo = written(wanted.distinct().select(F.col("module").alias("root"), F.col("local").alias("want"), "module", "local", F.array().cast("array<int>").alias("path"), F.array(F.concat_ws("/", "module", "local")).alias("seen")))
     found = None
-    for _ in range(HOPS):
+    while True:  # ends: ``seen`` grows along every search, and no search comes to a place twice
         own = todo.join(keys, F.concat_ws(".", "module", "local") == F.col("name"))
         hits = own.select("root", "want", "path", F.col("name").alias("target"))
         left = todo.join(keys, F.concat_ws(".", "module", "local") == F.col("name"), "left_anti")
@@ -171,7 +164,7 @@ def method_table(nodes: DataFrame, bases: DataFrame) -> DataFrame:
     classes = nodes.filter("kind = 'class'").select(F.col("name").alias("class"))
     line = classes.select("class", F.col("class").alias("at"), F.array().cast("array<int>").alias("path"), F.array("class").alias("seen"))
     every, walk = line, written(line)
-    for _ in range(HOPS):
+    while True:  # ends: no line of base classes holds a class twice
         walk = walk.join(bases, F.col("at") == F.col("src")).filter(~F.array_contains("seen", F.col("dst")))
         walk = written(walk.select("class", F.col("dst").alias("at"), F.concat("path", F.array("ord")).alias("path"), F.concat("seen", F.array("dst")).alias("seen")))
         if walk.isEmpty():
@@ -181,6 +174,18 @@ def method_table(nodes: DataFrame, bases: DataFrame) -> DataFrame:
     return every.join(methods, "at").groupBy("class", "method").agg(F.min_by("target", "path").alias("target"))
 
 
+def guessed(nodes: DataFrame, calls: DataFrame) -> DataFrame:
+    """``src, dst`` of ``calls(src, called)`` that could mean a method of ``nodes``: every method of that name but the caller.
+
+    Names that containers and strings have, and names of more than a few methods, are no guess.
+    """
+    named = nodes.filter("kind = 'method'").select(_last(F.col("name")).alias("called"), F.col("name").alias("dst")).filter(~F.col("called").isin(*settings.COMMON_METHODS))
+    few = named.groupBy("called").count().filter(F.col("count") <= settings.AMBIGUOUS_LIMIT + 1).select("called")
+    many = calls.join(named.join(few, "called", "left_semi"), "called").filter("src <> dst")
+    allowed = many.groupBy("src", "called").count().filter(F.col("count") <= settings.AMBIGUOUS_LIMIT).select("src", "called")
+    return many.join(allowed, ["src", "called"], "left_semi").select("src", "dst").distinct()
+
+
 def _resolved_calls(r: _Resolver, methods: DataFrame) -> DataFrame:
     """``src, dst, certain``.  Each call gets the answer of the first rule that applies to it, be it empty."""
     calls = r.calls.select(F.col("name").alias("src"), "module", "owner", F.col("a").alias("tag"), F.col("b").alias("base"), F.col("c").alias("called"))
@@ -230,12 +235,8 @@ def _resolved_calls(r: _Resolver, methods: DataFrame) -> DataFrame:
     real = first.filter("target IS NOT NULL").join(r.kinds, "target").withColumn("init", F.when((F.col("target_kind") == "class") & (F.col("how") == "call"), F.concat("target", F.lit(".__init__"))))
     real = real.join(inits.withColumn("has", F.lit(True)), "init", "left").filter("NOT (how = 'call' AND target_kind = 'module')")
     certain = real.select("src", F.when(F.col("has"), F.col("init")).otherwise(F.col("target")).alias("dst")).filter("src <> dst").distinct()
-    named = r.nodes.filter("kind = 'method'").select(_last(F.col("name")).alias("called"), F.col("name").alias("dst")).filter(~F.col("called").isin(*settings.COMMON_METHODS))
     guesses = first.filter("how = 'guess'").select("src", "called").distinct()
-    few = named.groupBy("called").count().filter(F.col("count") <= settings.AMBIGUOUS_LIMIT + 1).select("called")
-    many = guesses.join(named.join(few, "called", "left_semi"), "called").filter("src <> dst")
-    allowed = many.groupBy("src", "called").count().filter(F.col("count") <= settings.AMBIGUOUS_LIMIT).select("src", "called")
-    maybe = many.join(allowed, ["src", "called"], "left_semi").select("src", "dst").distinct().join(certain, ["src", "dst"], "left_anti")
+    maybe = guessed(r.nodes, guesses).join(certain, ["src", "dst"], "left_anti")
     return certain.withColumn("certain", F.lit(True)).unionByName(maybe.withColumn("certain", F.lit(False)))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.operators.code_graph import CodeGraph, build
 
@@ -32,3 +33,27 @@ def package_graph(spark: SparkSession) -> CodeGraph:
     if key not in _BUILT:
         _BUILT[key] = build(package(spark))
     return _BUILT[key]
+
+
+#: Modules of one generated package: its last one sees a name over twelve imports and a method over twelve classes.
+CHAIN = 13
+
+
+def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file, text``: a module for each supplier, in packages of CHAIN modules that import from one another in a row."""
+    k = F.col("k").cast("string")
+    before = (F.col("k") - 1).cast("string")
+    go = F.concat(F.lit("\n\ndef go():\n    c = C"), k, F.lit("()\n    f()\n    return c.hello()\n"))
+    first = F.concat(F.lit("def f():\n    return 1\n\n\nclass C"), k, F.lit(":\n    def hello(self):\n        return f()\n"), go)
+    later = F.concat(F.lit("from .m"), before, F.lit(" import C"), before, F.lit(", f\n\n\nclass C"), k, F.lit("(C"), before, F.lit("):\n    pass\n"), go)
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
+    name = F.concat(F.lit("c"), F.floor(F.col("k") / CHAIN).cast("string"), F.lit(".m"), k, F.lit(".py"))
+    return rows.select(name.alias("file"), F.when(F.col("k") % CHAIN == 0, first).otherwise(later).alias("text"))
+
+
+def generated_graph(spark: SparkSession, sf_dir: str, without: str = "") -> CodeGraph:
+    """The generated packages' graph (without one file), built once per application."""
+    key = f"{spark.sparkContext.applicationId} {sf_dir} {without}"
+    if key not in _BUILT:
+        _BUILT[key] = build(generated(spark, sf_dir).filter(F.col("file") != without))
+    return _BUILT[key]

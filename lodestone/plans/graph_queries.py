@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import settings
 from lodestone.operators import code_graph, code_parse, code_query, hybrid, traversal, vector_search
-from lodestone.plans.fixtures import package, package_graph
+from lodestone.plans.fixtures import CHAIN, generated_graph, package, package_graph
 from lodestone.plans.registry import Registry, table
-from lodestone.plans.text_queries import QUESTION, document_chunks
+from lodestone.plans.text_queries import _CHUNKS, _HITS, _TERMS, QUESTION, document_chunks
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
 
 _EDGES = """
 edges AS (SELECT src, dst, bool_or(certain) AS certain FROM (
-  SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_linestatus <> 'O' AS certain FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45
+  SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_linestatus <> 'O' AS certain FROM lineitem WHERE l_returnflag = 'R'
   UNION ALL
-  SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, l_linestatus <> 'O' AS certain FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45
+  SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, l_linestatus <> 'O' AS certain FROM lineitem WHERE l_returnflag = 'A'
 ) GROUP BY src, dst)
 """
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "lineitem").filter("l_quantity > 45 AND l_returnflag IN ('R', 'A')")
+    items = table(spark, d, "lineitem").filter("l_returnflag IN ('R', 'A')")
     s, p = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")
     out = F.col("l_returnflag") == "R"
     each = items.select(F.when(out, s).otherwise(p).alias("src"), F.when(out, p).otherwise(s).alias("dst"), (F.col("l_linestatus") != "O").alias("certain"))
@@ -54,12 +56,18 @@ def bfs_callers_3(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH last AS (SELECT DISTINCT p_brand AS owner, regexp_extract(p_name, '([^ ]+)$', 1) AS method FROM part WHERE p_size <= 1)
-SELECT method, count(*) AS n FROM last GROUP BY method HAVING count(*) <= {settings.AMBIGUOUS_LIMIT}
+WITH p AS (SELECT p_brand, p_type, regexp_extract(p_name, '([^ ]+)$', 1) || '_' || p_size AS called FROM part),
+m AS (SELECT DISTINCT p_brand || '.' || called AS name, called FROM p),
+g AS (SELECT DISTINCT p_type AS src, called FROM p),
+few AS (SELECT called FROM m GROUP BY called HAVING count(*) <= {settings.AMBIGUOUS_LIMIT})
+SELECT src, m.name AS dst FROM g JOIN m ON g.called = m.called WHERE g.called IN (SELECT called FROM few)
 """)
 def ambiguous_names(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part").filter("p_size <= 1").select(F.col("p_brand").alias("owner"), F.substring_index("p_name", " ", -1).alias("method")).distinct()
-    return parts.groupBy("method").agg(F.count("*").alias("n")).filter(F.col("n") <= settings.AMBIGUOUS_LIMIT)
+    """Brands stand for classes, last words of names with sizes for methods, types for callers."""
+    called = F.concat(F.substring_index("p_name", " ", -1), F.lit("_"), "p_size")
+    parts = table(spark, d, "part").select("p_brand", "p_type", called.alias("called"))
+    methods = parts.select(F.lit("method").alias("kind"), F.concat("p_brand", F.lit("."), "called").alias("name")).distinct()
+    return code_graph.guessed(methods, parts.select(F.col("p_type").alias("src"), "called").distinct())
 
 
 @query("""
@@ -147,13 +155,126 @@ def code_describe(spark: SparkSession, d: str) -> DataFrame:
     return code_query.report(package_graph(spark), "zoo.animals.base.register", 3)
 
 
-@query("SELECT * FROM (VALUES ('graph', 1, 'app.py'), ('vector', 1, ''), ('vector', 2, '')) v(kind, rank, source)")
+_MODULES = f"""
+k AS (SELECT s_suppkey AS k FROM supplier),
+g AS (SELECT k, k % {CHAIN} AS p, 'c' || (k // {CHAIN}) || '.m' || k AS module, 'c' || (k // {CHAIN}) || '.m' || (k - 1) AS before, 'c' || (k // {CHAIN}) || '.m' || ({CHAIN} * (k // {CHAIN})) AS root, 'C' || ({CHAIN} * (k // {CHAIN})) AS top FROM k),
+nodes AS (
+  SELECT module AS name, 'module' AS kind, k, 0 AS ord, module FROM g UNION ALL SELECT module || '.C' || k, 'class', k, 2, module FROM g UNION ALL SELECT module || '.go', 'function', k, 4, module FROM g
+  UNION ALL SELECT module || '.f', 'function', k, 1, module FROM g WHERE p = 0 UNION ALL SELECT module || '.C' || k || '.hello', 'method', k, 3, module FROM g WHERE p = 0),
+calls AS (
+  SELECT module || '.go' AS src, unnest([root || '.f', module || '.C' || k, root || '.' || top || '.hello']) AS dst FROM g
+  UNION ALL SELECT module || '.C' || k || '.hello', module || '.f' FROM g WHERE p = 0),
+imports AS (SELECT module AS src, before AS dst FROM g WHERE p > 0)
+"""
+
+
+@query(f"WITH {_MODULES} SELECT name, kind FROM nodes")
+def generated_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Modules generated from suppliers, in packages of thirteen that import in a row."""
+    return generated_graph(spark, d).nodes.select("name", "kind")
+
+
+@query(f"WITH {_MODULES} SELECT src, dst, true AS certain FROM calls")
+def generated_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Names found over twelve imports, methods over twelve base classes."""
+    return generated_graph(spark, d).calls
+
+
+@query(f"WITH {_MODULES} SELECT src, dst FROM imports")
+def generated_imports(spark: SparkSession, d: str) -> DataFrame:
+    return generated_graph(spark, d).imports
+
+
+@query(f"WITH {_MODULES} SELECT module || '.C' || k AS src, before || '.C' || (k - 1) AS dst FROM g WHERE p > 0")
+def generated_bases(spark: SparkSession, d: str) -> DataFrame:
+    return generated_graph(spark, d).bases.select("src", "dst")
+
+
+@query(f"WITH {_MODULES} SELECT module AS dotted, module AS target FROM g UNION ALL SELECT 'm' || k, module FROM g")
+def generated_suffixes(spark: SparkSession, d: str) -> DataFrame:
+    return code_graph.module_table(generated_graph(spark, d).nodes)
+
+
+@query(f"""
+WITH {_MODULES} SELECT src, dst FROM calls
+WHERE src NOT LIKE 'c0.m1.%' AND (src NOT LIKE 'c0.m%' OR src LIKE 'c0.m0.%' OR dst LIKE 'c0.m_.C%' AND dst NOT LIKE '%.hello' OR dst LIKE 'c0.m__.C%' AND dst NOT LIKE '%.hello')
+""")
+def generated_without_file(spark: SparkSession, d: str) -> DataFrame:
+    """With one file removed, what its package saw through it is gone and all else stays."""
+    return generated_graph(spark, d, "c0.m1.py").calls.select("src", "dst")
+
+
+@query(f"WITH {_MODULES} SELECT module || '.py' AS file, count(*) AS n_nodes FROM nodes GROUP BY module")
+def generated_files(spark: SparkSession, d: str) -> DataFrame:
+    return code_query.file_names(generated_graph(spark, d)).select("file", "n_nodes")
+
+
+@query(f"WITH {_MODULES} SELECT module AS node, CAST(p AS INTEGER) AS level FROM g WHERE k BETWEEN 1 AND 3")
+def generated_import_levels(spark: SparkSession, d: str) -> DataFrame:
+    return code_query.import_levels(generated_graph(spark, d), "c0.m0", 3).select("node", "level")
+
+
+@query(f"WITH {_MODULES} SELECT name AS node FROM nodes WHERE name LIKE 'c0.m0.C0%'")
+def generated_start_set(spark: SparkSession, d: str) -> DataFrame:
+    """A class stands for itself and its methods."""
+    return code_query.start_set(generated_graph(spark, d).nodes, "c0.m0.C0")
+
+
+@query(f"WITH {_MODULES} SELECT module || '.go' AS node, 1 AS level, false AS uncertain FROM g WHERE root = 'c0.m0'")
+def generated_callers(spark: SparkSession, d: str) -> DataFrame:
+    """Who is affected by a class: every module of its package, through an inherited method."""
+    return code_query.traverse(generated_graph(spark, d), "c0.m0.C0")
+
+
+@query(f"""
+WITH {_MODULES}, f AS (SELECT name, row_number() OVER (ORDER BY module || '.py', ord) AS rank FROM nodes WHERE name LIKE '%.go' OR name LIKE '%.f'), e AS (SELECT name, 1 AS rank FROM nodes WHERE name = 'c0.m3.go')
+SELECT 'short' AS question, name, CAST(rank AS INTEGER) AS rank FROM f WHERE rank <= 5 UNION ALL SELECT 'exact', name, rank FROM e
+""")
+def generated_matches(spark: SparkSession, d: str) -> DataFrame:
+    nodes = generated_graph(spark, d).nodes
+    asked = {"exact": "what does m3.go do, and f?", "short": "where is go or f used"}
+    a, b = (code_query.find_matches(nodes, q).select(F.lit(k).alias("question"), "name", "rank") for k, q in asked.items())
+    return a.unionByName(b)
+
+
+_LISTED = "array_to_string(a[:12], ', ') || CASE WHEN len(a) > 12 THEN ' +' || (len(a) - 12) ELSE '' END"
+
+
+@query(f"""
+WITH {_MODULES}, f AS (SELECT list(src ORDER BY src) AS a, count(*) AS n, count(DISTINCT split_part(src, '.', 2)) AS files FROM calls WHERE dst = 'c0.m0.f'),
+c AS (SELECT list(module || '.go' ORDER BY module || '.go') AS a, count(*) AS n FROM g WHERE root = 'c0.m0'), i AS (SELECT count(*) AS n FROM g WHERE k BETWEEN 2 AND 4)
+SELECT 'f' AS node, 'header' AS section, 0 AS ord, 'function c0.m0.f (c0.m0.py:1)' AS line UNION ALL SELECT 'f', 'affected', 1, {_LISTED} FROM f UNION ALL SELECT 'f', 'total', 0, n || ' nodes in ' || files || ' files' FROM f
+UNION ALL SELECT 'C0', 'header', 0, 'class c0.m0.C0 (c0.m0.py:5)' UNION ALL SELECT 'C0', 'methods', 0, 'hello' UNION ALL SELECT 'C0', 'affected', 1, {_LISTED} FROM c UNION ALL SELECT 'C0', 'total', 0, n || ' nodes in ' || n || ' files' FROM c
+UNION ALL SELECT 'm1', 'header', 0, 'module c0.m1 (c0.m1.py)' UNION ALL SELECT 'm1', 'defines', 0, 'C1, go' UNION ALL SELECT 'm1', 'imports', 0, 'c0.m0'
+UNION ALL SELECT 'm1', 'affected', CAST(k - 1 AS INTEGER), module FROM g WHERE k BETWEEN 2 AND 4 UNION ALL SELECT 'm1', 'total', 0, n || ' nodes in ' || n || ' files' FROM i
+""")
+def generated_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Reports on a function, a class and a module; long lists are cut and counted."""
+    graph = generated_graph(spark, d)
+    parts = [code_query.report(graph, n, 3).select(F.lit(n.split(".")[-1]).alias("node"), "section", "ord", "line") for n in ("c0.m0.f", "c0.m0.C0", "c0.m1")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_FOUND = "SELECT 1 AS rank, 'c0.m3.go' AS node, 'c0.m3.py' AS source, 'function c0.m3.go (c0.m3.py:8)' || chr(10) || 'calls: ' || string_agg(dst, ', ' ORDER BY dst) AS text FROM calls WHERE src = 'c0.m3.go'"
+
+
+@query(f"WITH {_MODULES} {_FOUND}")
+def generated_search(spark: SparkSession, d: str) -> DataFrame:
+    return code_query.search(generated_graph(spark, d), "impact of m3.go", 3)
+
+
+@query(f"""
+WITH {_MODULES}, {_CHUNKS}, {_TERMS}, {_HITS}, graph AS ({_FOUND}),
+best AS (SELECT chunk_id, least(g, 0.25) AS score, row_number() OVER (ORDER BY least(g, 0.25) DESC, chunk_id) AS rank FROM gains)
+SELECT 'graph' AS kind, rank, source, text, CAST(NULL AS DOUBLE) AS score FROM graph
+UNION ALL SELECT 'vector', CAST(rank AS INTEGER), source, piece, round(score, 6) FROM best JOIN chunks ON chunk_id = doc_id * 2147483648 + start WHERE rank <= 2
+""")
 def hybrid_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Both sides of a hybrid search; passages' sources depend on the data, so only their ranks are compared."""
-    graph = package_graph(spark)
+    """Both sides of a hybrid search: a report on generated code, and passages of the documents."""
+    graph = generated_graph(spark, d)
     scored = vector_search.keyword_boost(document_chunks(spark, d), QUESTION)
     sides = {
-        "graph": lambda: code_query.search(graph, "what is affected by main", 3, 2),
-        "vector": lambda: vector_search.ranked(scored, 2, by="boost").select("rank", F.lit("").alias("source"), "text", F.col("boost").alias("score")),
+        "graph": lambda: code_query.search(graph, "what is affected by m3.go", 3, 2),
+        "vector": lambda: vector_search.ranked(scored, 2, by="boost").select("rank", F.col("file").alias("source"), "text", F.round("boost", 6).alias("score")),
     }
-    return hybrid.hybrid_search(sides).rows.select("kind", "rank", "source")
+    return hybrid.hybrid_search(sides).rows.select("kind", "rank", "source", "text", "score")
