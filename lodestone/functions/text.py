@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from lodestone import settings
 
 
+#: Unicode white space, and the four separators that count as such.
+WHITE_SPACE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column | str) -> Column:
     """Without white space (Unicode) at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def folded(c: Column | str) -> Column:

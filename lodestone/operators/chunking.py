@@ -16,14 +16,18 @@ from lodestone.functions.text import strip
 _HEADING = re.compile(r"^#{1,6}\s+(.+?)\s*$", re.M)
 
 
-def spans(text: Column, size: int = settings.CHUNK_CHARS, overlap: int = settings.CHUNK_OVERLAP) -> Column:
+def steps(text: Column, size: int = settings.CHUNK_CHARS, overlap: int = settings.CHUNK_OVERLAP) -> Column:
+    """The stripped text, cut once into pieces of ``size - overlap`` characters: the work is linear in its length."""
+    return F.regexp_extract_all(strip(text), F.lit(f"(?s)(.{{1,{max(size - overlap, 1)}}})"), F.lit(1))
+
+
+def spans(cut: Column, size: int = settings.CHUNK_CHARS, overlap: int = settings.CHUNK_OVERLAP) -> Column:
     """``array<struct<start, piece>>``: windows of ``size`` characters that start every ``size - overlap``.
 
-    The text is cut once into steps, so the work is linear in its length; a window is its own step
-    and the beginnings of the next.  The last window may lie within the one before it.  Blank pieces are left out.
+    ``cut`` is a column of :func:`steps`; a window is its own step and the beginnings of the next.  The last
+    window may lie within the one before it.  Blank pieces are left out.
     """
     step = max(size - overlap, 1)
-    cut = F.regexp_extract_all(strip(text), F.lit(f"(?s)(.{{1,{step}}})"), F.lit(1))
     follow = -(-max(size - step, 0) // step)
     shifted = [F.slice(cut, k + 1, F.greatest(F.size(cut) - k, F.lit(0))).alias(f"s{k}") for k in range(follow + 1)]
 
@@ -34,9 +38,14 @@ def spans(text: Column, size: int = settings.CHUNK_CHARS, overlap: int = setting
     return F.filter(F.transform(F.arrays_zip(*shifted), piece), lambda p: p["piece"] != "")
 
 
-def chunked(docs: DataFrame, key: str, text: str = "text", size: int = settings.CHUNK_CHARS, overlap: int = settings.CHUNK_OVERLAP) -> DataFrame:
-    """``key, ord, start, piece``: a row for each chunk; nulls have none."""
-    return docs.select(key, F.posexplode(spans(F.col(text), size, overlap)).alias("ord", "c")).select(key, "ord", "c.start", "c.piece")
+def chunked(docs: DataFrame, key: str, text: str = "text", size: int = settings.CHUNK_CHARS, overlap: int = settings.CHUNK_OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key, *keep, ord, start, piece``: a row for each chunk; nulls have none.
+
+    The cut is a projection of its own, so its expression runs once for a text.
+    """
+    cut = docs.select(key, *keep, steps(F.col(text), size, overlap).alias("__cut"))
+    each = cut.select(key, *keep, F.posexplode(spans(F.col("__cut"), size, overlap)).alias("ord", "c"))
+    return each.select(key, *keep, "ord", "c.start", "c.piece")
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("title", T.StringType())])))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
+import functools
+import hashlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
@@ -25,7 +27,7 @@ class Embedder(Protocol):
 
 
 class HashEmbedder:
-    """Deterministic and offline: signed feature hashing of lower-cased words."""
+    """Deterministic and offline: signed feature hashing of lower-cased words, by the first 32 bits of their MD5."""
 
     def __init__(self, dim: int = 64, model: str = "hash-64"):
         self.dim, self.model = dim, model
@@ -33,12 +35,17 @@ class HashEmbedder:
     def embed(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)
         for i, t in enumerate(texts):
-            for w in t.lower().split():
-                h = zlib.crc32(w.encode())
-                out[i, (h >> 1) % self.dim] += 1 if h & 1 else -1
+            for w, n in Counter(t.lower().split()).items():
+                h = _word_hash(w)
+                out[i, (h >> 1) % self.dim] += n if h & 1 else -n
         return out
 
 
+@functools.lru_cache(100_000)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[:4], "big")
+
+
 def embed_batch(embedder: Embedder, texts: Sequence[str]) -> np.ndarray:
     """One call for the batch; if it fails or comes back empty, one call for each text.  A wrong count is an error."""
     try:

@@ -86,7 +86,7 @@ def build_context(hits: DataFrame, most: int = settings.HYBRID_CONTEXT_CHARS) ->
     )
 
 
-def plain_context(hits: DataFrame) -> DataFrame:
-    """All hits in order, without a budget."""
+def plain_context(hits: DataFrame, *keys: str) -> DataFrame:
+    """All hits in order, without a budget; one row for each value of ``keys``, if there are any."""
     blocks = F.transform(F.array_sort(F.collect_list(F.struct("rank", "source", "text"))), lambda b: F.concat(F.lit("["), b["source"], F.lit("]\n"), b["text"]))
-    return hits.agg(F.array_join(blocks, "\n\n").alias("context"))
+    return hits.groupBy(*keys).agg(F.array_join(blocks, "\n\n").alias("context"))

@@ -13,7 +13,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.ml import best_split
+from lodestone.operators.ml import best_splits
 
 
 @dataclass
@@ -32,19 +32,48 @@ class Split:
             return F.lit(self.value)
         return F.when(F.col(self.feature) <= self.threshold, self.left.predicted()).otherwise(self.right.predicted())
 
-
-def grow_tree(rows: DataFrame, features: list[str], label: str, depth: int = 3, least: int = 2) -> Split:
-    """A tree on binary labels by entropy gain; each node is one aggregation, the driver holds the splits."""
-    n, mean = rows.agg(F.count("*"), F.avg(F.col(label).cast("double"))).first()
-    leaf = Split(value=float(mean is not None and mean > 0.5))
-    if depth == 0 or n < least or mean in (None, 0.0, 1.0):
-        return leaf
-    found = best_split(rows, features, label).first()
-    if found is None or found["gain"] <= 0:
-        return leaf
-    test = F.col(found["feature"]) <= found["threshold"]
-    parts = [grow_tree(rows.filter(c), features, label, depth - 1, least) for c in (test, ~test)]
-    return Split(None, found["feature"], found["threshold"], *parts)
+    def place(self, number: int = 1) -> Column:
+        """The number of the leaf that a row comes to: 1 is the root, ``2 n`` and ``2 n + 1`` are below ``n``."""
+        if self.left is None or self.right is None:
+            return F.lit(number)
+        return F.when(F.col(self.feature) <= self.threshold, self.left.place(2 * number)).otherwise(self.right.place(2 * number + 1))
+
+
+def grow_tree(rows: DataFrame, features: list[str], label: str, depth: int = 3, least: int = 2, regression: bool = False) -> Split:
+    """A tree by entropy gain over the label's classes, or by gain of squared error with means in its leaves.
+
+    A level is grown at a time: one aggregation for all its leaves, one for all their splits; the driver
+    holds the splits.  Of equally frequent classes the smaller one is the leaf's value; no rows give 0.
+    """
+    y = F.col(label).cast("double")
+    rows = rows.filter(y.isNotNull())
+    root = Split(value=0.0)
+    at, classes = {1: root}, None
+    for level in range(depth + 1):
+        placed = rows.withColumn("__node", root.place())
+        if regression:
+            stats = {r["__node"]: (r["n"], r["mean"], None) for r in placed.groupBy("__node").agg(F.count("*").alias("n"), F.avg(y).alias("mean")).collect()}
+        else:
+            seen = placed.groupBy("__node", y.alias("y")).count()
+            best = F.min_by("y", F.struct(-F.col("count"), "y"))
+            stats = {r["__node"]: (r["n"], r["v"], r["kinds"]) for r in seen.groupBy("__node").agg(F.sum("count").alias("n"), best.alias("v"), F.count("*").alias("kinds")).collect()}
+            classes = classes or [r[0] for r in seen.select("y").distinct().orderBy("y").collect()]
+        for number, (_, value, _) in stats.items():
+            at[number].value = float(value)
+        ready = [k for k, (n, _, kinds) in stats.items() if k in at and n >= least and kinds != 1]
+        if level == depth or not ready:
+            break
+        found = best_splits(placed.filter(F.col("__node").isin(ready)), features, label, None if regression else classes, "__node")
+        grown = {}
+        for r in found.filter("gain > 0").collect():
+            node = at[r["node"]]
+            node.feature, node.threshold, node.left, node.right = r["feature"], r["threshold"], Split(value=node.value), Split(value=node.value)
+            grown |= {2 * r["node"]: node.left, 2 * r["node"] + 1: node.right}
+        if not grown:
+            break
+        at = grown
+        rows = rows.filter(root.place().isin(list(grown)))
+    return root
 
 
 def with_features(rows: DataFrame, vector: str) -> DataFrame:
@@ -80,49 +109,54 @@ def dense(x: Column, weights: list[list[float]], bias: list[float], activation:
     return F.array(*(unit(r, b) for r, b in zip(weights, bias, strict=True)))
 
 
+def _uniform(seed: int, *index: Column) -> Column:
+    """A number above 0 and below 1 that depends on seed and index alone, however rows are dealt."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(i.cast("string") for i in index)))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+
+def random_normal(seed: int, *index: Column) -> Column:
+    """A standard normal number for an index, from two uniform ones."""
+    a, b = _uniform(seed, *index, F.lit("a")), _uniform(seed, *index, F.lit("b"))
+    return F.sqrt(-2 * F.ln(a)) * F.cos(2 * math.pi * b)
+
+
 def initialised(i: Column, j: Column, rule: str, fan_in: int, fan_out: int, seed: int) -> Column:
     """Random weights of a matrix given as rows ``(i, j)``: uniform or normal, scaled by the rule."""
     match rule:
         case "uniform":
-            return F.rand(seed) * 2 - 1
+            return _uniform(seed, i, j) * 2 - 1
         case "xavier_uniform":
-            return (F.rand(seed) * 2 - 1) * math.sqrt(6 / (fan_in + fan_out))
+            return (_uniform(seed, i, j) * 2 - 1) * math.sqrt(6 / (fan_in + fan_out))
         case "xavier_normal":
-            return F.randn(seed) * math.sqrt(2 / (fan_in + fan_out))
+            return random_normal(seed, i, j) * math.sqrt(2 / (fan_in + fan_out))
         case "he":
-            return F.randn(seed) * math.sqrt(2 / fan_in)
+            return random_normal(seed, i, j) * math.sqrt(2 / fan_in)
     raise ValueError(f"unknown rule {rule}")
 
 
-class Optimizer:
-    """Steps on the driver's few parameters: plain, with momentum, AdaGrad or Adam."""
+def optimised(parameters: DataFrame, rule: str, step: int, rate: float = 0.01, momentum: float = 0.9, decay: tuple[float, float] = (0.9, 0.999), epsilon: float = 1e-8) -> DataFrame:
+    """One step on a table of parameters ``i, j, v, g, m, s``: value, gradient, and the two moments (0 at first).
 
-    def __init__(self, rule: str = "sgd", rate: float = 0.01, momentum: float = 0.9, decay: tuple[float, float] = (0.9, 0.999), epsilon: float = 1e-8):
-        if rule not in ("sgd", "momentum", "adagrad", "adam"):
+    ``sgd``, ``momentum``, ``adagrad`` (its epsilon stands inside the root) or ``adam`` (outside); ``step`` counts from 1.
+    """
+    v, g, m, s = (F.col(c) for c in "vgms")
+    a, b = decay
+    match rule:
+        case "sgd":
+            new = (v - rate * g, m, s)
+        case "momentum":
+            moved = momentum * m - rate * g
+            new = (v + moved, moved, s)
+        case "adagrad":
+            summed = s + g * g
+            new = (v - rate * g / F.sqrt(summed + epsilon), m, summed)
+        case "adam":
+            first, second = a * m + (1 - a) * g, b * s + (1 - b) * g * g
+            new = (v - rate * (first / (1 - a**step)) / (F.sqrt(second / (1 - b**step)) + epsilon), first, second)
+        case _:
             raise ValueError(f"unknown rule {rule}")
-        self.rule, self.rate, self.momentum, self.decay, self.epsilon = rule, rate, momentum, decay, epsilon
-        self.first: dict[str, float] = {}
-        self.second: dict[str, float] = {}
-        self.steps = 0
-
-    def step(self, parameters: dict[str, float], gradients: dict[str, float]) -> dict[str, float]:
-        self.steps += 1
-        return {k: p + self._change(k, gradients[k]) for k, p in parameters.items()}
-
-    def _change(self, k: str, g: float) -> float:
-        m, v = self.first.get(k, 0.0), self.second.get(k, 0.0)
-        if self.rule == "sgd":
-            return -self.rate * g
-        if self.rule == "momentum":
-            self.first[k] = self.momentum * m - self.rate * g
-            return self.first[k]
-        if self.rule == "adagrad":
-            self.second[k] = v + g * g
-            return -self.rate * g / math.sqrt(self.second[k] + self.epsilon)
-        a, b = self.decay
-        self.first[k], self.second[k] = a * m + (1 - a) * g, b * v + (1 - b) * g * g
-        mean, spread = self.first[k] / (1 - a**self.steps), self.second[k] / (1 - b**self.steps)
-        return -self.rate * mean / (math.sqrt(spread) + self.epsilon)
+    return parameters.select("i", "j", new[0].alias("v"), "g", new[1].alias("m"), new[2].alias("s"))
 
 
 def one_hot_loss(truth: Column, predicted: Column) -> Column:

@@ -8,15 +8,38 @@ from __future__ import annotations
 import itertools
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import dot
+from lodestone.plans.lineage import written
 
 SMALL = 1e-10
 
 
+# --- running figures without one task for all ----------------------------------------------
+
+
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` dealt to ranges of ``order`` and written, with ``__part``: rows of a smaller part come first."""
+    return written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+
+
+def running(df: DataFrame, order: list[str], sums: dict[str, str], within: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with running sums (``new name: column``) in ``order``, within each value of ``within``.
+
+    Every range sums its own rows; what stands before it, one row per range, is added.
+    """
+    dealt, own = in_ranges(df, *within, *order), [*within, "__part"]
+    part = dealt.groupBy(*own).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    up = W.partitionBy(*within or [F.lit(0)]).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    before = part.select(*own, *(F.coalesce(F.sum(n).over(up), F.lit(0)).alias(f"__before_{n}") for n in sums))
+    here = W.partitionBy(*own).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    total = {n: F.sum(c).over(here) + F.col(f"__before_{n}") for n, c in sums.items()}
+    return dealt.join(before, own).withColumns(total).drop("__part", *(f"__before_{n}" for n in sums))
+
+
 # --- scaling -------------------------------------------------------------------------------
 
 
@@ -61,8 +84,8 @@ def characters(c: Column) -> Column:
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
     """``token, id`` of ``tokens(token)``: pad 0, unknown 1, then tokens in order."""
-    distinct = tokens.select("token").distinct()
-    numbered = distinct.select("token", (F.row_number().over(W.orderBy("token")) + 1).cast("long").alias("id"))
+    distinct = tokens.select("token").distinct().withColumn("one", F.lit(1))
+    numbered = running(distinct, ["token"], {"id": "one"}).select("token", (F.col("id") + 1).cast("long").alias("id"))
     fixed = tokens.sparkSession.createDataFrame([("<pad>", 0), ("<unk>", 1)], "token string, id long")
     return fixed.unionByName(numbered)
 
@@ -112,6 +135,7 @@ def fit_merges(pieces: DataFrame, rounds: int, wordpiece: bool = False, least: i
     Ties go to the smaller pair.
     """
     out: list[tuple[str, str, str]] = []
+    pieces = written(pieces.select("symbols", "n"))
     for _ in range(rounds):
         order = [F.desc("score" if wordpiece else "n"), "left", "right"]
         best = (wordpiece_scores(pieces) if wordpiece else pair_counts(pieces)).orderBy(*order).limit(1).collect()
@@ -120,7 +144,7 @@ def fit_merges(pieces: DataFrame, rounds: int, wordpiece: bool = False, least: i
         left, right = best[0]["left"], best[0]["right"]
         token = left + (right.removeprefix(prefix) if wordpiece else right)
         out.append((left, right, token))
-        pieces = merged(pieces, left, right, token)
+        pieces = written(merged(pieces, left, right, token))
     return out
 
 
@@ -129,16 +153,77 @@ def apply_merges(pieces: DataFrame, merges: list[tuple[str, str, str]]) -> DataF
     return reduce(lambda p, m: merged(p, *m), merges, pieces)
 
 
+def byte_symbols(words: DataFrame) -> DataFrame:
+    """``word, n, symbols`` of ``words(word, n)``: the bytes of each word's UTF-8, as two hexadecimal digits each."""
+    return words.select("word", "n", F.regexp_extract_all(F.hex(F.encode("word", "utf-8")), F.lit("(..)"), F.lit(1)).alias("symbols"))
+
+
+def wordpiece_vocabulary(pieces: DataFrame, merges: list[tuple[str, str, str]]) -> DataFrame:
+    """``piece``: the symbols of ``pieces`` and what their merges made."""
+    symbols = pieces.select(F.explode("symbols").alias("piece")).distinct()
+    made = pieces.sparkSession.createDataFrame([(t,) for _, _, t in merges], "piece string")
+    return symbols.unionByName(made).distinct()
+
+
+def wordpiece(words: DataFrame, vocab: DataFrame, prefix: str = "##", unknown: str = "<unk>") -> DataFrame:
+    """``word, pieces`` of distinct ``words(word)``: the longest piece of ``vocab(piece)`` at each place, from the left.
+
+    A word with a place where nothing fits is one unknown piece; pieces inside a word carry ``prefix``.
+    Substrings meet the vocabulary in an equi-join, and a fold walks along the longest ones.
+    """
+    vocab = written(vocab.select("piece").distinct())
+    longest = vocab.agg(F.coalesce(F.max(F.length("piece")), F.lit(0))).first()[0]
+    starts = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("at")).filter("word <> ''")
+    ends = F.sequence(F.col("at") + 1, F.least(F.length("word"), F.col("at") + longest))
+    tried = starts.select("word", "at", F.explode(ends).alias("end"))
+    text = F.substr("word", F.col("at") + 1, F.col("end") - F.col("at"))
+    tried = tried.withColumn("piece", F.when(F.col("at") > 0, F.concat(F.lit(prefix), text)).otherwise(text))
+    best = tried.join(vocab, "piece").groupBy("word", "at").agg(F.max(F.struct("end", "piece")).alias("m"))
+    steps = best.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "m.end", "m.piece"))).alias("steps"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        taken = F.struct(s["end"].cast("int").alias("at"), F.array_append(acc["out"], s["piece"]).alias("out"))
+        return F.when(s["at"] == acc["at"], taken).otherwise(acc)
+
+    walked = words.join(steps, "word", "left").withColumn("walk", F.aggregate(F.coalesce("steps", F.array().cast("array<struct<at:int,end:int,piece:string>>")), start, step))
+    whole = F.col("walk.at") == F.length("word")
+    return walked.select("word", F.when(whole, F.col("walk.out")).otherwise(F.array(F.lit(unknown))).alias("pieces"))
+
+
 # --- clustering ----------------------------------------------------------------------------
 
 
+#: Centres compared with a row at once; more go in blocks, so what is broadcast stays bounded.
+CENTRES_AT_ONCE = 4096
+
+
 def assign_clusters(points: DataFrame, centroids: DataFrame, key: str, vector: str) -> DataFrame:
-    """``key, vector, cluster, distance``: nearest of a few centroids (``cluster, centre``), ties to the smaller."""
-    pairs = points.select(key, vector).crossJoin(F.broadcast(centroids))
-    gap = F.zip_with(vector, "centre", lambda a, b: a.cast("double") - b)
-    near = pairs.select(key, vector, "cluster", F.sqrt(dot(gap, gap)).alias("distance"))
-    best = F.min(F.struct("distance", "cluster"))
-    return near.groupBy(key).agg(best.alias("b"), F.first(vector).alias(vector)).select(key, vector, "b.cluster", "b.distance")
+    """``key, vector, cluster, distance``: nearest of the centroids (``cluster, centre``), ties to the smaller.
+
+    Centres come as one broadcast row for each CENTRES_AT_ONCE of them, so a point never leaves its task.
+    """
+    blocks = max(1, -(-centroids.count() // CENTRES_AT_ONCE))
+    dealt = centroids.withColumn("__block", F.pmod(F.xxhash64("cluster"), F.lit(blocks)))
+    rows = points.select(key, vector)
+    for i in range(blocks):
+        block = dealt.filter(F.col("__block") == i).agg(F.collect_list(F.struct("cluster", "centre")).alias(f"__c{i}"))
+        rows = rows.crossJoin(F.broadcast(block))
+
+    def near(c: Column) -> Column:
+        gap = F.zip_with(vector, c["centre"], lambda a, b: a.cast("double") - b)
+        return F.struct(F.sqrt(dot(gap, gap)).alias("distance"), c["cluster"].alias("cluster"))
+
+    best = [F.array_min(F.transform(f"__c{i}", near)) for i in range(blocks)]
+    found = rows.select(key, vector, F.array_min(F.array(*best)).alias("b"))
+    return found.select(key, vector, "b.cluster", "b.distance")
+
+
+def kmeans_start(points: DataFrame, k: int, key: str, vector: str, seed: int = 0) -> DataFrame:
+    """``cluster, centre``: ``k`` distinct rows drawn by a hash of seed and key, so every run draws the same."""
+    drawn = points.select(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))).alias("__h"), key, vector).orderBy("__h", key).limit(k)
+    number = (F.row_number().over(W.orderBy("__h", key)) - 1).alias("cluster")
+    return written(drawn.select(number, F.transform(vector, lambda x: x.cast("double")).alias("centre")))
 
 
 def move_centroids(assigned: DataFrame, centroids: DataFrame, vector: str) -> DataFrame:
@@ -163,24 +248,43 @@ def kmeans(points: DataFrame, centroids: DataFrame, key: str, vector: str, round
 # --- trees ---------------------------------------------------------------------------------
 
 
-def best_split(rows: DataFrame, features: list[str], label: str) -> DataFrame:
-    """``feature, threshold, gain``: the split ``x <= threshold`` of most entropy gain over binary labels (0, 1).
+def best_splits(rows: DataFrame, features: list[str], label: str, classes: list[float] | None = None, node: str | None = None) -> DataFrame:
+    """``node, feature, threshold, gain``: for each node the split ``x <= threshold`` of most gain.
 
-    Every distinct value is tried; counts run cumulatively within a feature.  Ties go to the first feature, then the smaller value.
+    Gain is that of entropy over ``classes``, or of squared error where there are none.  Every distinct value is
+    tried; sums run along ranges of values, all features and nodes in one pass.  Ties go to the first feature, then
+    the smaller value.  Null values of a feature and null labels are left out.
     """
-    long = reduce(DataFrame.union, (rows.select(F.lit(i).alias("f"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), F.col(label).cast("double").alias("y")) for i, c in enumerate(features)))
-    by_value = long.groupBy("f", "feature", "x").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    up, whole = W.partitionBy("f").orderBy("x").rowsBetween(W.unboundedPreceding, 0), W.partitionBy("f")
-    c = by_value.select("f", "feature", "x", F.sum("n").over(up).alias("nl"), F.sum("p").over(up).alias("pl"), F.sum("n").over(whole).alias("n"), F.sum("p").over(whole).alias("p"))
-
-    def entropy(p: Column, n: Column) -> Column:
-        q = p / n
-        return -(F.when(q > 0, q * F.log2(q)).otherwise(0.0) + F.when(q < 1, (1 - q) * F.log2(1 - q)).otherwise(0.0))
-
-    right = F.col("n") - F.col("nl")
-    gain = entropy(F.col("p"), F.col("n")) - F.col("nl") / F.col("n") * entropy(F.col("pl"), F.col("nl")) - right / F.col("n") * entropy(F.col("p") - F.col("pl"), right)
-    tried = c.filter("nl < n").withColumn("gain", F.round(gain, 12))
-    return tried.orderBy(F.desc("gain"), "f", "x").limit(1).select("feature", F.col("x").alias("threshold"), "gain")
+    y, at = F.col(label).cast("double"), F.lit(0) if node is None else F.col(node)
+    values = F.array(*(F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("x")) for i, c in enumerate(features)))
+    long = rows.select(at.alias("node"), y.alias("y"), F.explode(values).alias("v")).select("node", "y", "v.f", "v.x").filter("x IS NOT NULL AND y IS NOT NULL")
+    if classes is None:
+        kept = {"s0": F.sum("y"), "s1": F.sum(F.col("y") * F.col("y"))}
+    else:
+        kept = {f"s{k}": F.count_if(F.col("y") == float(c)) for k, c in enumerate(classes)}
+    names = ["n", *kept]
+    by_value = long.groupBy("node", "f", "x").agg(F.count("*").alias("n"), *(c.alias(k) for k, c in kept.items()))
+    c = running(by_value, ["x"], {f"l_{n}": n for n in names}, ("node", "f"))
+    whole = by_value.groupBy("node", "f").agg(*(F.sum(n).alias(f"t_{n}") for n in names))
+    c = c.join(whole, ["node", "f"]).filter("l_n < t_n")
+
+    def impurity(n: Column, of: list[Column]) -> Column:
+        if classes is None:
+            return of[1] / n - (of[0] / n) * (of[0] / n)
+        return -reduce(lambda a, b: a + b, (F.when(q > 0, q * F.log2(q)).otherwise(0.0) for q in (x / n for x in of)))
+
+    left, total = ([F.col(f"{side}_{k}") for k in kept] for side in "lt")
+    n, nl = F.col("t_n"), F.col("l_n")
+    right = [b - a for a, b in zip(left, total, strict=True)]
+    gain = impurity(n, total) - nl / n * impurity(nl, left) - (n - nl) / n * impurity(n - nl, right)
+    tried = c.withColumn("gain", F.round(gain, 12)).withColumn("feature", F.get(F.array(*map(F.lit, features)), F.col("f")))
+    best = tried.groupBy("node").agg(F.min_by(F.struct("feature", F.col("x").alias("threshold"), "gain"), F.struct(-F.col("gain"), "f", "x")).alias("b"))
+    return best.select("node", "b.*")
+
+
+def best_split(rows: DataFrame, features: list[str], label: str, classes: list[float] | None = (0.0, 1.0)) -> DataFrame:
+    """``feature, threshold, gain`` of all rows as one node, over binary labels unless other ``classes`` are given."""
+    return best_splits(rows, features, label, classes and list(classes)).drop("node")
 
 
 def majority(votes: DataFrame, key: str, vote: str) -> DataFrame:
@@ -202,14 +306,31 @@ def polynomial(columns: list[str], degree: int) -> list[tuple[str, Column]]:
     return [("_".join(c), reduce(lambda a, b: a * b, map(F.col, c))) for c in combos]
 
 
-def fit_linear(rows: DataFrame, features: list[str], target: str, steps: int, rate: float) -> tuple[list[float], float, list[float]]:
-    """Gradient descent on the mean squared error from zero: weights, bias, losses; one aggregation a step."""
+def fit_linear(rows: DataFrame, features: list[str], target: str, steps: int, rate: float, loss: str = "squared", margin: float = 0.1, decay: float = 0.0) -> tuple[list[float], float, list[float]]:
+    """Gradient descent from zero: weights, bias, losses; one aggregation a step.
+
+    ``loss`` is ``squared``, ``hinge`` (targets -1 and 1: a linear support vector machine) or ``insensitive``
+    (errors up to ``margin`` cost nothing: support vector regression); ``decay`` shrinks the weights.
+    """
     w, b, losses = [0.0] * len(features), 0.0, []
+    y = F.col(target)
     for _ in range(steps):
-        err = predicted([F.col(f) for f in features], w, b) - F.col(target)
-        got = rows.agg(F.avg(err * err).alias("loss"), F.avg(2 * err).alias("b"), *(F.avg(2 * err * F.col(f)).alias(f"w{i}") for i, f in enumerate(features))).first()
+        p = predicted([F.col(f) for f in features], w, b)
+        err = p - y
+        match loss:
+            case "squared":
+                cost, slope = err * err, 2 * err
+            case "hinge":
+                cost, slope = F.greatest(1 - y * p, F.lit(0.0)), F.when(y * p < 1, -y).otherwise(0.0)
+            case "insensitive":
+                cost, slope = F.greatest(F.abs(err) - margin, F.lit(0.0)), F.when(F.abs(err) > margin, F.signum(err)).otherwise(0.0)
+            case _:
+                raise ValueError(f"unknown loss {loss}")
+        got = rows.agg(F.avg(cost).alias("loss"), F.avg(slope).alias("b"), *(F.avg(slope * F.col(f)).alias(f"w{i}") for i, f in enumerate(features))).first()
+        if got["loss"] is None:
+            break
         losses.append(got["loss"])
-        w, b = [x - rate * got[f"w{i}"] for i, x in enumerate(w)], b - rate * got["b"]
+        w, b = [x - rate * (got[f"w{i}"] + decay * x) for i, x in enumerate(w)], b - rate * got["b"]
     return w, b, losses
 
 
@@ -276,3 +397,27 @@ def reduced(m: DataFrame, axis: str) -> DataFrame:
 def reshaped(m: DataFrame, columns: int, new_columns: int) -> DataFrame:
     flat = F.col("i") * columns + F.col("j")
     return m.select(F.floor(flat / new_columns).alias("i"), (flat % new_columns).alias("j"), "v")
+
+
+def elementwise(a: DataFrame, b: DataFrame, op: str, over: tuple[str, ...] = ("i", "j")) -> DataFrame:
+    """``a op b`` cell by cell; ``b`` varies over the indices ``over`` only: both, ``i`` (a column), ``j`` (a row) or none (a scalar).
+
+    A division by nearly zero gives 0.
+    """
+    right = b.select(*over, F.col("v").alias("__w"))
+    rows = a.join(right, list(over)) if over else a.crossJoin(F.broadcast(right.limit(1)))
+    x, y = F.col("v"), F.col("__w")
+    found = {"+": x + y, "-": x - y, "*": x * y, "/": safe_ratio(x, y), "**": F.pow(x, y)}[op]
+    return rows.select("i", "j", found.alias("v"))
+
+
+def mapped(m: DataFrame, function: str) -> DataFrame:
+    """A function of every cell: ``sqrt``, ``exp``, ``log`` or ``abs``."""
+    v = F.col("v")
+    return m.select("i", "j", {"sqrt": F.sqrt(v), "exp": F.exp(v), "log": F.ln(v), "abs": F.abs(v)}[function].alias("v"))
+
+
+def filled(spark: SparkSession, rows: int, columns: int, value: Column | float) -> DataFrame:
+    """A matrix of one value (0, 1, ...) or of an expression of ``i`` and ``j``."""
+    cells = spark.range(rows * columns).select(F.expr(f"id div {columns}").alias("i"), (F.col("id") % columns).alias("j"))
+    return cells.select("i", "j", (value if isinstance(value, Column) else F.lit(float(value))).alias("v"))

@@ -8,6 +8,7 @@ is gathered for the diverse choice.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from lodestone import settings
 from lodestone.functions.text import folded, query_terms
 from lodestone.functions.vectors import dot, normalised
+from lodestone.plans.lineage import written
 
 
 def term_hits(text: Column, file: Column, terms: Column) -> Column:
@@ -24,18 +26,17 @@ def term_hits(text: Column, file: Column, terms: Column) -> Column:
     return F.transform(terms, lambda t: F.contains(hay, t))
 
 
-def keyword_boost(chunks: DataFrame, query: str, most: float = settings.MAX_BOOST, per_term: float = settings.BOOST_PER_TERM) -> DataFrame:
-    """``chunks`` with ``boost``: each term found adds ``per_term * (1 - df / n)``, ``most`` at most.
+def keyword_boost(chunks: DataFrame, query: str, most: float = settings.MAX_BOOST, per_term: float = settings.BOOST_PER_TERM, keep: list[str] | None = None) -> DataFrame:
+    """``chunks`` (or the columns ``keep``) with ``boost``: each term found adds ``per_term * (1 - df / n)``, ``most`` at most.
 
-    Document frequencies are one aggregation with a column for each term of the question; its single
-    row joins back.
+    Texts are looked at once: what is kept is written with its hits.  Document frequencies are then one
+    aggregation over the hits alone, with a column for each term of the question; its single row joins back.
     """
-    spark = chunks.sparkSession
+    spark, kept = chunks.sparkSession, [F.col(f"`{c}`") for c in keep or chunks.columns]
     terms = spark.range(1).select(query_terms(F.lit(query)).alias("t")).first()["t"]
     if not terms:
-        return chunks.withColumn("boost", F.lit(0.0))
-    array = F.array(*map(F.lit, terms))
-    hits = chunks.withColumn("__hits", term_hits(F.col("text"), F.col("file"), array))
+        return chunks.select(*kept, F.lit(0.0).alias("boost"))
+    hits = written(chunks.select(*kept, term_hits(F.col("text"), F.col("file"), F.array(*map(F.lit, terms))).alias("__hits")))
     counts = hits.agg(F.array(*(F.sum(F.col("__hits")[i].cast("int")) for i in range(len(terms)))).alias("__df"), F.count("*").alias("__n"))
     gain = F.zip_with("__hits", "__df", lambda hit, df: F.when(hit, F.lit(per_term) * (1 - df / F.col("__n"))).otherwise(0.0))
     total = F.aggregate(gain, F.lit(0.0), lambda acc, x: acc + x)
@@ -53,6 +54,11 @@ def ranked(scored: DataFrame, k: int, by: str = "score", key: str = "chunk_id")
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc(by), key)))
 
 
+def shortlist(scored: DataFrame, k: int, fetch_k: int | None = None) -> DataFrame:
+    """The rows among which the diverse choice is made: ``fetch_k`` best, four times ``k`` unless given, ``k`` at least."""
+    return ranked(scored, max(fetch_k or 4 * k, k))
+
+
 def mmr_order(shortlist: Column, k: int, weight: float) -> Column:
     """Indices into ``array<struct<score, normed, ...>>`` (best first), chosen one by one.
 
@@ -85,16 +91,25 @@ def search(chunks: DataFrame, query: str, vector: Sequence[float], top_k: int =
     scored = rows.withColumn("score", cosine(F.col("normed"), vector) + F.col("boost")).filter(F.col("score") >= min_score)
     if not use_mmr:
         return ranked(scored, top_k)
-    short = ranked(scored, max(fetch_k or 4 * top_k, top_k))
+    short = shortlist(scored, top_k, fetch_k)
     own = [c for c in short.columns if c != "rank"]
     gathered = short.agg(F.array_sort(F.collect_list(F.struct("rank", "score", "normed", *(c for c in own if c not in ("score", "normed"))))).alias("s"))
     chosen = gathered.select("s", F.posexplode(mmr_order(F.col("s"), top_k, mmr_lambda)).alias("n", "i"))
     return chosen.select(F.get("s", F.col("i")).alias("hit"), (F.col("n") + 1).alias("rank")).select(*(F.col("hit")[c].alias(c) for c in own), "rank")
 
 
+#: Questions broadcast at once; more are asked block by block.
+QUESTIONS_AT_ONCE = 4096
+
+
 def batch_search(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
-    """``query_id, rank, key, score``: the ``k`` best cosines of each of a bounded set of questions (``query_id, normed``)."""
-    pairs = chunks.select(key, F.col("normed").alias("__c")).crossJoin(F.broadcast(queries.select("query_id", F.col("normed").alias("__q"))))
-    scored = pairs.select("query_id", key, dot(F.col("__c"), F.col("__q")).alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    """``query_id, rank, key, score``: the ``k`` best cosines of each of a set of questions (``query_id, normed``)."""
+    blocks = max(1, -(-queries.count() // QUESTIONS_AT_ONCE))
+    dealt = queries.select("query_id", F.col("normed").alias("__q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("__block"))
+    found = []
+    for i in range(blocks):
+        pairs = chunks.select(key, F.col("normed").alias("__c")).crossJoin(F.broadcast(dealt.filter(F.col("__block") == i)))
+        scored = pairs.select("query_id", key, dot(F.col("__c"), F.col("__q")).alias("score"))
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key))
+        found.append(scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", key, "score"))
+    return reduce(DataFrame.unionByName, found)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,13 +102,84 @@ def wordpiece_scores(spark: SparkSession, d: str) -> DataFrame:
     return ml.wordpiece_scores(_pieces(spark, d, "##")).withColumn("score", F.round("score", 9))
 
 
-@query()
+def _merge_rounds(start: str, rounds: int, wordpiece: bool = False) -> str:
+    """SQL tables ``r0 ... rN`` of words, symbols as `` s `` each, and ``b1 ... bN`` of the pair merged in each round."""
+    out = [f"r0 AS ({start})"]
+    for i in range(1, rounds + 1):
+        out.append(f"y{i} AS (SELECT n, string_split(substr(s, 2, length(s) - 2), '  ') AS a FROM r{i - 1} WHERE s <> '')")
+        out.append(f"x{i} AS (SELECT n, unnest(list_zip(a[:len(a) - 1], a[2:])) AS p FROM y{i} WHERE len(a) > 1)")
+        out.append(f"q{i} AS (SELECT p[1] AS l, p[2] AS r, sum(n)::DOUBLE AS n FROM x{i} GROUP BY ALL)")
+        if wordpiece:
+            out.append(f"o{i} AS (SELECT s, sum(n)::DOUBLE AS c FROM (SELECT n, unnest(a) AS s FROM y{i}) GROUP BY s)")
+            out.append(f"b{i} AS (SELECT l, r, l || CASE WHEN starts_with(r, '##') THEN substr(r, 3) ELSE r END AS t FROM q{i} JOIN o{i} a ON l = a.s JOIN o{i} z ON r = z.s ORDER BY q{i}.n / (a.c * z.c) DESC, l, r LIMIT 1)")
+        else:
+            out.append(f"b{i} AS (SELECT l, r, l || r AS t FROM q{i} WHERE n >= 2 ORDER BY n DESC, l, r LIMIT 1)")
+        out.append(f"r{i} AS (SELECT word, n, coalesce(replace(s, ' ' || l || '  ' || r || ' ', ' ' || t || ' '), s) AS s FROM r{i - 1} LEFT JOIN b{i} ON true)")
+    return ",\n".join(out)
+
+
+_COUNTED = f"{_WORDS}, counts AS (SELECT token AS word, count(*) AS n FROM words GROUP BY token)"
+_CHARS = "SELECT word, n, ' ' || array_to_string(string_split(word, ''), '  ') || ' ' AS s FROM counts"
+_BYTES = "SELECT word, n, regexp_replace(hex(encode(word)), '(..)', ' \\1 ', 'g') AS s FROM counts"
+_MARKED = "SELECT word, n, ' ' || array_to_string(list_transform(string_split(word, ''), lambda x, i: CASE WHEN i > 1 THEN '##' ELSE '' END || x), '  ') || ' ' AS s FROM counts"
+_MERGED = "SELECT word, replace(substr(s, 2, length(s) - 2), '  ', ' ') AS symbols FROM"
+_LEARNED = " UNION ALL ".join(f'SELECT {i} AS round, l AS "left", r AS "right", t AS token FROM b{i}' for i in range(1, 7))
+
+
+def _merges(spark: SparkSession, merges: list[tuple[str, str, str]]) -> DataFrame:
+    return spark.createDataFrame([(i, *m) for i, m in enumerate(merges, 1)], 'round int, left string, right string, token string')
+
+
+@query(f"WITH {_COUNTED}, {_merge_rounds(_CHARS, 6)} {_MERGED} r6")
 def bpe_merges(spark: SparkSession, d: str) -> DataFrame:
     """Words encoded by a few merges learned from the same table."""
     pieces = _pieces(spark, d, "")
     return ml.apply_merges(pieces, ml.fit_merges(pieces, 6)).select("word", F.array_join("symbols", " ").alias("symbols"))
 
 
+def _byte_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return ml.byte_symbols(_words(spark, d).select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+
+
+@query(f"WITH {_COUNTED}, {_merge_rounds(_BYTES, 6)} {_LEARNED}")
+def bpe_fit_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Merges of UTF-8 bytes, most frequent pair first."""
+    return _merges(spark, ml.fit_merges(_byte_pieces(spark, d), 6))
+
+
+@query(f"WITH {_COUNTED}, {_merge_rounds(_BYTES, 6)} {_MERGED} r6")
+def bpe_transform_bytes(spark: SparkSession, d: str) -> DataFrame:
+    pieces = _byte_pieces(spark, d)
+    return ml.apply_merges(pieces, ml.fit_merges(pieces, 6)).select("word", F.array_join("symbols", " ").alias("symbols"))
+
+
+@query(f"WITH {_COUNTED}, {_merge_rounds(_MARKED, 6, True)} {_LEARNED}")
+def wordpiece_fit(spark: SparkSession, d: str) -> DataFrame:
+    return _merges(spark, ml.fit_merges(_pieces(spark, d, "##"), 6, wordpiece=True))
+
+
+@query(f"""
+WITH RECURSIVE {_COUNTED}, {_merge_rounds(_CHARS, 6)},
+v AS (SELECT DISTINCT unnest(string_split(substr(s, 2, length(s) - 2), '  ')) AS piece FROM r0 UNION SELECT t FROM b1 UNION SELECT t FROM b2 UNION SELECT t FROM b3 UNION SELECT t FROM b4 UNION SELECT t FROM b5 UNION SELECT t FROM b6),
+u AS (SELECT piece FROM v UNION SELECT '##' || piece FROM v WHERE piece <> 'e'),
+tried AS (SELECT word, pos, len, substr(word, pos, len) AS p FROM (SELECT word, pos, unnest(range(1, length(word) - pos + 2)) AS len FROM (SELECT word, unnest(range(1, length(word) + 1)) AS pos FROM counts))),
+best AS (SELECT word, pos, max(len) AS len FROM tried JOIN u ON u.piece = CASE WHEN pos > 1 THEN '##' ELSE '' END || p GROUP BY word, pos),
+walk AS (
+  SELECT word, CAST(1 AS BIGINT) AS pos, '' AS out FROM counts
+  UNION ALL
+  SELECT w.word, w.pos + b.len, w.out || CASE WHEN w.pos > 1 THEN ' ##' ELSE '' END || substr(w.word, w.pos, b.len) FROM walk w JOIN best b ON w.word = b.word AND w.pos = b.pos
+),
+whole AS (SELECT word, out FROM walk WHERE pos = length(word) + 1)
+SELECT c.word, coalesce(out, '<unk>') AS pieces FROM counts c LEFT JOIN whole ON c.word = whole.word
+""")
+def wordpiece_transform(spark: SparkSession, d: str) -> DataFrame:
+    """Longest pieces from the left; the vocabulary lacks an inner e, so words with one beyond a longer piece are unknown."""
+    pieces = _pieces(spark, d, "")
+    plain = ml.wordpiece_vocabulary(pieces, ml.fit_merges(pieces, 6))
+    inner = plain.filter("piece <> 'e'").select(F.concat(F.lit("##"), "piece").alias("piece"))
+    return ml.wordpiece(pieces.select("word"), plain.unionByName(inner)).select("word", F.array_join("pieces", " ").alias("pieces"))
+
+
 _POINTS = """
 p AS (SELECT vec_id, label, unnest(range(len(embedding))) AS j, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x FROM embeddings),
 c AS (SELECT label AS cluster, j, avg(x) AS x FROM p GROUP BY label, j),
@@ -134,6 +207,29 @@ def kmeans_step(spark: SparkSession, d: str) -> DataFrame:
     return moved.select("cluster", F.posexplode("centre").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
+def _lloyd(rounds: int) -> str:
+    out = ["c0 AS (SELECT row_number() OVER (ORDER BY md5('7:' || vec_id), vec_id) - 1 AS cluster, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS c FROM embeddings ORDER BY md5('7:' || vec_id), vec_id LIMIT 5)", "e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)"]
+    for i in range(rounds):
+        out.append(f"d{i} AS (SELECT vec_id, e, cluster, row_number() OVER (PARTITION BY vec_id ORDER BY list_sum(list_transform(list_zip(e, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), cluster) AS k FROM e, c{i})")
+        out.append(f"m{i} AS (SELECT cluster, j, avg(x) AS x FROM (SELECT cluster, unnest(range(64)) AS j, unnest(e) AS x FROM d{i} WHERE k = 1) GROUP BY ALL)")
+        out.append(f"c{i + 1} AS (SELECT o.cluster, coalesce(n.c, o.c) AS c FROM c{i} o LEFT JOIN (SELECT cluster, list(x ORDER BY j) AS c FROM m{i} GROUP BY cluster) n ON o.cluster = n.cluster)")
+    return ",\n".join(out)
+
+
+@query(f"WITH {_lloyd(0)} SELECT CAST(cluster AS INTEGER) AS cluster, CAST(unnest(range(64)) AS INTEGER) AS pos, round(unnest(c), 6) AS x FROM c0")
+def kmeans_start(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct rows, drawn at random by a hash."""
+    start = ml.kmeans_start(table(spark, d, "embeddings"), 5, "vec_id", "embedding", seed=7)
+    return start.select("cluster", F.posexplode("centre").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"WITH {_lloyd(4)} SELECT CAST(cluster AS INTEGER) AS cluster, CAST(unnest(range(64)) AS INTEGER) AS pos, round(unnest(c), 6) AS x FROM c4")
+def kmeans_fit(spark: SparkSession, d: str) -> DataFrame:
+    points = table(spark, d, "embeddings")
+    found = ml.kmeans(points, ml.kmeans_start(points, 5, "vec_id", "embedding", seed=7), "vec_id", "embedding", rounds=4, tolerance=0.0)
+    return found.select("cluster", F.posexplode("centre").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
 @query("""
 WITH r AS (SELECT CAST(n_chars AS DOUBLE) AS x, CAST(quality AS DOUBLE) AS y FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 v AS (SELECT x, count(*) AS n, sum(y) AS p FROM r GROUP BY x),
@@ -150,6 +246,148 @@ def tree_best_split(spark: SparkSession, d: str) -> DataFrame:
     return ml.best_split(rows, ["n_chars"], "quality").withColumn("gain", F.round("gain", 6))
 
 
+_GROWN = "r AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, CAST(l_suppkey % 3 AS DOUBLE) AS y, l_extendedprice AS z FROM lineitem)"
+_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _grown(depth: int, label: str, regression: bool) -> str:
+    """SQL of a tree, level by level: table ``n`` of each row's leaf, ``leaf`` of the leaves' values."""
+    stats = "sum(y) AS a, sum(y * y) AS b, 0 AS c" if regression else "count(*) FILTER (y = 0) AS a, count(*) FILTER (y = 1) AS b, count(*) FILTER (y = 2) AS c"
+
+    def impurity(n: str, a: str, b: str, c: str) -> str:
+        if regression:
+            return f"({b} / {n} - ({a} / {n}) * ({a} / {n}))"
+        return "-(" + " + ".join(f"CASE WHEN {x} > 0 THEN {x} / {n} * log2({x} / {n}) ELSE 0 END" for x in (a, b, c)) + ")"
+
+    out = [_GROWN, f"n0 AS (SELECT 1 AS node, l_orderkey, l_linenumber, l_quantity AS f0, l_discount AS f1, l_tax AS f2, {label} AS y FROM r)"]
+    for i in range(1, depth + 1):
+        out.append(f"v{i} AS (SELECT node, f, x, count(*)::DOUBLE AS n, {stats} FROM (SELECT node, y, unnest([0, 1, 2]) AS f, unnest([f0, f1, f2]) AS x FROM n{i - 1}) GROUP BY ALL)")
+        sums = ", ".join(f"sum({c})::DOUBLE OVER w AS l{c}, sum({c})::DOUBLE OVER (PARTITION BY node, f) AS t{c}" for c in "nabc").replace("::DOUBLE OVER w", " OVER w").replace("::DOUBLE OVER (", " OVER (")
+        out.append(f"s{i} AS (SELECT node, f, x, {sums} FROM v{i} WINDOW w AS (PARTITION BY node, f ORDER BY x))")
+        gain = f"{impurity('tn', 'ta', 'tb', 'tc')} - ln / tn * {impurity('ln', 'la', 'lb', 'lc')} - (tn - ln) / tn * {impurity('(tn - ln)', '(ta - la)', '(tb - lb)', '(tc - lc)')}"
+        out.append(f"g{i} AS (SELECT node, f, x, round({gain}, 12) AS gain FROM s{i} WHERE ln < tn)")
+        out.append(f"b{i} AS (SELECT node, f, x, gain FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, x) AS k FROM g{i}) WHERE k = 1 AND gain > 0)")
+        out.append(f"n{i} AS (SELECT CASE WHEN b.node IS NULL THEN a.node WHEN [f0, f1, f2][b.f + 1] <= b.x THEN 2 * a.node ELSE 2 * a.node + 1 END AS node, l_orderkey, l_linenumber, f0, f1, f2, y FROM n{i - 1} a LEFT JOIN b{i} b ON a.node = b.node)")
+    if regression:
+        out.append(f"leaf AS (SELECT node, avg(y) AS value FROM n{depth} GROUP BY node)")
+    else:
+        out.append(f"leaf AS (SELECT node, y AS value FROM (SELECT node, y, row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, y) AS k FROM n{depth} GROUP BY node, y) WHERE k = 1)")
+    return ",\n".join(out)
+
+
+def _leaves(depth: int) -> str:
+    return f"SELECT l_orderkey, l_linenumber, round(value, 4) AS value FROM n{depth} JOIN leaf ON n{depth}.node = leaf.node"
+
+
+def _tree_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").withColumn("y", (F.col("l_suppkey") % 3).cast("double")).withColumn("z", F.col("l_extendedprice"))
+
+
+@query(f"WITH {_grown(1, 'y', False)} SELECT ['l_quantity', 'l_discount', 'l_tax'][f + 1] AS feature, x AS threshold, round(gain, 6) AS gain FROM b1")
+def tree_split_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The best first split over three classes."""
+    return ml.best_split(_tree_rows(spark, d), _FEATURES, "y", [0.0, 1.0, 2.0]).withColumn("gain", F.round("gain", 6))
+
+
+@query(f"WITH {_grown(1, 'z', True)} SELECT ['l_quantity', 'l_discount', 'l_tax'][f + 1] AS feature, x AS threshold, round(gain, 0) AS gain FROM b1")
+def tree_split_squares(spark: SparkSession, d: str) -> DataFrame:
+    """The best first split of numbers, by squared error."""
+    return ml.best_split(_tree_rows(spark, d), _FEATURES, "z", None).withColumn("gain", F.round("gain", 0))
+
+
+@query(f"WITH {_grown(2, 'y', False)} {_leaves(2)}")
+def tree_classes(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of two levels over three classes, and what it predicts for every row."""
+    rows = _tree_rows(spark, d)
+    tree = learners.grow_tree(rows, _FEATURES, "y", depth=2)
+    return rows.select("l_orderkey", "l_linenumber", F.round(tree.predicted(), 4).alias("value"))
+
+
+@query(f"WITH {_grown(2, 'z', True)} {_leaves(2)}")
+def tree_regression(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of two levels with means in its leaves."""
+    rows = _tree_rows(spark, d)
+    tree = learners.grow_tree(rows, _FEATURES, "z", depth=2, regression=True)
+    return rows.select("l_orderkey", "l_linenumber", F.round(tree.predicted(), 4).alias("value"))
+
+
+def _descended(steps: int, rate: float, slope: str, cost: str, decay: float = 0.0) -> str:
+    """SQL of gradient descent on two features, a table for each step."""
+    out = ["r AS (SELECT l_quantity / 50 AS a, l_discount * 10 AS b, CASE WHEN l_extendedprice > 40000 THEN 1.0 ELSE -1.0 END AS y FROM lineitem)", "w0 AS (SELECT 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb, 0.0::DOUBLE AS w, 0.0::DOUBLE AS loss)"]
+    for i in range(steps):
+        out.append(f"e{i} AS (SELECT r.*, wa, wb, w, wa * a + wb * b + w AS p FROM r, w{i})")
+        out.append(f"w{i + 1} AS (SELECT any_value(wa) - {rate} * (avg({slope} * a) + {decay} * any_value(wa)) AS wa, any_value(wb) - {rate} * (avg({slope} * b) + {decay} * any_value(wb)) AS wb, any_value(w) - {rate} * avg({slope}) AS w, avg({cost}) AS loss FROM e{i})")
+    rows = " UNION ALL ".join(f"SELECT 'loss{i}' AS name, loss AS value FROM w{i + 1}" for i in range(steps))
+    return "WITH " + ",\n".join(out) + f" SELECT name, round(value, 6) AS value FROM ({rows} UNION ALL SELECT unnest(['a', 'b', 'bias']), unnest([wa, wb, w]) FROM w{steps})"
+
+
+def _fitted(spark: SparkSession, d: str, **how) -> DataFrame:
+    y = F.when(F.col("l_extendedprice") > 40000, 1.0).otherwise(-1.0)
+    rows = table(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"), y.alias("y"))
+    (wa, wb), w, losses = ml.fit_linear(rows, ["a", "b"], "y", 4, 0.3, **how)
+    found = [(f"loss{i}", x) for i, x in enumerate(losses)] + [("a", wa), ("b", wb), ("bias", w)]
+    return spark.createDataFrame(found, "name string, value double").withColumn("value", F.round("value", 6))
+
+
+@query(_descended(4, 0.3, "(2 * (p - y))", "(p - y) * (p - y)"))
+def regression_loop(spark: SparkSession, d: str) -> DataFrame:
+    return _fitted(spark, d)
+
+
+@query(_descended(4, 0.3, "(CASE WHEN y * p < 1 THEN -y ELSE 0 END)", "greatest(1 - y * p, 0)", 0.01))
+def svm_binary(spark: SparkSession, d: str) -> DataFrame:
+    """A linear support vector machine by the hinge loss."""
+    return _fitted(spark, d, loss="hinge", decay=0.01)
+
+
+@query(_descended(4, 0.3, "(CASE WHEN abs(p - y) > 0.1 THEN sign(p - y) ELSE 0 END)", "greatest(abs(p - y) - 0.1, 0)", 0.01))
+def svm_regression(spark: SparkSession, d: str) -> DataFrame:
+    """Linear support vector regression by the insensitive loss."""
+    return _fitted(spark, d, loss="insensitive", margin=0.1, decay=0.01)
+
+
+_STEPPED = {
+    "sgd": ("v - 0.1 * g", "m", "s"),
+    "momentum": ("v + (0.9 * m - 0.1 * g)", "0.9 * m - 0.1 * g", "s"),
+    "adagrad": ("v - 0.1 * g / sqrt(s + g * g + 1e-8)", "m", "s + g * g"),
+    "adam": ("v - 0.1 * ((0.9 * m + 0.1 * g) / (1 - pow(0.9, {t}))) / (sqrt((0.999 * s + 0.001 * g * g) / (1 - pow(0.999, {t}))) + 1e-8)", "0.9 * m + 0.1 * g", "0.999 * s + 0.001 * g * g"),
+}
+
+
+def _optimised_sql() -> str:
+    parts, out = [], ["o0 AS (SELECT vec_id AS i, unnest(range(len(embedding))) AS j, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS v FROM embeddings)"]
+    for rule, (v, m, s) in _STEPPED.items():
+        out.append(f"{rule}0 AS (SELECT i, j, v, 2 * v AS g, 0.0::DOUBLE AS m, 0.0::DOUBLE AS s FROM o0)")
+        out += [f"{rule}{t} AS (SELECT i, j, nv AS v, 2 * nv AS g, nm AS m, ns AS s FROM (SELECT i, j, {v.format(t=t)} AS nv, {m} AS nm, {s} AS ns FROM {rule}{t - 1}))" for t in (1, 2, 3)]
+        parts.append(f"SELECT '{rule}' AS rule, i, CAST(j AS INTEGER) AS j, round(v, 6) + 0.0 AS v FROM {rule}3")
+    return "WITH " + ",\n".join(out) + " " + " UNION ALL ".join(parts)
+
+
+@query(_optimised_sql())
+def optimizer_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Three steps of every rule on a whole matrix of parameters; the gradient is that of the sum of squares."""
+    start = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v")).withColumn("v", F.col("v").cast("double"))
+    found = []
+    for rule in _STEPPED:
+        held = start.withColumns({"g": 2 * F.col("v"), "m": F.lit(0.0), "s": F.lit(0.0)})
+        for step in (1, 2, 3):
+            held = learners.optimised(held, rule, step, rate=0.1).withColumn("g", 2 * F.col("v"))
+        found.append(held.select(F.lit(rule).alias("rule"), "i", "j", (F.round("v", 6) + 0.0).alias("v")))  # no negative zero
+    return reduce(DataFrame.unionByName, found)
+
+
+_U = "((('0x' || substr(md5('3:' || p_partkey || ':' || p_size || '{x}'), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+_N = f"(sqrt(-2 * ln({_U.format(x=':a')})) * cos(2 * pi() * {_U.format(x=':b')}))"
+
+
+@query(f"SELECT p_partkey, round({_U.format(x='')} * 2 - 1, 6) AS uniform, round(({_U.format(x='')} * 2 - 1) * sqrt(6.0 / 12), 6) AS xavier_uniform, round({_N} * sqrt(2.0 / 12), 6) AS xavier_normal, round({_N} * sqrt(2.0 / 8), 6) AS he, round({_N}, 6) AS randn FROM part")
+def initial_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Random weights of cells named by part and size; they depend on seed and cell alone."""
+    i, j = F.col("p_partkey"), F.col("p_size")
+    rules = {r: learners.initialised(i, j, r, 8, 4, 3) for r in ("uniform", "xavier_uniform", "xavier_normal", "he")} | {"randn": learners.random_normal(3, i, j)}
+    return table(spark, d, "part").select("p_partkey", *(F.round(c, 6).alias(n) for n, c in rules.items()))
+
+
 _PREDICTED = "r AS (SELECT o_orderkey, o_totalprice AS y, 0.9 * o_totalprice + 100.0 AS p FROM orders)"
 
 
@@ -190,26 +428,27 @@ def activations_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT vec_id, unnest(range(len(embedding))) AS j, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x FROM embeddings WHERE vec_id < 50),
+WITH p AS (SELECT vec_id, unnest(range(len(embedding))) AS j, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x FROM embeddings),
 e AS (SELECT vec_id, j, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM p)
 SELECT vec_id, CAST(j AS INTEGER) AS pos, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM e
 """)
 def softmax_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").filter("vec_id < 50").select("vec_id", F.posexplode(ml.softmax(F.col("embedding"))).alias("pos", "p"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(ml.softmax(F.col("embedding"))).alias("pos", "p"))
     return rows.withColumn("p", F.round("p", 6))
 
 
-_M = "m AS (SELECT vec_id AS i, unnest(range(len(embedding))) AS j, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS v FROM embeddings WHERE vec_id < 10)"
+_M = "m AS (SELECT vec_id AS i, unnest(range(len(embedding))) AS j, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS v FROM embeddings)"
 
 
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
-    return ml.coo(table(spark, d, "embeddings").filter("vec_id < 10"), "vec_id", "embedding")
+    return ml.coo(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
-@query(f"WITH {_M} SELECT a.i AS i, b.i AS j, round(sum(a.v * b.v), 6) AS v FROM m a JOIN m b ON a.j = b.j GROUP BY a.i, b.i")
+@query(f"WITH {_M} SELECT CAST(a.j AS BIGINT) AS i, CAST(b.j AS BIGINT) AS j, round(sum(a.v * b.v), 5) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY a.j, b.j")
 def matmul_coo(spark: SparkSession, d: str) -> DataFrame:
+    """The transposed matrix times the matrix."""
     m = _matrix(spark, d)
-    return ml.matmul(m, ml.transposed(m)).withColumn("v", F.round("v", 6))
+    return ml.matmul(ml.transposed(m), m).withColumn("v", F.round("v", 5))
 
 
 @query(f"WITH {_M} SELECT i, round(sum(v), 6) AS sum, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM m GROUP BY i")
@@ -223,6 +462,38 @@ def matrix_reshape(spark: SparkSession, d: str) -> DataFrame:
     return ml.reshaped(_matrix(spark, d), 64, 32).withColumn("v", F.round("v", 6))
 
 
+@query(f"""
+WITH {_M}, c AS (SELECT i, max(v) AS c FROM m GROUP BY i), r AS (SELECT j, avg(v) AS r FROM m GROUP BY j), t AS (SELECT max(v) AS t FROM m)
+SELECT m.i, CAST(m.j AS BIGINT) AS j, round(v * v, 6) AS square, round(v + c, 6) AS plus_column, round(v - r, 6) AS minus_row, round(v / t, 6) AS by_scalar
+FROM m JOIN c ON m.i = c.i JOIN r ON m.j = r.j, t
+""")
+def matrix_elementwise(spark: SparkSession, d: str) -> DataFrame:
+    """A matrix with itself, with a column, a row and a scalar."""
+    m = _matrix(spark, d)
+    column, row = ml.reduced(m, "i").select("i", F.col("max").alias("v")), ml.reduced(m, "j").select("j", F.col("mean").alias("v"))
+    found = {"square": (m, "*", ("i", "j")), "plus_column": (column, "+", ("i",)), "minus_row": (row, "-", ("j",)), "by_scalar": (m.agg(F.max("v").alias("v")), "/", ())}
+    parts = [ml.elementwise(m, b, op, over).select("i", "j", F.round("v", 6).alias(n)) for n, (b, op, over) in found.items()]
+    return reduce(lambda a, b: a.join(b, ["i", "j"]), parts)
+
+
+@query(f"WITH {_M} SELECT i, CAST(j AS BIGINT) AS j, round(sqrt(abs(v)), 6) AS root, round(exp(v), 6) AS exp, round(ln(exp(v)), 6) AS log FROM m")
+def matrix_functions(spark: SparkSession, d: str) -> DataFrame:
+    m = _matrix(spark, d)
+    parts = {"root": ml.mapped(ml.mapped(m, "abs"), "sqrt"), "exp": ml.mapped(m, "exp"), "log": ml.mapped(ml.mapped(m, "exp"), "log")}
+    return reduce(lambda a, b: a.join(b, ["i", "j"]), (p.select("i", "j", F.round("v", 6).alias(n)) for n, p in parts.items()))
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM nation), c AS (SELECT i, unnest(range(7)) AS j FROM (SELECT unnest(range(n)) AS i FROM n))
+SELECT 'zeros' AS kind, i, j, 0.0::DOUBLE AS v FROM c UNION ALL SELECT 'ones', i, j, 1.0 FROM c UNION ALL SELECT 'identity', i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END FROM c
+""")
+def matrix_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Matrices of a row for each nation."""
+    n = table(spark, d, "nation").count()
+    kinds = {"zeros": 0.0, "ones": 1.0, "identity": (F.col("i") == F.col("j")).cast("double")}
+    return reduce(DataFrame.unionByName, (ml.filled(spark, n, 7, v).select(F.lit(k).alias("kind"), "i", "j", "v") for k, v in kinds.items()))
+
+
 @query("SELECT p_partkey, round(CAST(p_size AS DOUBLE), 4) AS s, round(p_retailprice, 4) AS r, round(CAST(p_size * p_size AS DOUBLE), 4) AS s_s, round(p_size * p_retailprice, 4) AS s_r, round(p_retailprice * p_retailprice, 4) AS r_r FROM part")
 def polynomial_features(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").alias("r"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone import settings
 from lodestone.functions import text
 from lodestone.operators import chunking, hybrid, session, store, vector_search
-from lodestone.operators.models import chat_models
+from lodestone.operators.models import ModelList, chat_models
 from lodestone.plans.registry import Registry, table
-from lodestone.sources.files import wanted
+from lodestone.sources.files import wanted, with_text
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -30,9 +34,9 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """``chunk_id, doc_id, file, text``: chunks of documents; a chunk's id is its document's and its start."""
-    pieces = _docs(spark, d).select("doc_id", "source", F.explode(chunking.spans(F.col("text"))).alias("c"))
-    return pieces.select((F.col("doc_id") * 1_000_000 + F.col("c.start")).alias("chunk_id"), "doc_id", F.col("source").alias("file"), F.col("c.piece").alias("text"))
+    """``chunk_id, doc_id, file, text``: chunks of documents; an id is its document's times 2**31, and its start (an int)."""
+    pieces = chunking.chunked(_docs(spark, d), "doc_id", keep=("source",))
+    return pieces.select((F.col("doc_id") * (1 << 31) + F.col("start")).alias("chunk_id"), "doc_id", F.col("source").alias("file"), F.col("piece").alias("text"))
 
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, start, piece FROM chunks")
@@ -63,28 +67,27 @@ def heading_asof(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     lines = F.split(text.strip("text"), "\n")
     each = docs.select("doc_id", F.posexplode(lines).alias("i", "title"))
-    from pyspark.sql import Window as W
-
     before = F.coalesce(F.sum(F.length("title") + 1).over(W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
     heads = each.withColumn("pos", before).filter(F.length("title").between(1, 60)).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "title")).alias("heads"))
     rows = docs.join(heads, "doc_id", "left").withColumn("heads", F.coalesce("heads", F.array().cast("array<struct<pos:int,title:string>>")))
     return chunking.labelled(rows, "doc_id", titles=F.col("heads")).select("doc_id", "start", "label")
 
 
-@query(f"WITH {_CHUNKS} SELECT source AS file, min(doc_id * 1000000 + start) AS first FROM chunks GROUP BY source")
+@query(f"WITH {_CHUNKS} SELECT source AS file, min(doc_id * 2147483648 + start) AS first FROM chunks GROUP BY source")
 def doc_names_first_seen(spark: SparkSession, d: str) -> DataFrame:
     return store.document_names(document_chunks(spark, d))
 
 
-@query(f"WITH {_CHUNKS} SELECT doc_id * 1000000 + start AS chunk_id, doc_id, source AS file, piece AS text FROM chunks WHERE source <> 'src3'")
+@query(f"WITH {_CHUNKS} SELECT doc_id * 2147483648 + start AS chunk_id, doc_id, source AS file, piece AS text FROM chunks WHERE source <> 'src3'")
 def doc_remove(spark: SparkSession, d: str) -> DataFrame:
     return store.remove_document(document_chunks(spark, d), "src3")
 
 
-@query("SELECT source AS file, doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 3 = 0 AND source IS NOT NULL AND doc_id < 15)")
+@query("SELECT 'd' || doc_id AS file, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def ingest_skip_existing(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).select(F.col("source").alias("file"), "doc_id")
-    return store.new_documents(docs, docs.filter("doc_id % 3 = 0 AND doc_id < 15"))
+    """Uploads whose names are stored are skipped; the labelled documents stand for those stored."""
+    named = lambda t: table(spark, d, t).select(F.concat(F.lit("d"), "doc_id").alias("file"), "doc_id")
+    return store.new_documents(named("documents"), named("labels"))
 
 
 _TERMS = f"""
@@ -94,7 +97,7 @@ terms AS (SELECT DISTINCT replace(replace(lower(w), '-', ''), '_', '') AS term F
             AND replace(replace(lower(w), '-', ''), '_', '') NOT IN ('the','and','for','how','what','with','this','that','from','does','use','are','who','why'))
 """
 _HITS = """
-hay AS (SELECT doc_id * 1000000 + start AS chunk_id, replace(replace(lower(piece), '-', ''), '_', '') || ' ' || replace(replace(lower(source), '-', ''), '_', '') AS h FROM chunks),
+hay AS (SELECT doc_id * 2147483648 + start AS chunk_id, replace(replace(lower(piece), '-', ''), '_', '') || ' ' || replace(replace(lower(source), '-', ''), '_', '') AS h FROM chunks),
 hits AS (SELECT chunk_id, term FROM hay JOIN terms ON contains(h, term)),
 df AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
 gains AS (SELECT h.chunk_id, sum(0.12 * (1 - df.df / CAST((SELECT count(*) FROM chunks) AS DOUBLE))) AS g FROM hits h JOIN df ON h.term = df.term GROUP BY h.chunk_id)
@@ -115,7 +118,7 @@ def keyword_df(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_CHUNKS}, {_TERMS}, {_HITS} SELECT h.chunk_id, round(least(coalesce(g.g, 0), 0.25), 6) AS boost FROM hay h LEFT JOIN gains g ON h.chunk_id = g.chunk_id")
 def keyword_boost(spark: SparkSession, d: str) -> DataFrame:
-    return vector_search.keyword_boost(document_chunks(spark, d), QUESTION).select("chunk_id", F.round("boost", 6).alias("boost"))
+    return vector_search.keyword_boost(document_chunks(spark, d), QUESTION, keep=["chunk_id"]).select("chunk_id", F.round("boost", 6).alias("boost"))
 
 
 @query(f"""
@@ -125,7 +128,7 @@ ranked AS (SELECT chunk_id, round(score, 6) AS score, CAST(row_number() OVER (OR
 SELECT * FROM ranked WHERE rank <= 20
 """)
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
-    scored = vector_search.keyword_boost(document_chunks(spark, d), QUESTION).filter("boost >= 0.1")
+    scored = vector_search.keyword_boost(document_chunks(spark, d), QUESTION, keep=["chunk_id"]).filter("boost >= 0.1")
     return vector_search.ranked(scored, 20, by="boost").select("chunk_id", F.round("boost", 6).alias("score"), "rank")
 
 
@@ -192,12 +195,12 @@ def render_inline(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT string_agg('[' || source || ']' || chr(10) || substr(text, 1, 200), chr(10) || chr(10) ORDER BY doc_id) AS context FROM documents WHERE doc_id < 10)
-SELECT context FROM b
+SELECT conv_id, string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations WHERE text IS NOT NULL GROUP BY conv_id
 """)
 def plain_context(spark: SparkSession, d: str) -> DataFrame:
-    hits = _docs(spark, d).filter("doc_id < 10").select(F.col("doc_id").alias("rank"), "source", F.substring("text", 1, 200).alias("text"))
-    return hybrid.plain_context(hits)
+    """Each conversation's turns as hits."""
+    hits = table(spark, d, "conversations").filter("text IS NOT NULL").select("conv_id", F.col("turn").alias("rank"), F.col("role").alias("source"), "text")
+    return hybrid.plain_context(hits, "conv_id")
 
 
 @query("SELECT 2 AS n_graph, 2 AS n_vector, true AS truncated, 948 AS chars, 'graph: g1|graph: g2|vector: v1|vector: v3' AS sources")
@@ -207,3 +210,102 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
     hits = spark.createDataFrame(rows, "kind string, rank int, source string, text string")
     packed = hybrid.build_context(hits, 1000)
     return packed.select("n_graph", "n_vector", "truncated", F.length("context").alias("chars"), F.array_join("sources", "|").alias("sources"))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '📕' WHEN 1 THEN '📘' WHEN 2 THEN '📄' WHEN 3 THEN '📝' WHEN 4 THEN '🐍' ELSE '📄' END AS icon FROM documents
+""")
+def file_icons(spark: SparkSession, d: str) -> DataFrame:
+    ends = F.array(*map(F.lit, ("a.pdf", "a.b.DOCX", "c.txt", "Md.md", "x.PY", "pdf.zip", "none")))
+    return _docs(spark, d).select("doc_id", text.file_icon(F.get(ends, (F.col("doc_id") % 7).cast("int"))).alias("icon"))
+
+
+@query("SELECT 'd' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '.md' END AS file, CASE WHEN doc_id % 2 = 0 THEN 'txt' ELSE 'md' END AS ext, text FROM documents WHERE text IS NOT NULL")
+def read_plain_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as contents of plain files; every third has bytes that are no UTF-8, which are dropped."""
+    name = F.concat(F.lit("file:/in/d"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".txt").otherwise(".md"))
+    body = F.encode("text", "utf-8")
+    bad = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("FFFE"))).otherwise(F.unhex(F.lit("")))
+    return with_text(_docs(spark, d).filter("text IS NOT NULL").select(name.alias("path"), F.concat(bad, body).alias("content")))
+
+
+@query(rf"""
+WITH marked AS (SELECT doc_id, source, regexp_replace({_STRIPPED}, '(^|\n)([^\n]{{1,60}})(\n|$)', '\1## \2\3') AS t FROM documents WHERE text IS NOT NULL),
+stripped AS (SELECT doc_id, source, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM marked),
+windows AS (SELECT doc_id, unnest(range(0, length(t), 650)) AS start, t FROM stripped WHERE length(t) > 0),
+chunks AS (SELECT doc_id, CAST(start AS INTEGER) AS start FROM windows WHERE regexp_replace(substr(t, start + 1, 800), '^\s+|\s+$', '', 'g') <> ''),
+lines AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS a FROM stripped)),
+placed AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM lines),
+heads AS (SELECT doc_id, pos, regexp_extract(line, '^#{{1,6}}\s+(.+?)\s*$', 1) AS title FROM placed WHERE regexp_matches(line, '^#{{1,6}}\s+\S')),
+best AS (SELECT c.doc_id, c.start, max(h.pos) AS pos FROM chunks c LEFT JOIN heads h ON h.doc_id = c.doc_id AND h.pos <= c.start GROUP BY c.doc_id, c.start)
+SELECT b.doc_id, b.start, '[' || b.doc_id || CASE WHEN h.title IS NULL THEN '' ELSE ' — ' || h.title END || ']' AS label
+FROM best b LEFT JOIN heads h ON h.doc_id = b.doc_id AND h.pos = b.pos
+""")
+def markdown_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The first short line of each document becomes a markdown heading, which the heading parser must find."""
+    marked = F.regexp_replace("stripped", r"(?s)^(|.*?\n)([^\n]{1,60})(\n.*|)$", "$1## $2$3")
+    docs = _docs(spark, d).filter("text IS NOT NULL").select("doc_id", text.strip("text").alias("stripped"))
+    return chunking.labelled(docs.select("doc_id", marked.alias("text")), "doc_id").select("doc_id", "start", "label")
+
+
+@query(f"""
+WITH {_CHUNKS}, l AS (SELECT doc_id, start, CASE WHEN doc_id % 2 = 0 THEN 'd' || doc_id || '.py' ELSE 'd' || doc_id || '.md' END AS file, piece FROM chunks)
+SELECT file, start, CASE WHEN file LIKE '%.py' THEN '[' || file || ']' || chr(10) || piece ELSE piece END AS text, '[' || file || ']' || chr(10) || piece AS embed_text FROM l
+""")
+def store_embed_split(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("d"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".md"))
+    pieces = chunking.chunked(_docs(spark, d).withColumn("file", name), "file").withColumn("label", F.concat(F.lit("["), "file", F.lit("]")))
+    return chunking.stored_and_embedded(pieces, "file").select("file", "start", "text", "embed_text")
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id * 2147483648 + start AS chunk_id, source AS file, 'm' AS model, 64 AS dim FROM chunks")
+def store_append(spark: SparkSession, d: str) -> DataFrame:
+    held = document_chunks(spark, d).select("chunk_id", "file", F.lit("m").alias("model"), F.lit(64).alias("dim"))
+    odd = F.col("chunk_id") % 2 == 1
+    return store.append(held.filter(odd), held.filter(~odd))
+
+
+@query("SELECT (SELECT count(*) FROM documents) = 0 AS all_empty, (SELECT count(*) FROM documents WHERE source = 'no such source') = 0 AS none_empty")
+def store_is_empty(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return spark.range(1).select(F.lit(store.is_empty(docs)).alias("all_empty"), F.lit(store.is_empty(docs.filter("source = 'no such source'"))).alias("none_empty"))
+
+
+@query(f"""
+WITH c AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS context, count(*) AS n, ['hybrid', 'graph', 'vector', 'chat'][1 + conv_id % 4] AS mode FROM conversations WHERE text IS NOT NULL GROUP BY conv_id),
+t AS (SELECT *, conv_id % 3 = 0 AS missing FROM c)
+SELECT conv_id, concat_ws(chr(10) || chr(10), 'Be kind.',
+  CASE WHEN missing THEN '{session.NO_MATCH}' WHEN length(context) > 0 THEN
+    CASE mode {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in session.INSTRUCTIONS.items())} END || chr(10) || chr(10) || context END, '{session.LANGUAGE}') AS prompt FROM t
+""")
+def prompt_text(spark: SparkSession, d: str) -> DataFrame:
+    """The system prompt of each conversation, whose turns stand for the context."""
+    said = table(spark, d, "conversations").filter("text IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    context = F.array_join(F.transform("turns", lambda t: t["text"]), " ")
+    mode = F.get(F.array(*map(F.lit, ("hybrid", "graph", "vector", "chat"))), (F.col("conv_id") % 4).cast("int"))
+    return said.select("conv_id", session.prompt(F.lit("Be kind."), mode, context, F.col("conv_id") % 3 == 0).alias("prompt"))
+
+
+@query("SELECT * FROM (VALUES ('embed_model', 'nomic-embed-text'), ('use_rag', 'True'), ('mode', 'hybrid'), ('top_k', '4'), ('min_score', '0.3'), ('use_mmr', 'True'), ('mmr_lambda', '0.7'), ('graph_depth', '3'), ('temperature', '0.5'), ('num_ctx', '8192')) v(name, value)")
+def session_defaults(spark: SparkSession, d: str) -> DataFrame:
+    held = {k: str(v) for k, v in asdict(settings.Session()).items() if k not in ("chat_model", "system_prompt")}
+    return spark.createDataFrame(list(held.items()), "name string, value string")
+
+
+@query("SELECT DISTINCT source AS name FROM documents WHERE source IS NOT NULL")
+def model_list(spark: SparkSession, d: str) -> DataFrame:
+    """A client's list, asked once and held; the sources' names stand for models, and a failing client has none."""
+
+    class Client:
+        asked = 0
+
+        def list_models(self) -> list[str]:
+            self.asked += 1
+            if self.asked > 1:
+                raise OSError("down")
+            return [r.source for r in _docs(spark, d).select("source").distinct().filter("source IS NOT NULL").collect()]
+
+    held = ModelList(Client())
+    held.get()
+    names = spark.createDataFrame([(n,) for n in held.get()], "name string")
+    return chat_models(names)

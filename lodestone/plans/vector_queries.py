@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import normalised
+from lodestone.functions.vectors import dot, normalised
 from lodestone.operators import embedding, vector_search
 from lodestone.plans.registry import Registry, table
-from lodestone.plans.text_queries import QUESTION, document_chunks
+from lodestone.plans.text_queries import _CHUNKS, _HITS, _TERMS, QUESTION, document_chunks
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -75,24 +75,62 @@ def mmr_select(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {_V} SELECT vec_id, round(score, 6) AS score, 1 AS rank FROM s ORDER BY s.score DESC, vec_id LIMIT 1")
+def search_clamped(spark: SparkSession, d: str) -> DataFrame:
+    """No fewer than one hit is looked for."""
+    found = vector_search.search(_chunks(spark, d), "", _question(spark, d), top_k=0, min_score=-2.0, use_mmr=False, boost=False)
+    return found.select(F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"""
 WITH {_V}, short AS (SELECT vec_id, u FROM s ORDER BY score DESC, vec_id LIMIT 16)
 SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.u, b.u), 6) AS cosine FROM short a, short b WHERE a.vec_id < b.vec_id
 """)
 def shortlist_pairs(spark: SparkSession, d: str) -> DataFrame:
     scored = _chunks(spark, d).withColumn("score", vector_search.cosine(F.col("normed"), _question(spark, d)))
-    short = vector_search.ranked(scored, 16).select("chunk_id", "normed")
+    short = vector_search.shortlist(scored, 4).select("chunk_id", "normed")
     a, b = (short.select(F.col("chunk_id").alias(n), F.col("normed").alias(f"v{n}")) for n in "ab")
-    from lodestone.functions.vectors import dot
-
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("cosine"))
 
 
-@query()
+def _hashed(rows: str, key: str, text: str, name: str) -> str:
+    """SQL of the offline embedder: table ``name`` with ``e``, the vector of each row's text, and ``u``, normalised."""
+    return rf"""
+{name}_tok AS (SELECT {key}, w, count(*) AS n FROM (SELECT {key}, unnest(string_split_regex(lower({text}), '\s+')) AS w FROM {rows}) WHERE w <> '' GROUP BY ALL),
+{name}_hash AS (SELECT DISTINCT w, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM {name}_tok),
+{name}_cell AS (SELECT {key}, (h >> 1) % 64 AS j, sum(CASE WHEN h % 2 = 1 THEN n ELSE -n END)::DOUBLE AS v FROM {name}_tok JOIN {name}_hash USING (w) GROUP BY ALL),
+{name}_grid AS (SELECT {key}, unnest(range(64)) AS j FROM {rows}),
+{name}_dense AS (SELECT {key}, list(coalesce(v, 0) ORDER BY j) AS e FROM {name}_grid LEFT JOIN {name}_cell USING ({key}, j) GROUP BY {key}),
+{name} AS (SELECT *, list_transform(e, lambda x: x / (sqrt(list_dot_product(e, e)) + 1e-8)) AS u FROM {name}_dense)"""
+
+
+_PIECES = f"{_CHUNKS}, pieces AS (SELECT doc_id * 2147483648 + start AS chunk_id, source, piece FROM chunks)"
+
+
+@query(f"WITH {_PIECES}, {_hashed('pieces', 'chunk_id', 'piece', 'v')} SELECT chunk_id, CAST(unnest(range(64)) AS INTEGER) AS pos, unnest(e) AS x FROM v")
+def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk's vector, cell by cell."""
+    rows = embedding.embedded(document_chunks(spark, d).select("chunk_id", F.col("text").alias("embed_text")), embedding.HashEmbedder())
+    return rows.select("chunk_id", F.posexplode("vector").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+
+
+@query(f"WITH asked AS (SELECT 0 AS id, '{QUESTION}' AS t), {_hashed('asked', 'id', 't', 'v')} SELECT CAST(unnest(range(64)) AS INTEGER) AS pos, round(unnest(u), 6) AS x FROM v")
+def embed_question(spark: SparkSession, d: str) -> DataFrame:
+    """One text by itself."""
+    vector = embedding.HashEmbedder().embed([QUESTION])[0].tolist()
+    return spark.range(1).select(F.posexplode(normalised(F.array(*map(F.lit, vector)))).alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"""
+WITH {_PIECES}, {_TERMS}, {_HITS}, asked AS (SELECT 0 AS id, '{QUESTION}' AS t), {_hashed('asked', 'id', 't', 'question')}, {_hashed('pieces', 'chunk_id', 'piece', 'v')},
+s AS (SELECT v.chunk_id AS vec_id, v.u, list_dot_product(v.u, question.u) + least(coalesce(g.g, 0), 0.25) AS score FROM question, v LEFT JOIN gains g ON g.chunk_id = v.chunk_id),
+{_picks(4)}
+SELECT p4.vec_id AS chunk_id, source AS file, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM p4 JOIN pieces ON p4.vec_id = pieces.chunk_id
+""")
 def search_boosted(spark: SparkSession, d: str) -> DataFrame:
     """The whole of vector search over documents, with the offline embedder."""
     embedder = embedding.HashEmbedder()
     chunks = document_chunks(spark, d).withColumn("embed_text", F.col("text"))
-    rows = embedding.embedded(chunks, embedder)
+    rows = embedding.embedded(chunks, embedder).drop("embed_text", "vector")
     found = vector_search.search(rows, QUESTION, embedder.embed([QUESTION])[0].tolist(), top_k=4, min_score=0.1)
     return found.select("chunk_id", "file", F.round("score", 6).alias("score"), "rank")

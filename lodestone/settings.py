@@ -18,7 +18,9 @@ STOP_TERMS = ("the", "and", "for", "how", "what", "with", "this", "that", "from"
 EMBEDDING_HINTS = ("embed", "minilm", "bge", "e5-")
 #: Fixed values.
 FILE_ICONS = {"pdf": "📕", "docx": "📘", "txt": "📄", "md": "📝", "py": "🐍"}
+#: Fixed values.
 DEFAULT_ICON = "📄"
+#: Fixed values.
 SUPPORTED_TYPES = ("pdf", "docx", "txt", "md", "py")
 #: Names of methods that containers and strings have.
 COMMON_METHODS = (

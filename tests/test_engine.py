@@ -189,6 +189,17 @@ def test_code_reports(spark):
     assert code_query.depth_for("who calls x") == 1
 
 
+def test_names_over_many_hops(spark):
+    """Twelve imports in a row, twelve base classes in a row, packages nested deeper than eight."""
+    files = [("deep.py", "from a.b.c.d.e.f.g.h.i.j import far\n\n\ndef go():\n    far()\n"), ("a.b.c.d.e.f.g.h.i.j.py", "from .k import far\n"), ("a.b.c.d.e.f.g.h.i.j.k.py", "def far():\n    pass\n")]
+    files += [("m12.py", "def f():\n    pass\n\n\nclass C12:\n    def hello(self):\n        pass\n")]
+    files += [(f"m{i}.py", f"from m{i + 1} import C{i + 1}, f\n\n\nclass C{i}(C{i + 1}):\n    pass\n") for i in range(12)]
+    files += [("user.py", "from m0 import C0, f\n\n\ndef go():\n    c = C0()\n    f()\n    c.hello()\n")]
+    files += [("ring.py", "from gnir import lost\nlost()\n"), ("gnir.py", "from ring import lost\n")]
+    calls = {(r.src, r.dst, r.certain) for r in code_graph.build(spark.createDataFrame(files, "file string, text string")).calls.collect()}
+    assert calls == {("deep.go", "a.b.c.d.e.f.g.h.i.j.k.far", True), ("user.go", "m0.C0", True), ("user.go", "m12.f", True), ("user.go", "m12.C12.hello", True)}
+
+
 def test_hybrid(spark):
     def broken():
         raise RuntimeError("down")
@@ -277,6 +288,13 @@ def test_numbers(spark):
     pieces = spark.createDataFrame([(["a", "b", "a", "b"], 3), (["a", "a", "a"], 1)], "symbols array<string>, n long")
     assert ml.fit_merges(pieces, 2)[0] == ("a", "b", "ab")
     assert [r.symbols for r in ml.merged(pieces, "a", "a", "aa").collect()][1] == ["aa", "a"]
+    words = spark.createDataFrame([("abab",), ("abc",), ("",), ("ba",)], "word string")
+    vocab = spark.createDataFrame([("a",), ("ab",), ("##b",), ("##ab",), ("b",), ("b",)], "piece string")
+    found = {r.word: r.pieces for r in ml.wordpiece(words, vocab).collect()}
+    assert found == {"abab": ["ab", "##ab"], "abc": ["<unk>"], "": [], "ba": ["<unk>"]}
+    many = spark.createDataFrame([(i % 3, i, 1.0) for i in range(300)], "k long, x long, v double")
+    assert {(r.k, r.x): r.s for r in ml.running(many, ["x"], {"s": "v"}, ("k",)).collect()} == {(i % 3, i): i // 3 + 1.0 for i in range(300)}
+    assert ml.kmeans_start(points, 99, "id", "v").count() == 10
 
 
 def test_learners(spark):
@@ -285,11 +303,17 @@ def test_learners(spark):
     assert (tree.feature, tree.threshold) == ("x", 11.0)
     assert rows.filter(tree.predicted() != rows.y).isEmpty()
     assert learners.grow_tree(rows.filter("false"), ["x"], "y").value == 0.0
+    three = rows.withColumn("k", F.when(F.col("x") < 5, 2).when(F.col("x") < 11, 0).otherwise(1))
+    assert three.filter(learners.grow_tree(three, ["z", "x"], "k", depth=2).predicted() != three.k).isEmpty()
+    numbers = rows.withColumn("v", F.when(F.col("x") < 5, 2.5).otherwise(F.when(F.col("x") < 8, -1.0).otherwise(7.0)))
+    assert numbers.filter(learners.grow_tree(numbers, ["z", "x"], "v", depth=2, regression=True).predicted() != numbers.v).isEmpty()
+    odd = rows.unionByName(spark.createDataFrame([(None, None, None), (None, 1.0, 1)], rows.schema))
+    assert learners.grow_tree(odd, ["x", "z"], "y", depth=2).feature == "x"
     for rule in ("sgd", "momentum", "adagrad", "adam"):
-        optimizer, p = learners.Optimizer(rule, 0.5), {"w": 4.0}
-        for _ in range(200):
-            p = optimizer.step(p, {"w": 2 * p["w"]})
-        assert abs(p["w"]) < 1.5
+        p = spark.createDataFrame([(0, 0, 4.0, 8.0, 0.0, 0.0)], "i long, j long, v double, g double, m double, s double")
+        for step in range(1, 13):
+            p = learners.optimised(p, rule, step, 0.4).withColumn("g", 2 * F.col("v"))
+        assert abs(p.first().v) < 2.5
     m = spark.range(4000).select(learners.initialised(F.col("id"), F.col("id"), "he", 8, 4, 3).alias("w"))
     assert abs(m.agg(F.stddev("w")).first()[0] - 0.5) < 0.05
     loss = spark.createDataFrame([([1.0, 0.0], [0.5, 0.5])], "t array<double>, p array<double>").agg(learners.one_hot_loss(F.col("t"), F.col("p")).alias("l"))
