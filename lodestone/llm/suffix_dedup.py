@@ -9,8 +9,11 @@ equal).  Equal strings have equal anchors at equal offsets, so starts that share
 anchor form a block, blocks are compared only with blocks of the same anchor hash,
 and anchors that occur once need no suffix at all.
 
+Neighbouring blocks of one hash (periodic text) are one block.
+
 *Index.*  The blocks of a bucket of anchor hashes arrive in batches, in document
-order.  A batch's suffixes, cut at ``span`` bytes, are sorted into a suffix array;
+order; a block equal to an earlier one repeats all its suffixes and is not indexed
+again.  A batch's suffixes, cut at ``span`` bytes, are sorted into a suffix array;
 a merge scan against each existing level finds those that start there already; what
 is new becomes a level of its own, and levels of equal size merge into one of twice
 the size, so a bucket keeps logarithmically many.
@@ -20,6 +23,9 @@ chooses the route, never the result) become anchors only of strings that hold no
 other hash.  Such strings lie inside passages that very many documents share, so
 their blocks have few distinct texts: the first block of each text, found by
 aggregation, goes to the index with the others, and every later one repeats it.
+Hashes that the sample missed and that still have many blocks go the same way; where
+they have many *different* blocks, their strings of ``span`` bytes are met one by one
+in an aggregation.  So no bucket holds more than a bounded number of blocks.
 """
 
 from __future__ import annotations
@@ -33,17 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import documents, map_rows, stored
+from lodestone.llm.tables import documents, map_batches, map_rows, named_once, stored
 
 SPAN, GRAM = 100, 24
 #: Bytes hashed at once.
 SLICE_BYTES = 1 << 20
-#: Blocks of one bucket and of one batch, about.
-BUCKET_BLOCKS, BATCH_BLOCKS = 8192, 2048
+#: Blocks of one bucket, and their bytes, about; suffixes of one batch.
+BUCKET_BLOCKS, BUCKET_BYTES, BATCH_SUFFIXES = 8192, 4 << 20, 1 << 16
+#: Blocks of one hash that a bucket takes.
+CROWDED = 8192
 #: Anchors of a partition of the first exchange, about.
 PARTITION_ANCHORS = 1 << 20
-#: Documents sampled for hot grams (of at most so many bytes), and how many of them make a gram hot.
-SAMPLE_DOCUMENTS, SAMPLE_DOCUMENT_BYTES, HOT_DOCUMENTS = 3000, 16_384, 8
+#: Documents sampled for hot grams (a part of so many characters, where they are longer), and how many of them make a gram hot.
+SAMPLE_DOCUMENTS, SAMPLE_CHARS, HOT_DOCUMENTS = 3000, 16_384, 8
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,18 +104,31 @@ class HotGrams:
 
 
 def blocks(texts: list[bytes], span: int, gram: int, hot: HotGrams) -> tuple[np.ndarray, ...]:
-    """``row, first, last, anchor, hash, is_hot`` of each block of each text; offsets count from the text's start.
+    """``row, first, last, anchor, hash, is_hot, n`` of each block of each text; offsets count from the text's start.
 
-    Long texts are read in parts that overlap; a block at a border may come in two halves.
+    Neighbours of one hash are one block, with the first one's anchor; ``n`` is how many they were.  Long texts are
+    read in parts that overlap.
     """
     if max(map(len, texts), default=0) <= 4 * SLICE_BYTES:
-        return _blocks(texts, span, gram, hot)
+        return _joined(_blocks(texts, span, gram, hot))
     found = []
     for i, t in enumerate(texts):
         for at in range(0, max(len(t) - span + 1, 1), SLICE_BYTES):
-            row, first, last, anchor, hashes, is_hot = _blocks([t[at : at + SLICE_BYTES + span - 1]], span, gram, hot)
-            found.append((row + i, first + at, last + at, anchor + at, hashes, is_hot))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            row, first, last, anchor, hashes, is_hot, n = _joined(_blocks([t[at : at + SLICE_BYTES + span - 1]], span, gram, hot))
+            found.append((row + i, first + at, last + at, anchor + at, hashes, is_hot, n))
+    return _joined(tuple(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+def _joined(found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Blocks with neighbours of the same hash joined to one."""
+    row, first, last, anchor, hashes, is_hot, n = found
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1]) | (is_hot[1:] != is_hot[:-1]) | (first[1:] != last[:-1] + 1)
+    if new.all():
+        return found
+    heads = np.flatnonzero(new)
+    ends = np.append(heads[1:], len(row)) - 1
+    return row[heads], first[heads], last[ends], anchor[heads], hashes[heads], is_hot[heads], np.add.reduceat(n, heads)
 
 
 def _blocks(texts: list[bytes], span: int, gram: int, hot: HotGrams) -> tuple[np.ndarray, ...]:
@@ -115,7 +136,7 @@ def _blocks(texts: list[bytes], span: int, gram: int, hot: HotGrams) -> tuple[np
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < span or sizes.max() < span:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none.astype(np.uint64), none.astype(bool)
+        return none, none, none, none, none.astype(np.uint64), none.astype(bool), none
     begins = np.cumsum(sizes) - sizes
     hashes = _gram_hashes(data, gram)
     # Smallest is: not hot, then the smallest high half of the hash, then the leftmost.
@@ -129,7 +150,7 @@ def _blocks(texts: list[bytes], span: int, gram: int, hot: HotGrams) -> tuple[np
     edge = np.flatnonzero((row[1:] != row[:-1]) | (least[1:] != least[:-1]))
     first, last = np.concatenate([[0], edge + 1]), np.concatenate([edge, [len(row) - 1]])
     own, at = row[first], (least[first] & _LOW).astype(np.int64)
-    return own, start[first] - begins[own], start[last] - begins[own], at - begins[own], hashes[at], least[first] >= _TOP
+    return own, start[first] - begins[own], start[last] - begins[own], at - begins[own], hashes[at], least[first] >= _TOP, np.ones(len(own), np.int64)
 
 
 def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -152,7 +173,7 @@ class SuffixLevels:
     def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Order of the merged arrays, whether each starts a new string, and the string's number."""
         both = np.concatenate([a, b])
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both, kind="stable")  # finds the two sorted runs and merges them: one pass
         ordered = both[order]
         new = np.ones(len(both), bool)
         new[1:] = ordered[1:] != ordered[:-1]
@@ -212,24 +233,39 @@ def _search_bucket(bucket: pd.DataFrame, span: int) -> pd.DataFrame:
             whole.append(i)
     out_doc, out_lo, out_hi = [doc[whole]], [first[whole]], [first[whole] + np.array([len(text[i]) for i in whole], np.int64)]
     levels = SuffixLevels()
-    for lo in range(0, len(rest), BATCH_BLOCKS):
-        batch = rest[lo : lo + BATCH_BLOCKS]
-        repeated = levels.add(_suffixes([text[i] for i in batch], span))
-        count = np.array([len(text[i]) - span + 1 for i in batch], np.int64)
+    for batch in _batches(text, rest, span):
+        repeated = levels.add(_suffixes([text[i][a : b + span - 1] for i, a, b in batch], span))
+        rows, a, b = (np.array(x, np.int64) for x in zip(*batch, strict=True))
+        count = b - a
         block = np.repeat(np.arange(len(batch)), count)
         # A gap between blocks, so that runs do not join across them.
         spread = np.zeros(len(block) + len(batch) + 1, bool)
         spread[np.arange(len(block)) + block] = repeated
-        a, b = _runs(spread)
-        own = np.searchsorted(np.cumsum(count) + np.arange(len(batch)), a, "right")
-        base = np.cumsum(count) - count + np.arange(len(batch))
-        rows = np.array(batch, np.int64)[own]
-        out_doc.append(doc[rows])
-        out_lo.append(first[rows] + a - base[own])
-        out_hi.append(first[rows] + b - base[own] + span)
+        s, e = _runs(spread)
+        own = np.searchsorted(np.cumsum(count) + np.arange(len(batch)), s, "right")
+        base = np.cumsum(count) - count + np.arange(len(batch)) - a
+        out_doc.append(doc[rows[own]])
+        out_lo.append(first[rows[own]] + s - base[own])
+        out_hi.append(first[rows[own]] + e - base[own] + span)
     return pd.DataFrame({"doc_id": np.concatenate(out_doc), "lo": np.concatenate(out_lo), "hi": np.concatenate(out_hi)})
 
 
+def _batches(text: list[bytes], rest: list[int], span: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Blocks, or parts of long ones, as ``index, first start, end of starts``: BATCH_SUFFIXES starts at a time."""
+    batch, held = [], 0
+    for i in rest:
+        at, starts = 0, len(text[i]) - span + 1
+        while at < starts:
+            take = min(starts - at, BATCH_SUFFIXES - held)
+            batch.append((i, at, at + take))
+            at, held = at + take, held + take
+            if held == BATCH_SUFFIXES:
+                yield batch
+                batch, held = [], 0
+    if batch:
+        yield batch
+
+
 def _hot_grams(docs: DataFrame, gram: int, total: int) -> HotGrams:
     """Hashes that HOT_DOCUMENTS or more of a bounded sample of documents hold."""
     share = min(1.0, SAMPLE_DOCUMENTS / max(total, 1))
@@ -240,8 +276,9 @@ def _hot_grams(docs: DataFrame, gram: int, total: int) -> HotGrams:
             hashes, count = np.unique(np.concatenate(held), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes[count >= HOT_DOCUMENTS].view(np.int64))], ["hash"])
 
-    short = docs.filter(F.octet_length("text") <= SAMPLE_DOCUMENT_BYTES)
-    sampled = short.sample(share, 7) if share < 1 else short
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    part = docs.select("doc_id", F.substr("text", start, F.lit(SAMPLE_CHARS)).alias("text"))
+    sampled = part.sample(share, 7) if share < 1 else part
     found = sampled.select("text").limit(2 * SAMPLE_DOCUMENTS).repartition(1).mapInArrow(work, "hash long").collect()
     return HotGrams(np.array([r["hash"] for r in found], np.int64).view(np.uint64))
 
@@ -251,22 +288,35 @@ def _shared_anchors(docs: DataFrame, span: int, gram: int, hot, n_bytes: int) ->
 
     def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for ids, texts in _sliced(batch):
-            row, _, _, anchor, hashes, is_hot = blocks(texts, span, gram, hot.value)
-            keep = ~is_hot
+            row, _, _, anchor, hashes, is_hot, n = blocks(texts, span, gram, hot.value)
+            keep = np.flatnonzero(~is_hot)
+            keep = np.repeat(keep, np.minimum(n[keep], 2))  # a block of several repeats itself
             yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(ids[row[keep]].astype(np.int64)), pa.array(anchor[keep].astype(np.int32))], ["hash", "doc_id", "anchor"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            hashes = np.concatenate([b.column(0).to_numpy() for b in held])
-            _, kind, count = np.unique(hashes, return_inverse=True, return_counts=True)
-            pick = pa.array(np.flatnonzero(count[kind] > 1))
-            whole = pa.Table.from_batches(held)
-            yield from whole.take(pick).select(["doc_id", "anchor"]).combine_chunks().to_batches()
+        """Rows, sorted by hash, whose neighbour has the same one; only one row is held back."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.Table.from_batches([held[0], batch]).combine_chunks().to_batches()[0]
+            hashes = rows.column(0).to_numpy()
+            same = hashes[1:] == hashes[:-1]
+            again = np.zeros(len(hashes), bool)
+            again[1:] |= same
+            again[:-1] |= same
+            again[0] |= held is not None and held[1]
+            # Whether the last row has an equal one is known with the next batch, unless one stands before it.
+            out = np.flatnonzero(again[:-1])
+            if len(out):
+                yield rows.take(pa.array(out)).select(["doc_id", "anchor"])
+            held = rows.slice(rows.num_rows - 1), bool(again[-1])
+        if held is not None and held[1]:
+            yield held[0].select(["doc_id", "anchor"])
 
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // 32 // PARTITION_ANCHORS))
-    found = map_rows(docs, emit, "hash long, doc_id long, anchor int").repartition(parts, "hash").mapInArrow(repeated, "doc_id long, anchor int")
-    return found.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    sorted_ = map_rows(docs, emit, "hash long, doc_id long, anchor int").repartition(parts, "hash").sortWithinPartitions("hash")
+    return map_batches(sorted_, repeated, "doc_id long, anchor int").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
 
 
 def _bodies(docs: DataFrame, span: int, gram: int, hot) -> DataFrame:
@@ -276,7 +326,7 @@ def _bodies(docs: DataFrame, span: int, gram: int, hot) -> DataFrame:
         listed = batch.column(2).to_pylist()
         done = 0
         for ids, texts in _sliced(batch):
-            row, first, last, anchor, hashes, _ = blocks(texts, span, gram, hot.value)
+            row, first, last, anchor, hashes, _, _ = blocks(texts, span, gram, hot.value)
             wanted = [set(x) for x in listed[done : done + len(texts)]]
             done += len(texts)
             pick = [i for i, (r, a) in enumerate(zip(row.tolist(), anchor.tolist(), strict=True)) if a in wanted[r]]
@@ -296,7 +346,7 @@ def _hot_blocks(docs: DataFrame, span: int, gram: int, hot) -> DataFrame:
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found: set[tuple] = set()
         for ids, texts in _sliced(batch):
-            row, first, last, _, hashes, is_hot = blocks(texts, span, gram, hot.value)
+            row, first, last, _, hashes, is_hot, _ = blocks(texts, span, gram, hot.value)
             pick = np.flatnonzero(is_hot)
             for h, r, a, z in zip(hashes[pick].view(np.int64).tolist(), row[pick].tolist(), first[pick].tolist(), last[pick].tolist(), strict=True):
                 found.add((int(ids[r]), a, z + span, h, texts[r][a : z + span]))
@@ -329,10 +379,24 @@ def _split_hot(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return firsts.select("hash", "at.doc_id", F.col("at.lo").alias("first"), "body"), spans
 
 
+def _of_crowded(rows: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of crowded hashes: what of them goes to the index, and ``doc_id, lo, hi`` of the repeats found here."""
+    firsts, spans = _split_hot(rows.select("hash", "doc_id", F.col("first").alias("lo"), (F.col("first") + F.octet_length("body")).alias("hi"), "body"))
+    crowded = stored(firsts.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).select("hash"))
+    many = firsts.join(crowded, "hash", "left_semi")
+    starts = F.explode(F.sequence(F.lit(1), F.octet_length("body") - span + 1)).alias("s")
+    windows = many.select("doc_id", "first", "body", starts).select("doc_id", (F.col("first") + F.col("s") - 1).alias("lo"), F.substring("body", F.col("s"), F.lit(span)).alias("text"))
+    windows = windows.select("doc_id", "lo", F.sha2("text", 256).alias("text"))
+    first = stored(windows.groupBy("text").agg(F.min(F.struct("doc_id", "lo")).alias("at"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    later = windows.join(first, "text").filter(F.struct("doc_id", "lo") > F.col("at"))
+    return firsts.join(crowded, "hash", "left_anti"), spans.unionByName(later.select("doc_id", "lo", (F.col("lo") + span).alias("hi")))
+
+
 def repeated_spans(df: DataFrame, span: int = SPAN, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, spans array<struct<lo, hi>>``: byte ranges (which may overlap) that repeat earlier strings of ``span`` bytes."""
     spark = df.sparkSession
-    docs = df.filter(F.col(key).isNotNull() & (F.octet_length(text) >= span)).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs, _ = named_once(df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")))
+    docs = docs.filter(F.octet_length("text") >= span)
     total, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     hot = spark.sparkContext.broadcast(_hot_grams(docs, gram, total))
     shared = _shared_anchors(docs, span, gram, hot, n_bytes)
@@ -341,7 +405,13 @@ def repeated_spans(df: DataFrame, span: int = SPAN, gram: int = GRAM, key: str =
         firsts, more = _split_hot(_hot_blocks(docs, span, gram, hot))
         found = found.unionByName(firsts)
     bodies = stored(found)
-    buckets = max(1, -(-bodies.count() // BUCKET_BLOCKS))
+    crowded = stored(bodies.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).select("hash"))
+    if not crowded.isEmpty():
+        rest, repeats = _of_crowded(bodies.join(crowded, "hash", "left_semi"), span)
+        bodies = stored(bodies.join(crowded, "hash", "left_anti").unionByName(rest))
+        more = repeats if more is None else more.unionByName(repeats)
+    n, size = bodies.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
+    buckets = max(1, -(-n // BUCKET_BLOCKS), -(-size // BUCKET_BYTES))
     dealt = bodies.withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(buckets)).cast("int"))
     spans = dealt.groupBy("bucket").applyInPandas(lambda b: _search_bucket(b, span), "doc_id long, lo long, hi long")
     if more is not None:
@@ -371,8 +441,8 @@ def remove_repeats(df: DataFrame, span: int = SPAN) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row of ``df(doc_id, text, ...)``.
 
     Null texts are empty; texts shorter than ``span`` lose nothing.  Rows with a null doc_id stay whole
-    and take no part; rows that repeat a doc_id and its text count as one document (doc_id is taken to
-    name one text).  Other columns are not read.
+    and take no part, and so do rows whose doc_id names several different texts; rows that repeat a doc_id and its
+    text count as one document.  Other columns are not read.
     """
     rows = with_spans(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), span)
 

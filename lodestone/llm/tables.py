@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone import reachable_by_workers
 from lodestone.plans.lineage import written as stored
 
-__all__ = ["bounded_batches", "documents", "map_rows", "stored", "table"]
+__all__ = ["bounded_batches", "documents", "map_batches", "map_rows", "named_once", "stored", "table"]
 
 #: An Arrow batch sent to a Python worker holds at most so many bytes or rows, however long the texts are.
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 1000
@@ -24,6 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named_once(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs(doc_id, text)`` without the ids that name several different texts, and those ids; none if there are none."""
+    each = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    several = stored(each.filter("a <> b").select("doc_id"))
+    if several.isEmpty():
+        return docs, None
+    return docs.join(several, "doc_id", "left_anti"), several
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes and rows; smaller bounds that the session has stay."""
     reachable_by_workers(spark)
@@ -33,14 +43,23 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
-def map_rows(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow of a function from one batch to batches, with bounded input batches; any column names will do."""
+def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow of a function of a partition's batches, which are bounded; any column names will do."""
     bounded_batches(df.sparkSession)
     names = df.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batch.rename_columns(names) for batch in batches)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)
+
+
+def map_rows(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow of a function from one batch to batches, with bounded input batches; any column names will do."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield from work(batch.rename_columns(names))
+                yield from work(batch)
 
-    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)
+    return map_batches(df, run, schema)
