@@ -1,29 +1,32 @@
 """Operator 4: exact top-k by exhaustive term-at-a-time accumulation.
 
-A vector's terms are its components, each quantised to ``floor(1024 x)``.  Queries
-and candidates are dealt to blocks, and every query block meets every candidate
-block in one cell: there each query's non-zero terms scatter ``weight * posting``
-into dense score arrays, a partition selection keeps the k best of the cell, and
-the cells' lists are merged by query.  Cells are bounded, whatever the tables hold.
+A vector's terms are its components, each quantised to ``floor(1024 x)``.  Queries are
+broadcast in blocks of bounded size, and candidates are read where they lie: in each
+of their partitions the query rows' non-zero terms scatter ``weight * posting`` into
+dense score arrays, some thousand candidates at a time, a partition selection keeps
+the k best, and the lists merge, first in the partition, then by query.  No candidate
+is shuffled, and a partition gives k rows for each query, whatever it holds.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import bounded_batches, table
+from lodestone.llm.tables import map_batches, stored, table
 
 SCALE = 1024
-#: Rows of one block of candidates and of one block of queries.
-CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 512
-#: Dense scores of a cell are filled for so many queries at a time.
-SCORES_AT_ONCE = 64
+#: Bytes of the query terms that are broadcast at once, about.
+QUERY_BYTES = 32 << 20
+#: Candidates and queries of one dense score array.
+CANDIDATES_AT_ONCE, QUERIES_AT_ONCE = 8192, 64
 
 HITS = "query_id long, vec_id long, score long"
 
@@ -37,67 +40,105 @@ def quantised(embedding: Column) -> Column:
     return F.transform(embedding, lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
 
 
-def _matrix(arrays: pd.Series, width: int) -> np.ndarray:
+def _matrix(terms: pa.Array) -> np.ndarray:
     """Terms by rows; terms that a vector lacks weigh nothing."""
-    out = np.zeros((width, len(arrays)), np.int64)
-    for i, x in enumerate(arrays):
-        out[: len(x), i] = x
-    return out
-
-
-def _cell(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    found = []
-    if len(queries) and len(candidates):
-        candidates = candidates.sort_values("id", kind="stable", ignore_index=True)
-        ids = candidates["id"].to_numpy(np.int64)
-        width = max(max(map(len, queries["terms"])), max(map(len, candidates["terms"])))
-        postings, weights = _matrix(candidates["terms"], width), _matrix(queries["terms"], width)
-        query_ids = queries["id"].to_numpy(np.int64)
-        for lo in range(0, len(queries), SCORES_AT_ONCE):
-            block = weights[:, lo : lo + SCORES_AT_ONCE]
-            scores = np.zeros((block.shape[1], len(ids)), np.int64)
-            for term in range(width):  # one term's postings at a time, for the queries that have it
-                has = np.flatnonzero(block[term])
-                if len(has):
-                    scores[has] += block[term, has, None] * postings[term]
-            for q in range(block.shape[1]):
-                own = query_ids[lo + q]
-                others = np.flatnonzero(ids != own)
-                s = scores[q, others]
-                if len(s) > k:
-                    least = np.partition(s, len(s) - k)[len(s) - k]
-                    above = np.flatnonzero(s > least)
-                    ties = np.flatnonzero(s == least)[: k - len(above)]  # ids ascend: ties to the smaller
-                    keep = np.concatenate([above, ties])
-                else:
-                    keep = np.arange(len(s))
-                found.append(pd.DataFrame({"query_id": own, "vec_id": ids[others[keep]], "score": s[keep]}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+    sizes = np.diff(terms.offsets.to_numpy())
+    values = terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = values
+    return out.T
+
+
+def _scores(weights: np.ndarray, postings: np.ndarray) -> np.ndarray:
+    """Inner products, a term's postings at a time for the queries that have it; beyond 64 bits they stay at the bound."""
+    terms = min(len(weights), len(postings))
+    most = [max(abs(int(x.min(initial=0))), int(x.max(initial=0))) for x in (weights, postings)]
+    wide = terms * most[0] * most[1] >= 1 << 63
+    if wide:
+        weights, postings = weights.astype(object), postings.astype(object)
+    scores = np.zeros((weights.shape[1], postings.shape[1]), weights.dtype)
+    for term in range(terms):
+        has = np.flatnonzero(weights[term])
+        if len(has):
+            scores[has] += weights[term, has, None] * postings[term]
+    return np.clip(scores, -(1 << 63), (1 << 63) - 1).astype(np.int64) if wide else scores
+
+
+class _Best:
+    """The k highest scores of each query so far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.found = k, [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * queries
+
+    def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Candidates in the order of their ids."""
+        k = self.k
+        if len(scores) > k:
+            least = np.partition(scores, len(scores) - k)[len(scores) - k]
+            above = np.flatnonzero(scores > least)
+            keep = np.concatenate([above, np.flatnonzero(scores == least)[: k - len(above)]])  # ties to the smaller id
+            ids, scores = ids[keep], scores[keep]
+        held = self.found[query]
+        ids, scores = np.concatenate([held[0], ids]), np.concatenate([held[1], scores])
+        order = np.lexsort([ids, -scores.astype(object) if scores.min(initial=0) == -(1 << 63) else -scores])[:k]
+        self.found[query] = ids[order], scores[order]
+
+
+def _scan(candidates: DataFrame, query_ids: np.ndarray, weights: np.ndarray, k: int) -> DataFrame:
+    """Each partition's best for the queries; ``candidates(id, terms)`` stay where they are."""
+    shared = candidates.sparkSession.sparkContext.broadcast((query_ids, weights))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, weights = shared.value
+        best, held, n = _Best(len(own), k), [], 0
+
+        def score() -> None:
+            rows = pa.Table.from_batches(held).combine_chunks().sort_by("id").combine_chunks()
+            ids, postings = rows["id"].to_numpy(), _matrix(rows["terms"].chunk(0))
+            for lo in range(0, len(own), QUERIES_AT_ONCE):
+                scores = _scores(weights[:, lo : lo + QUERIES_AT_ONCE], postings)
+                for q, row in enumerate(scores, lo):
+                    s, e = np.searchsorted(ids, own[q]), np.searchsorted(ids, own[q], "right")
+                    if s == e:
+                        best.add(q, ids, row)
+                    else:
+                        best.add(q, np.delete(ids, np.s_[s:e]), np.delete(row, np.s_[s:e]))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= CANDIDATES_AT_ONCE:
+                score()
+                held, n = [], 0
+        if n:
+            score()
+        sizes = [len(i) for i, _ in best.found]
+        if sum(sizes):
+            columns = (np.repeat(own, sizes), *(np.concatenate(x) for x in zip(*best.found, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+
+    return map_batches(candidates.select("id", "terms"), work, HITS)
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` highest inner products among candidates of other ids.
 
-    Both tables have ``id long, terms array<long>``; ids are taken to be unique (repeated ids are
-    scored as rows of their own, and a query meets none of its own id).  Ties go to the smaller id.
-    Fewer candidates than ``k`` give fewer ranks; empty tables give none.
+    Both tables have ``id long, terms array<long>``; other columns are not read.  Ids are taken to be unique (repeated
+    ids are scored as rows of their own, and a query meets none of its own id).  Ties go to the smaller id.  Fewer
+    candidates than ``k`` give fewer ranks; empty tables give none.  Scores beyond 64 bits stay at the bound.
     """
-    spark = queries.sparkSession
-    bounded_batches(spark)
-    n_queries, n_candidates = queries.count(), candidates.count()
-    q_blocks, c_blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_candidates // CANDIDATE_BLOCK))
-    least = spark.sparkContext.defaultParallelism  # small inputs still use every core
-    if q_blocks * c_blocks < least:
-        c_blocks = min(least, max(1, n_candidates // 256))
-
-    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("id", F.lit(own)), F.lit(n_own)).cast("int")
-        return df.select("id", "terms", block.alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
-
-    left = dealt(queries, "q_block", q_blocks, "c_block", c_blocks)
-    right = dealt(candidates, "c_block", c_blocks, "q_block", q_blocks)
-    cells = left.groupBy("q_block", "c_block").cogroup(right.groupBy("q_block", "c_block"))
-    hits = cells.applyInPandas(lambda key, q, c: _cell(key, q, c, k), HITS)
+    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("terms")), F.lit(0))).first()
+    blocks = max(1, -(-n * max(width, 1) * 8 // QUERY_BYTES))
+    rows = queries.select("id", "terms")
+    if blocks > 1:
+        rows = stored(rows.withColumn("block", F.pmod(F.xxhash64("id", "terms"), F.lit(blocks))))
+    found = []
+    for i in range(blocks):
+        block = (rows.filter(F.col("block") == i) if blocks > 1 else rows).select("id", "terms").toArrow().combine_chunks()
+        if block.num_rows:
+            found.append(_scan(candidates, block["id"].to_numpy(), _matrix(block["terms"].chunk(0)), k))
+    hits = reduce(DataFrame.unionByName, found) if found else queries.sparkSession.createDataFrame([], HITS)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
