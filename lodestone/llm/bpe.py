@@ -84,10 +84,22 @@ def _classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(kind, return_index=True)[1], kind
 
 
+def _supported(spec: dict) -> None:
+    """Refuse a vocabulary file whose normaliser, splitting or model is another than the one written here."""
+    steps = spec.get("normalizer") or {}
+    kinds = [n["type"] for n in steps.get("normalizers", [steps] if steps else [])]
+    split = [p["type"] for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    model = spec["model"]
+    lowered = kinds[:1] == ["NFC"] and kinds[-1:] == ["Lowercase"]
+    if not (lowered and split[-1:] == ["ByteLevel"] and model["type"] == "BPE" and model.get("end_of_word_suffix") == END and not model.get("dropout")):
+        raise ValueError(f"not a lower-casing byte-level BPE vocabulary with {END}: {kinds}, {split}, {model['type']}")
+
+
 def compile_automaton(path: str) -> Automaton:
     """Read a word-end BPE vocabulary (tokenizers' JSON) and add its merge gadgets one by one."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    _supported(spec)
     model, symbol = spec["model"], byte_symbols()
     vocab: dict[str, int] = model["vocab"]
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -329,6 +341,7 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         names = "|".join(re.escape(t) for t in sorted(automaton.specials, key=len, reverse=True))
         self.special = re.compile(f"({names})") if names else None
+        self.starts = {t[0] for t in automaton.specials}
         self.special_ids = {t: np.array([i], "<u4").tobytes() for t, i in automaton.specials.items()}
 
     def _units(self, text: str) -> list[str]:
@@ -337,7 +350,7 @@ class Encoder:
 
     def parts(self, text: str | None) -> list:
         """Units of the text before the first special token, that token, units after it, and so on."""
-        cut = self.special.split(text) if text and self.special and "<" in text else [text or ""]
+        cut = self.special.split(text) if text and any(c in text for c in self.starts) else [text or ""]
         return [p if i % 2 else self._units(p) for i, p in enumerate(cut)]
 
     def _learn(self, units: set[str]) -> None:
