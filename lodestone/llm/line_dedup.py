@@ -1,16 +1,17 @@
 """Operator 3: line dedup by winnowing over line hashes, in DataFrame functions alone.
 
 Lines are compared without surrounding spaces; blank lines are never compared and
-always stay.  A line goes if it belongs to ``RUN`` consecutive lines that also start
-earlier, in a document of smaller id or higher up in the same one.
+always stay.  A run is ``RUN`` consecutive lines, or one line of ``ALONE`` characters
+or more; a line goes if it belongs to a run that also starts earlier, in a document of
+smaller id or higher up in the same one.  Shorter lines (list items, headings) stand
+again in many texts by nature: alone they stay.
 
 Every window of ``RUN`` lines has a fingerprint, the smallest of its line hashes (the
 first, if several are equal), so equal runs of that length are guaranteed to share
-one.  Fingerprint positions are joined by hash; those that occur once end there.  The
-matches are extended both ways, to all windows around the position, whose hashes are
-compared in full; windows that overlap make up the maximal runs to delete.
-
-Lines of ``alone`` characters or more, where that is given, are runs by themselves.
+one.  Fingerprints are kept with their positions and the lines around them; positions
+whose hash occurs once end there.  The others are joined by hash and extended both
+ways, to every window around them that chose them; a window matches an earlier one if
+all its hashes do.  Matching windows that overlap make up the maximal runs to delete.
 """
 
 from __future__ import annotations
@@ -18,56 +19,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import documents, stored
+from lodestone.llm.tables import documents, named_once, stored
 
 RUN = 2
-#: Characters of a line that the pipeline counts as a run by itself: about 50 words.
-ALONE = 300
+#: Characters of a line that is a run by itself.
+ALONE = 40
 
 
-def _repeated_alone(docs: DataFrame, long: Column) -> DataFrame:
-    """``doc_id, gone array<int>``: numbers of those lines of the array ``long(i, t)`` that stand earlier, too."""
-    at, names = F.struct("doc_id", "i"), ["h0", "h1"]
-    each = docs.select("doc_id", F.explode(long).alias("p"))
-    each = stored(each.select("doc_id", F.col("p.i").alias("i"), *(F.xxhash64("p.t", F.lit(k)).alias(n) for k, n in enumerate(names))))
-    firsts = stored(each.groupBy(*names).agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    return each.join(firsts, names).filter(at > F.col("first")).groupBy("doc_id").agg(F.collect_set("i").alias("gone"))
+def _later(runs: DataFrame, names: list[str]) -> DataFrame:
+    """``doc_id, j`` of the runs (hashes ``names``) that an equal one precedes."""
+    at = F.struct("doc_id", "j")
+    firsts = stored(runs.groupBy(*names).agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    return runs.join(firsts, names).filter(at > F.col("first")).select("doc_id", "j")
 
 
-def repeated_lines(df: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text", alone: int | None = None) -> DataFrame:
-    """``doc_id, gone array<int>``: numbers (from 0) of the lines to delete, for documents that have any."""
-    docs = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.split(text, "\n").alias("lines"))
-    full = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("t"))), lambda p: p["t"] != "")
-    hashed = docs.select("doc_id", F.transform(full, lambda p: F.struct(p["i"].alias("i"), F.xxhash64(p["t"]).alias("h"))).alias("l"))
-    lined = stored(hashed.filter(F.size("l") >= run))
-    windows = lined.select("doc_id", F.arrays_zip(*(F.slice(F.col("l.h"), k + 1, F.size("l") - run + 1).alias(f"h{k}") for k in range(run)), F.slice(F.col("l.i"), 1, F.size("l") - run + 1).alias("i")).alias("w"))
-    least = lambda w: F.array_min(F.array(*(w[f"h{k}"] for k in range(run))))
-    place = lambda w, j: j + F.array_position(F.array(*(w[f"h{k}"] for k in range(run))), least(w)).cast("int") - 1
-    picked = F.array_distinct(F.transform("w", lambda w, j: F.struct(least(w).alias("fingerprint"), place(w, j).alias("at"))))
-    positions = windows.select("doc_id", F.explode(picked).alias("p")).select("p.fingerprint", "doc_id")
+def _picked(window: Column, j: Column) -> Column:
+    """Place in the document of the fingerprint of the window that starts at ``j``."""
+    return j + F.array_position(window, F.array_min(window)).cast("int") - 1
+
+
+def _runs_of_lines(lined: DataFrame, run: int) -> DataFrame:
+    """``doc_id, j``: starts of windows of ``run`` lines that repeat earlier ones."""
+    lined = lined.filter(F.size("h") >= run)
+    window = lambda h, j: F.slice(h, j + 1, run)
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("h") - run), lambda j: _picked(window(F.col("h"), j), j)))
+    low, high = lambda at: F.greatest(at - run + 1, F.lit(0)), lambda at: F.least(at + run - 1, F.size("h") - 1)
+    point = lambda at: F.struct(F.get("h", at).alias("fingerprint"), at.alias("at"), low(at).alias("base"), F.slice("h", low(at) + 1, high(at) - low(at) + 1).alias("around"))
+    positions = lined.select("doc_id", F.explode(F.transform(places, point)).alias("p")).select("doc_id", "p.*")
     shared = stored(positions.groupBy("fingerprint").count().filter("count > 1").select("fingerprint"))
-    every = windows.select("doc_id", F.posexplode("w").alias("j", "w"))
-    around = every.withColumn("fingerprint", least(F.col("w"))).join(shared, "fingerprint", "left_semi")
+    met = positions.join(shared, "fingerprint")
+    extended = met.select("doc_id", "at", "base", "around", F.explode(F.sequence(F.lit(0), F.size("around") - run)).alias("o"))
+    extended = extended.select("doc_id", "at", (F.col("base") + F.col("o")).alias("j"), window(F.col("around"), F.col("o")).alias("w"))
     names = [f"h{k}" for k in range(run)]
-    around = stored(around.select("doc_id", "j", *(F.col("w")[n].alias(n) for n in names)))
-    at = F.struct("doc_id", "j")
-    firsts = stored(around.groupBy(*names).agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    later = around.join(firsts, names).filter(at > F.col("first"))
-    lines = later.select("doc_id", F.explode(F.sequence("j", F.col("j") + run - 1)).alias("j")).distinct().groupBy("doc_id").agg(F.collect_list("j").alias("js"))
-    found = lined.select("doc_id", F.col("l.i").alias("at")).join(lines, "doc_id").dropDuplicates(["doc_id"])
-    found = found.select("doc_id", F.transform("js", lambda j: F.get("at", j)).alias("gone"))
-    if alone is None:
-        return found
-    every = found.unionByName(_repeated_alone(docs, F.filter(full, lambda p: F.length(p["t"]) >= alone)))
-    return every.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-
-
-def remove_repeated_lines(df: DataFrame, run: int = RUN, alone: int | None = None) -> DataFrame:
+    own = extended.filter(_picked(F.col("w"), F.col("j")) == F.col("at"))
+    return _later(stored(own.select("doc_id", "j", *(F.get("w", F.lit(k)).alias(n) for k, n in enumerate(names)))), names)
+
+
+def _single_lines(docs: DataFrame, full: Column, alone: int) -> DataFrame:
+    """``doc_id, j``: lines of ``alone`` characters or more that stand earlier, too."""
+    numbered = F.transform(full, lambda p, j: F.struct(j.alias("j"), p["t"].alias("t")))
+    each = docs.select("doc_id", F.explode(F.filter(numbered, lambda p: F.length(p["t"]) >= alone)).alias("p"))
+    return _later(stored(each.select("doc_id", F.col("p.j").alias("j"), F.xxhash64("p.t").alias("h0"), F.xxhash64("p.t", F.lit(1)).alias("h1"))), ["h0", "h1"])
+
+
+def repeated_lines(df: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text", alone: int | None = ALONE) -> DataFrame:
+    """``doc_id, gone array<int>``: numbers (from 0) of the lines to delete, for documents that have any."""
+    docs, _ = named_once(df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
+    docs = docs.select("doc_id", F.split("text", "\n").alias("lines"))
+    full = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("t"))), lambda p: p["t"] != "")
+    hashed = docs.select("doc_id", full.alias("l"))
+    lined = stored(hashed.select("doc_id", F.transform("l", lambda p: p["i"]).alias("i"), F.transform("l", lambda p: F.xxhash64(p["t"])).alias("h")).filter("size(i) > 0"))
+    runs = _runs_of_lines(lined, run).groupBy("doc_id").agg(F.collect_list("j").alias("js"))
+    gone = runs.select("doc_id", F.array_distinct(F.flatten(F.transform("js", lambda j: F.sequence(j, j + run - 1)))).alias("js"))
+    if alone is not None:
+        singles = _single_lines(docs, full, alone).groupBy("doc_id").agg(F.collect_list("j").alias("js"))
+        gone = gone.unionByName(singles).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("js"))).alias("js"))
+    found = lined.select("doc_id", "i").join(gone, "doc_id").dropDuplicates(["doc_id"])
+    return found.select("doc_id", F.transform("js", lambda j: F.get("i", j)).alias("gone"))
+
+
+def remove_repeated_lines(df: DataFrame, run: int = RUN, alone: int | None = ALONE) -> DataFrame:
     """``df(doc_id, text, ...)`` with its repeated runs deleted from ``text``, and ``n_lines``, ``n_removed``.
 
     Other columns stay, except ones named like the two that are added.  A null text stays null and has
-    no line; an empty text has one blank line.  Rows with a null doc_id stay whole and take no part.
-    Rows that repeat a doc_id and its text count as one document.
+    no line; an empty text has one blank line.  Rows with a null doc_id, or with one that names several
+    different texts, stay whole and take no part.  Rows that repeat a doc_id and its text count as one document.
     """
     gone = stored(repeated_lines(df, run, alone=alone))
     own = [c for c in df.columns if c not in ("n_lines", "n_removed")]
@@ -101,7 +117,10 @@ runs AS (
          row_number() OVER (PARTITION BY a.t, b.t ORDER BY a.doc_id, a.k) AS n
   FROM full_lines a JOIN full_lines b ON a.doc_id = b.doc_id AND b.k = a.k + 1
 ),
+singles AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, k) AS n FROM full_lines WHERE length(t) >= 40),
 gone AS (
+  SELECT doc_id, i FROM singles WHERE n > 1
+  UNION
   SELECT doc_id, i0 AS i FROM runs WHERE n > 1
   UNION
   SELECT doc_id, i1 AS i FROM runs WHERE n > 1
