@@ -45,13 +45,32 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def _in_passages(text: bytes, most: int = SLICE_BYTES) -> Iterator[bytes]:
+    """A text in parts of about ``most`` bytes, each of which ends where a passage ends: passages are those of the whole."""
+    at = 0
+    while len(text) - at > most:
+        size, stop = most, 0
+        while not stop and at + size < len(text):
+            wordy = _CLASS[np.frombuffer(text, np.uint8, size, at)] != _SPACE
+            ends = np.flatnonzero(wordy[:-1] & ~wordy[1:]) + 1  # of words that end within the part
+            whole = len(ends) // PASSAGE_WORDS * PASSAGE_WORDS
+            stop = int(ends[whole - 1]) if whole else 0
+            size *= 2
+        if not stop:
+            break
+        yield text[at : at + stop]
+        at += stop
+    if at == 0 or text[at:].strip():
+        yield text[at:]
+
+
 def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Features of each passage, and the number of passages of each text (one at least); long texts are read in parts."""
     if max(map(len, texts), default=0) <= 4 * SLICE_BYTES:
         return _passages(texts)
     features, bags = [], []
     for t in texts:
-        parts = [_passages([t[at : at + SLICE_BYTES]]) for at in range(0, max(len(t), 1), SLICE_BYTES)]
+        parts = [_passages([part]) for part in _in_passages(t)]
         features += [x for x, _ in parts]
         bags.append(sum(int(n[0]) for _, n in parts))
     return np.concatenate(features), np.array(bags)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import simhash
 from lodestone.llm.components import components
-from lodestone.llm.tables import bounded_batches, map_rows, stored
+from lodestone.llm.tables import bounded_batches, map_rows, named_once, stored
 
 WORDS, SIMILARITY = 5, 0.8
 #: Two texts of similarity 0.8 share one of the bands with probability 0.998, at 0.9 practically always.
@@ -137,11 +137,11 @@ def _among_members(members: DataFrame, joined: DataFrame, texts: DataFrame) -> D
 def one_of_each_group(df: DataFrame) -> DataFrame:
     """The rows of ``df(doc_id, text, ...)`` with the smallest doc_id of their group of near-duplicates; all columns stay.
 
-    Equal texts are one group, and so are blank ones (null, empty, white space); of equal doc_ids one row
-    stays.  Rows with a null doc_id are kept.
+    Equal texts are one group, and so are blank ones (null, empty, white space); of rows that repeat a doc_id
+    and its text one stays.  Rows with a null doc_id, or with one that names several texts, take no part and are kept.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = df.filter("doc_id IS NOT NULL").select("doc_id", text.alias("text"))
+    rows, several = named_once(df.filter("doc_id IS NOT NULL").select("doc_id", text.alias("text")))
     texts = stored(rows.groupBy("text").agg(F.min("doc_id").alias("node")))
     signed = stored(_signatures(texts))
     nodes = stored(signed.groupBy("fp").agg(F.min("node").alias("node")))
@@ -160,4 +160,6 @@ def one_of_each_group(df: DataFrame) -> DataFrame:
     gone = stored(joined.filter("node <> component").select(F.col("node").alias("doc_id")))
     kept = texts.select(F.col("node").alias("doc_id")).join(gone, "doc_id", "left_anti").withColumn("__kept", F.lit(True))
     alone = df.filter("doc_id IS NULL")
+    if several is not None:
+        alone = alone.unionByName(df.join(several, "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in df.columns)))
     return df.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in df.columns)).unionByName(alone)

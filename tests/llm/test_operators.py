@@ -12,7 +12,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestone.llm import bpe, embedding_dedup, encoding, exact_search, line_dedup, packing, simhash, suffix_dedup, token_counts
+from lodestone.llm import bpe, embedding_dedup, encoding, exact_search, line_dedup, packing, quality, similar_texts, simhash, suffix_dedup, token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -60,19 +60,43 @@ def test_encoded_ids_decode_again(docs):
     assert again[29] == tok.decode(tok.encode(texts()[29], add_special_tokens=False).ids, skip_special_tokens=False)
 
 
-def test_prefix_counts_equal_encoding_each_prefix(spark):
+ODD = [
+    "hello wonderful don't 12", "we're they'll I've 're 'r ''re -'s", "Ünï cödé Σίσυφος ΑΣ ½ ②", "e\u0301a\u0327\u0301 \u0301x a\u0308\u0323 \ud55c \u1112\u1161\u11ab x", "İstanbul ǅ ﬁ ſ",
+    "<|endoftext|> a <|startoftext|>b<|endoftext|>", "a\x1cb \x1f c\u2028d\u00a0e", "日本語 テキスト🙂👍🏽 x", "...!!! --'s ;) a1b2", "\t\n  lead", "नमस्ते क्षि", "z" * 90, "",
+]
+
+
+def test_prefix_tables_equal_encoding_each_prefix(spark):
+    """Every prefix that a table lists has the count of its own encoding, and all plain characters are listed."""
     tok = Tokenizer.from_file(PATH)
-    text = "hello wonderful don't 12"
-    (row,) = token_counts.prefix_table(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).collect()
-    bare = [i for i, c in enumerate(text, 1) if c != " "]
-    assert row.ends == list(range(1, len(bare) + 1))
-    assert row.counts[:14] == [len(tok.encode(text[:i], add_special_tokens=False).ids) for i in bare[:14]]
-    totals = token_counts.count_tokens(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), PATH)
-    assert {(r.doc_id, r.n_bytes, r.n_tokens) for r in totals.collect()} == {(1, len(text), row.counts[-1]), (2, 0, 0)}
-    table = token_counts.prefix_table(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH)
+    size = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    rows = token_counts.prefix_table(spark.createDataFrame([*enumerate(ODD), (99, None)], "doc_id long, text string"), PATH).collect()
+    for r in rows:
+        raw = (ODD[r.doc_id] if r.doc_id < 99 else "").encode()
+        assert r.counts == [size(raw[:e].decode()) for e in r.ends], raw
+        assert r.ends == sorted(set(r.ends))
+        if raw.isascii() and b"<|" not in raw:
+            assert r.ends == [i for i, c in enumerate(raw.decode(), 1) if c not in "\t\n "]
+    table = token_counts.prefix_table(spark.createDataFrame([(1, ODD[0])], "doc_id long, text string"), PATH)
     (fit,) = table.select(token_counts.longest_within("ends", "counts", 2).alias("n"), token_counts.count_at("ends", "counts", 5).alias("c")).collect()
-    assert fit.c == 1
-    assert row.counts[fit.n - 1] <= 2
+    assert (fit.n, fit.c) == (15, 1)
+
+
+def test_token_counts_equal_the_library(spark, awkward):
+    tok = Tokenizer.from_file(PATH)
+    size = lambda t: len(tok.encode(t or "", add_special_tokens=False).ids)
+    for r in token_counts.count_tokens(awkward, PATH).collect():
+        t = texts()[1 if r.doc_id is None else r.doc_id]
+        assert (r.n_bytes, r.n_tokens) == (len((t or "").encode()), size(t))
+        assert r.n_tokens > 2048 or (r.fit_bytes, r.fit_tokens) == (r.n_bytes, r.n_tokens)
+        assert r.fit_tokens == size((t or "").encode()[: r.fit_bytes].decode()) <= 2048
+    odd = spark.createDataFrame([(i, f"{t} {t}", "k", 1) for i, t in enumerate(ODD)], "doc_id long, text string, key string, n_bytes long")
+    tables = {r.doc_id: r for r in token_counts.prefix_table(odd, PATH).collect()}
+    for budget in (0, 1, 5, 9):
+        for r in token_counts.count_tokens(odd, PATH, budget=budget).collect():
+            held = tables[r.doc_id]
+            want = max([(e, c) for e, c in zip(held.ends, held.counts, strict=True) if c <= budget], default=(0, 0))
+            assert (r.fit_bytes, r.fit_tokens) == ((r.n_bytes, r.n_tokens) if r.n_tokens <= budget else want), (budget, ODD[r.doc_id])
 
 
 def test_packing(spark, awkward):
@@ -122,6 +146,10 @@ def _brute_line_dedup(rows):
             pair = (lines[a].strip(" "), lines[b].strip(" "))
             gone |= {a, b} if pair in seen else set()
             seen.add(pair)
+        for a in at:
+            line = lines[a].strip(" ")
+            gone |= {a} if len(line) >= 40 and line in seen else set()
+            seen.add(line)
         out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
@@ -150,10 +178,43 @@ def test_line_dedup_of_single_long_lines(spark):
     found = [(r.doc_id, r.text) for r in got.collect()]
     assert len(found) == 9 and dict(found) == want
     kept = corpus_pipeline.drop_repeated_lines(spark, df, "")
-    assert {r.doc_id: r.text for r in kept.collect()} == want
+    assert {r.doc_id: r.text for r in kept.collect()} == want | {4: "g\nh"}
     assert "Python" not in got._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("run", [1, 2, 3, 5])
+def test_winnowing_finds_all_runs(spark, run):
+    """Runs of few different lines, so that fingerprints tie and matches overlap; longer windows too."""
+    rng = np.random.default_rng(run)
+    rows = [(i, "\n".join(rng.choice(["a", "b", "c", "", " d "], rng.integers(0, 14)))) for i in range(60)]
+    seen, want = set(), {}
+    for i, t in rows:
+        lines = t.split("\n")
+        at = [k for k, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for k in range(len(at) - run + 1):
+            window = tuple(lines[j].strip() for j in at[k : k + run])
+            gone |= set(at[k : k + run]) if window in seen else set()
+            seen.add(window)
+        want[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    got = line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), run=run, alone=None)
+    assert {r.doc_id: r.text for r in got.collect()} == want
+
+
+def test_ids_of_several_texts_are_left_alone(spark):
+    """A doc_id that names different texts takes no part, in any operator that keeps positions or classes by it."""
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, f"{long}\n{long}x"), (2, f"{long}\n{long}x"), (2, "other text of this id"), (3, f"{long}\n{long}x"), (3, f"{long}\n{long}x"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted((r.doc_id, r.text or "") for r in df.collect())
+    lines = sorted((r.doc_id, r.text or "") for r in line_dedup.remove_repeated_lines(df).collect())
+    assert lines == [x if x[0] != 3 else (3, "") for x in whole]
+    cut = sorted((r.doc_id, r.text or "") for r in suffix_dedup.cut_repeats(df).collect())
+    assert [x for x in cut if x[0] in (2, 4)] == [x for x in whole if x[0] in (2, 4)]
+    assert all(len(t) < 100 for i, t in cut if i == 3)
+    assert sorted((r.doc_id, r.text or "") for r in similar_texts.one_of_each_group(df).collect()) == [whole[0], *(x for x in whole if x[0] in (2, 4))]
+
+
 def test_line_dedup_uses_no_python(docs):
     plan = line_dedup.remove_repeated_lines(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -187,11 +248,54 @@ def test_suffix_dedup_hot_passages(spark, monkeypatch):
     word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 8)))
     rows = [(i, " ".join(word() for _ in range(12)) + SHARED * 2 + " ".join(word() for _ in range(12))) for i in range(60)]
     want = _brute_spans(rows)
-    monkeypatch.setattr(suffix_dedup, "BATCH_BLOCKS", 16)
+    monkeypatch.setattr(suffix_dedup, "BATCH_SUFFIXES", 64)
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {r.doc_id: r.n_removed for r in got} == {i: int(g.sum()) for i, g in want.items()}
 
 
+@pytest.mark.parametrize("crowded", [8192, 20, 1])
+def test_suffix_dedup_of_periodic_and_crowded_texts(spark, monkeypatch, crowded):
+    """Periods 1, 2, 7 and 100, alone and between other bytes; hashes with more blocks than a bucket takes."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    period = word(100)
+    rows = ["z" * 700, "ab" * 300, "abcdefg" * 90, period * 5, word(80) + "z" * 300 + word(80), word(50) + "ab" * 200, "ab" * 130 + word(70), period * 3 + word(60), word(130) + period[3:] * 2]
+    rows += [word(60) + SHARED + word(60) for _ in range(30)] + [word(30) + "-" * n + word(30) for n in (99, 100, 101, 150, 260)]
+    rows = list(enumerate(rows))
+    monkeypatch.setattr(suffix_dedup, "BATCH_SUFFIXES", 64)
+    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
+    monkeypatch.setattr(suffix_dedup, "HOT_DOCUMENTS", 1000)
+    want = _brute_spans(rows)
+    for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        b, gone = rows[r.doc_id][1].encode(), want[r.doc_id]
+        assert r.n_removed == int(gone.sum()), rows[r.doc_id]
+        assert r.kept_sha256 == hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
+
+
+def test_texts_of_several_megabytes(spark):
+    """Beyond the size at which texts are read in parts: the same blocks, passages and bytes as of the whole."""
+    rng = np.random.default_rng(11)
+    words = np.array(["".join(rng.choice(list("abcdefgh"), n)) for n in rng.integers(1, 12, 5000)])
+    text = " ".join(rng.choice(words, 900_000)) + " AA|1 " + "x" * 70_000 + " " + " ".join(rng.choice(words, 30_000))
+    raw = text.encode()
+    assert len(raw) > 5 << 20
+    whole = suffix_dedup._joined(suffix_dedup._blocks([raw], 100, 24, suffix_dedup.HotGrams(np.zeros(0, np.int64))))
+    for a, b in zip(whole, suffix_dedup.blocks([raw], 100, 24, suffix_dedup.HotGrams(np.zeros(0, np.int64))), strict=True):
+        if a is not whole[-1]:
+            inside = set(a.tolist())
+            assert len(set(b.tolist()) - inside) <= 12  # halves of blocks at the borders
+    x, bags = quality._passages([raw])
+    y, parts = quality.passages([raw, b""])
+    assert (bags[0], 1) == tuple(parts)
+    assert np.array_equal(x, y[: bags[0]])
+    part = text[1_000_003:1_000_203]
+    df = spark.createDataFrame([(1, text), (2, "so " + part + " it is"), (3, "z" * 1_500_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got[2].n_removed == 200 and got[2].n_spans == 1
+    assert got[3].n_removed == 1_500_000 - 100 + 99
+    assert got[1].n_bytes == len(raw)
+
+
 def test_suffix_dedup_keeps_columns_and_characters(awkward):
     rows = suffix_dedup.cut_repeats(awkward).collect()
     assert rows[0].asDict().keys() == dict.fromkeys(awkward.columns).keys()
@@ -278,6 +382,23 @@ def test_exact_search_with_ties(spark):
         assert sorted(got[q]) == [(n + 1, int(j), int(score[j])) for n, j in enumerate(order)]
 
 
+def test_exact_search_in_blocks(spark, monkeypatch):
+    """Many blocks of queries and candidates, terms of different numbers, clashing names, repeated ids, scores beyond 64 bits."""
+    monkeypatch.setattr(exact_search, "QUERY_BYTES", 200)
+    monkeypatch.setattr(exact_search, "CANDIDATES_AT_ONCE", 7)
+    rng = np.random.default_rng(5)
+    rows = [(i, [int(x) for x in rng.integers(-5, 6, rng.integers(1, 5))], 1, "q") for i in range(60)] + [(7, [4, 4], 2, "again"), (60, [1 << 62], 3, "wide")]
+    table = spark.createDataFrame(rows, "id long, terms array<long>, score int, query_id string").repartition(5)
+    got = defaultdict(list)
+    for r in exact_search.top_k(table.filter("id % 6 = 0"), table, 4).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    bound = lambda v: max(-(1 << 63), min((1 << 63) - 1, v))
+    for q, terms, *_ in rows:
+        if q % 6 == 0:
+            scores = sorted(((-bound(sum(a * b for a, b in zip(terms, t, strict=False))), i) for i, t, *_ in rows if i != q))[:4]
+            assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+
+
 def test_embedding_near_duplicates(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(20, 32))
@@ -297,6 +418,30 @@ def test_embedding_near_duplicates(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+@pytest.mark.parametrize("block", [16, 64])
+def test_embedding_near_duplicates_in_crowded_buckets(spark, monkeypatch, block):
+    """Tight groups, groups beside one another, and loose vectors: counts as by brute force where a table meets the pair."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    a, b = rng.normal(size=(2, 24))
+    near = lambda c, n, s: c + rng.normal(size=(n, 24)) * s
+    x = np.concatenate([near(a, 150, 0.05), near(a + 0.12 * b, 80, 0.08), near(b, 100, 0.2), near(-a, 90, 0.35), rng.normal(size=(60, 24))])
+    rows = [(i, v.tolist(), "c", 1) for i, v in enumerate(x)] + [(3, x[3].tolist(), "again", 2), (3, None, "null", 3), (None, x[0].tolist(), "n", 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cid string, size int").repartition(3)
+    got = embedding_dedup.near_duplicates(df).collect()
+    assert len(got) == len(rows) - 1
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = u @ u.T >= 0.9
+    want = linked.sum(axis=1) - 1 + linked[:, 3]
+    found = {r.vec_id: r.n_links for r in got if not (r.vec_id == 3 and r.n_links == 0)}
+    n = np.array([found[i] for i in range(len(x))])
+    assert (n <= want).all()
+    assert n.sum() >= 0.95 * want.sum()
+    assert (n[:150] >= 149).all()
+    reach = _least_reachable(range(len(x)), zip(*np.nonzero(np.triu(linked, 1)), strict=True))
+    assert {r.vec_id: r.component_id for r in got if r.vec_id < 150 and r.n_links} == {i: reach[i] for i in range(150)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     for df in (
