@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: later repeated runs of lines go, and later repeats of a single long line."""
-    return _counted(docs, line_dedup.remove_repeated_lines(docs, alone=line_dedup.ALONE))
+    """Operator 3: later repeated runs of lines go (a line of some length is a run)."""
+    return _counted(docs, line_dedup.remove_repeated_lines(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
