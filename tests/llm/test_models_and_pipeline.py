@@ -1,6 +1,8 @@
 """Held-out accuracy of the two classifiers, and every pipeline stage on its own input."""
 
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -30,6 +32,48 @@ def test_quality_held_out(spark, labels):
     assert accuracy >= 0.97
 
 
+def test_attention_by_hand():
+    """Encoder, gated attention, weighted sum and score of bags of passages, written out passage by passage."""
+    rng = np.random.default_rng(3)
+    n, h, a = quality.FEATURES, quality.HIDDEN, quality.ATTENTION
+    w = {"W": rng.normal(size=(n, h)), "b": rng.normal(size=h), "V": rng.normal(size=(h, a)), "U": rng.normal(size=(h, a)), "a": rng.normal(size=a), "c": rng.normal(size=h), "d": np.array(0.3)}
+    model = quality.Attention(rng.normal(size=n), rng.uniform(0.5, 2, n), w)
+    bags = np.array([1, 4, 2])
+    x = rng.normal(size=(bags.sum(), n))
+    want, at = [], 0
+    for size in bags:
+        encoded = [np.tanh((p - model.mean) / model.scale @ w["W"] + w["b"]) for p in x[at : at + size]]
+        weight = [math.exp(float((np.tanh(e @ w["V"]) / (1 + np.exp(-(e @ w["U"])))) @ w["a"])) for e in encoded]
+        z = sum(g * e for g, e in zip(weight, encoded, strict=True)) / sum(weight)
+        want.append(1 / (1 + math.exp(-float(z @ w["c"] + w["d"]))))
+        at += size
+    assert np.allclose(model.score(x, bags), want)
+
+
+def test_attention_learns_where_to_look():
+    """Only one passage of a bag tells the label; the trained weights single it out."""
+    rng = np.random.default_rng(4)
+    y, bags = rng.integers(0, 2, 300), rng.integers(2, 7, 300)
+    x = rng.normal(size=(bags.sum(), quality.FEATURES)) * 0.3
+    first = np.cumsum(bags) - bags
+    x[first, 0], x[first, 1] = 3.0, np.where(y == 1, 2.0, -2.0)
+    model = quality.learn(x[: first[200]], bags[:200], y[:200].astype(float))
+    got = model.forward(x[first[200] :], bags[200:])
+    assert ((got["p"] > 0.5) == y[200:]).mean() > 0.95
+    assert got["att"][first[200:] - first[200]].mean() > 1.5 * (1 / bags[200:]).mean()
+
+
+def test_posterior_by_hand():
+    rng = np.random.default_rng(5)
+    model = toxicity.LabelModel(rng.uniform(0.05, 0.4, 5), rng.uniform(0.5, 0.9, 5), np.array([1, 0.5, 0.5, 1, 1]), 0.2)
+    votes = rng.integers(0, 2, (20, 5)).astype(float)
+    for row, got in zip(votes, model.posterior(votes), strict=True):
+        like = []
+        for prior, chance in ((0.2, model.toxic), (0.8, model.clean)):
+            like.append(prior * math.prod((c if v else 1 - c) ** s for v, c, s in zip(row, chance, model.share, strict=True)))
+        assert abs(got - like[0] / sum(like)) < 1e-9
+
+
 def test_toxicity_held_out(spark, labels):
     rows = toxicity.op9_toxicity_weak_supervision(spark, DATA).collect()
     assert len(rows) == 1000
@@ -147,6 +191,28 @@ def test_equal_fingerprints_of_unlike_texts_are_no_link(spark):
     assert sorted(r.doc_id for r in similar_texts.one_of_each_group(df).collect()) == want
 
 
+def test_near_duplicates_of_a_whole_table(spark):
+    """Against all pairs of all documents: nothing else goes, and nearly all that should."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    sets, holders = [], {}
+    for i, (_, t) in enumerate(rows):
+        w = t.lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
+        for s in sets[-1]:
+            holders.setdefault(s, []).append(i)
+    root = list(range(len(rows)))
+    for i, own in enumerate(sets):
+        for j, both in Counter(j for s in own for j in holders[s] if j < i).items():
+            if root[i] != root[j] and both >= 0.8 * (len(own) + len(sets[j]) - both):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    want = {rows[i][0] for i in range(len(rows)) if root[i] != i}
+    gone = {i for i, _ in rows} - {r.doc_id for r in similar_texts.one_of_each_group(docs).collect()}
+    assert gone <= want
+    assert len(want) > 50 and len(gone) >= 0.99 * len(want)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, seen = docs.dtypes, [docs]
