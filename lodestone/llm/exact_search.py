@@ -59,7 +59,9 @@ def _scores(weights: np.ndarray, postings: np.ndarray) -> np.ndarray:
     scores = np.zeros((weights.shape[1], postings.shape[1]), weights.dtype)
     for term in range(terms):
         has = np.flatnonzero(weights[term])
-        if len(has):
+        if len(has) == len(scores):
+            scores += weights[term, :, None] * postings[term]
+        elif len(has):
             scores[has] += weights[term, has, None] * postings[term]
     return np.clip(scores, -(1 << 63), (1 << 63) - 1).astype(np.int64) if wide else scores
 
