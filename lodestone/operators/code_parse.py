@@ -186,15 +186,15 @@ def code_chunks(files: DataFrame, most: int = settings.CODE_CHUNK_CHARS) -> Data
     Longer segments are cut into windows that repeat the label; files that do not parse, or define
     nothing, become plain windows without a label.
     """
-    from lodestone.operators.chunking import spans
+    from lodestone.operators.chunking import spans, steps
 
     rows = files.select("file", "text", _segment_column("text").alias("segments"))
-    plain = F.transform(spans(F.col("text")), lambda p: F.struct(F.lit(None).cast("string").alias("label"), p["piece"].alias("piece")))
+    plain = F.transform(spans(steps(F.col("text"))), lambda p: F.struct(F.lit(None).cast("string").alias("label"), p["piece"].alias("piece")))
 
     def cut(s: Column) -> Column:
         label = F.concat(F.lit("["), F.col("file"), F.lit(" — "), s["label"], F.lit("]"))
         whole = F.array(F.struct(label.alias("label"), s["code"].alias("piece")))
-        parts = F.transform(spans(s["code"]), lambda p: F.struct(label.alias("label"), p["piece"].alias("piece")))
+        parts = F.transform(spans(steps(s["code"])), lambda p: F.struct(label.alias("label"), p["piece"].alias("piece")))
         return F.when(F.length(s["code"]) <= most, whole).otherwise(parts)
 
     pieces = F.when(F.size("segments") > 0, F.flatten(F.transform("segments", cut))).otherwise(plain)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import settings
 from lodestone.operators import code_graph, code_parse, code_query, hybrid, traversal, vector_search
-from lodestone.plans.fixtures import CHAIN, generated_graph, package, package_graph
+from lodestone.plans.fixtures import CHAIN, generated, generated_graph, package, package_graph
 from lodestone.plans.registry import Registry, table
 from lodestone.plans.text_queries import _CHUNKS, _HITS, _TERMS, QUESTION, document_chunks
 
@@ -204,6 +204,18 @@ def generated_without_file(spark: SparkSession, d: str) -> DataFrame:
     return generated_graph(spark, d, "c0.m1.py").calls.select("src", "dst")
 
 
+@query(f"""
+WITH {_MODULES}, s AS (
+  SELECT module || '.py' AS file, 0 AS ord, CASE WHEN p = 0 THEN 'function f' ELSE 'imports' END AS label, CASE WHEN p = 0 THEN 'def f():~    return 1' ELSE 'from .m' || (k - 1) || ' import C' || (k - 1) || ', f' END AS piece FROM g
+  UNION ALL SELECT module || '.py', 1, 'class C' || k, CASE WHEN p = 0 THEN 'class C' || k || ':~    def hello(self):~        return f()' ELSE 'class C' || k || '(C' || (k - 1) || '):~    pass' END FROM g
+  UNION ALL SELECT module || '.py', 2, 'function go', 'def go():~    c = C' || k || '()~    f()~    return c.hello()' FROM g)
+SELECT file, ord, '[' || file || ' — ' || label || ']' AS label, replace(piece, '~', chr(10)) AS piece FROM s
+""")
+def generated_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Imports and definitions of every generated module."""
+    return code_parse.code_chunks(generated(spark, d))
+
+
 @query(f"WITH {_MODULES} SELECT module || '.py' AS file, count(*) AS n_nodes FROM nodes GROUP BY module")
 def generated_files(spark: SparkSession, d: str) -> DataFrame:
     return code_query.file_names(generated_graph(spark, d)).select("file", "n_nodes")
