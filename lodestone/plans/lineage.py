@@ -1,4 +1,4 @@
-"""Cutting lineage: a written table that every executor can read again."""
+"""Where rows lie: written tables that cut lineage, and small inputs dealt to all cores."""
 
 from __future__ import annotations
 
@@ -30,3 +30,9 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path.toString())
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(path.toString())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where its files are cut into fewer parts than that; any larger input stays where it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

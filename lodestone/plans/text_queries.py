@@ -12,6 +12,7 @@ from lodestone import settings
 from lodestone.functions import text
 from lodestone.operators import chunking, hybrid, session, store, vector_search
 from lodestone.operators.models import ModelList, chat_models
+from lodestone.plans.lineage import spread
 from lodestone.plans.registry import Registry, table
 from lodestone.sources.files import wanted, with_text
 
@@ -35,13 +36,13 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 def document_chunks(spark: SparkSession, d: str) -> DataFrame:
     """``chunk_id, doc_id, file, text``: chunks of documents; an id is its document's times 2**31, and its start (an int)."""
-    pieces = chunking.chunked(_docs(spark, d), "doc_id", keep=("source",))
+    pieces = chunking.chunked(spread(_docs(spark, d)), "doc_id", keep=("source",))
     return pieces.select((F.col("doc_id") * (1 << 31) + F.col("start")).alias("chunk_id"), "doc_id", F.col("source").alias("file"), F.col("piece").alias("text"))
 
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, start, piece FROM chunks")
 def chunk_spans(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunked(_docs(spark, d), "doc_id").select("doc_id", "start", "piece")
+    return chunking.chunked(spread(_docs(spark, d)), "doc_id").select("doc_id", "start", "piece")
 
 
 @query(f"WITH {_CHUNKS} SELECT source AS file, count(*) AS n_chunks FROM chunks GROUP BY source")
@@ -64,7 +65,7 @@ FROM best b LEFT JOIN heads h ON h.doc_id = b.doc_id AND h.pos = b.pos
 """)
 def heading_asof(spark: SparkSession, d: str) -> DataFrame:
     """Lines of at most 60 characters stand for headings, as the documents have no markdown."""
-    docs = _docs(spark, d)
+    docs = spread(_docs(spark, d))
     lines = F.split(text.strip("text"), "\n")
     each = docs.select("doc_id", F.posexplode(lines).alias("i", "title"))
     before = F.coalesce(F.sum(F.length("title") + 1).over(W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
