@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import documents, named_once, stored
+from lodestone.llm.tables import named_once, stored, table
 
 RUN = 2
 #: Characters of a line that is a run by itself.
@@ -99,7 +99,7 @@ def remove_repeated_lines(df: DataFrame, run: int = RUN, alone: int | None = ALO
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = remove_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    kept = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

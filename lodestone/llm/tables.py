@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import reachable_by_workers
+from lodestone.plans.lineage import spread
 from lodestone.plans.lineage import written as stored
 
 __all__ = ["bounded_batches", "documents", "map_batches", "map_rows", "named_once", "stored", "table"]
@@ -18,7 +19,8 @@ BATCH_BYTES, BATCH_ROWS = 16 << 20, 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents; a table of a few small files is dealt to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
