@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.tables import documents, map_rows, stored
+from lodestone.llm.tables import documents, map_batches, map_rows, stored
 
 SEED = 42
 SHINGLE_WORDS, RADIUS = 3, 2
 #: Distinct fingerprints of a shard, about; the tree on the driver has at most MAX_SHARDS leaves.
-SHARD, MAX_SHARDS, SAMPLE_PER_SHARD = 4096, 8192, 16
+SHARD, MAX_SHARDS, SAMPLE_PER_SHARD = 16_384, 1 << 17, 16
+#: Fingerprints that go down the tree together, and rows of shards sent on together, about.
+DEALT_AT_ONCE, SENT_AT_ONCE = 1 << 16, 1 << 19
 #: Fingerprints compared directly.
 LEAF = 256
 PAIRS_AT_ONCE = 1 << 20
@@ -126,6 +128,20 @@ def _deal(tree, fps: np.ndarray, own: np.ndarray, ask: np.ndarray, radius: int)
         yield from _deal(outside, fps, c, d, radius)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The two columns of ``batches``, so many rows at a time, about."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield tuple(np.concatenate([b.column(c).to_numpy() for b in held]) for c in (0, 1))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate([b.column(c).to_numpy() for b in held]) for c in (0, 1))
+
+
 class _Forest:
     """Spanning forest of the pairs given to it, by smallest index."""
 
@@ -169,15 +185,29 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     n = nodes.count()
     leaves = min(MAX_SHARDS, max(1, -(-n // SHARD)))
     want = leaves * SAMPLE_PER_SHARD
-    drawn = [] if leaves == 1 else nodes.select("fp").sample(min(1.0, 1.5 * want / n), SEED).limit(want).collect()
-    (tree,) = grow(np.array([r.fp for r in drawn], np.int64).view(np.uint64), leaves)
-
-    def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fp, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for leaf, own, ask in _deal(tree, fp.view(np.uint64), np.arange(len(fp)), np.zeros(0, np.int64), radius):
-            pick = np.concatenate([own, ask])
-            member = np.arange(len(pick)) < len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), leaf, np.int32)), pa.array(fp[pick]), pa.array(node[pick]), pa.array(member)], ["leaf", "fp", "node", "member"])
+    drawn = np.zeros(0, np.int64)
+    if leaves > 1:
+        drawn = nodes.select("fp").sample(min(1.0, 1.5 * want / n), SEED).limit(want).toArrow()["fp"].to_numpy()
+    shared = nodes.sparkSession.sparkContext.broadcast(grow(drawn.view(np.uint64), leaves))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (tree,) = shared.value
+        for fp, node in _gathered(batches, DEALT_AT_ONCE):
+            held: list[tuple[np.ndarray, ...]] = []
+            n = 0
+            for leaf, own, ask in _deal(tree, fp.view(np.uint64), np.arange(len(fp)), np.zeros(0, np.int64), radius):
+                pick = np.concatenate([own, ask])
+                held.append((np.full(len(pick), leaf, np.int32), pick, np.arange(len(pick)) < len(own)))
+                n += len(pick)
+                if n >= SENT_AT_ONCE:
+                    yield sent(held, fp, node)
+                    held, n = [], 0
+            if held:
+                yield sent(held, fp, node)
+
+    def sent(held: list[tuple[np.ndarray, ...]], fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        leaf, pick, member = (np.concatenate(part) for part in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(fp[pick]), pa.array(node[pick]), pa.array(member)], ["leaf", "fp", "node", "member"])
 
     def search(shard: pd.DataFrame) -> pd.DataFrame:
         fps, node, member = shard["fp"].to_numpy(np.int64).view(np.uint64), shard["node"].to_numpy(np.int64), shard["member"].to_numpy(bool)
@@ -186,7 +216,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         some = np.flatnonzero(forest.root != np.arange(len(fps)))
         return pd.DataFrame({"a": node[some], "b": node[forest.root[some]]})
 
-    dealt = map_rows(nodes.select("fp", "node"), deal, "leaf int, fp long, node long, member boolean")
+    dealt = map_batches(nodes.select("fp", "node"), deal, "leaf int, fp long, node long, member boolean")
     return dealt.groupBy("leaf").applyInPandas(search, "a long, b long")
 
 
