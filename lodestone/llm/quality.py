@@ -182,12 +182,16 @@ def held_out(fold: int, folds: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, out: Column, per_class: int) -> DataFrame:
-    """``text, y`` of at most ``per_class`` labelled rows of each class that are not held out, picked by a hash."""
+    """``text, y`` of at most ``per_class`` labelled documents of each class that are not held out, picked by a hash.
+
+    However often a doc_id is repeated, it is learned from once, by its smallest text.
+    """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = known.filter(~out)
     ids = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     picked = ids[0].unionByName(ids[1])
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Attention | None:

@@ -232,15 +232,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     return Classifier(terms, *fit_linear(votes, model.posterior(votes)))
 
 
-_VOTERS: dict[int, Voters] = {}
+#: A worker's last classifier and its voters.
+_LAST: list[tuple[Classifier, Voters]] = []
 
 
 def _scores(shared, texts: list[str | None]) -> np.ndarray:
-    key = id(shared.value)
-    if key not in _VOTERS:
-        _VOTERS.clear()
-        _VOTERS[key] = Voters(shared.value.terms)
-    return shared.value.scores(np.stack([_VOTERS[key].votes(t) for t in texts]))
+    model = shared.value
+    if not _LAST or _LAST[0][0] is not model:
+        _LAST[:] = [(model, Voters(model.terms))]
+    voters = _LAST[0][1]
+    return model.scores(np.stack([voters.votes(t) for t in texts]))
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:

@@ -3,9 +3,11 @@
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import quality, similar_texts, toxicity
@@ -122,6 +124,28 @@ def test_classifiers_on_odd_tables(spark):
         assert toxicity.accepted(empty, model).collect() == []
 
 
+def test_training_takes_each_document_once(spark):
+    """A doc_id that fills a third of the table, with equal and with several texts, is one row to learn from."""
+    one = spark.range(2000).selectExpr("5L AS doc_id", "'same words' AS text", "1 AS y").union(spark.range(9).selectExpr("5L", "'zz ' || id", "1"))
+    docs = one.union(spark.range(10, 4000).selectExpr("id", "CAST(id AS STRING)", "0")).union(spark.createDataFrame([(6, None, 1)], "doc_id long, text string, y int"))
+    marks = spark.createDataFrame([(5, 1), (5, 1), (6, 1), (None, 1)], "doc_id long, toxic int").union(spark.range(10, 4000).selectExpr("id", "0"))
+    never = F.lit(False)
+    rows = quality.training_rows(docs, marks, "toxic", never, 50).collect()
+    assert sorted(r.text for r in rows if r.y == 1) == ["", "same words"]
+    assert len({r.text for r in rows if r.y == 0}) == len([r for r in rows if r.y == 0]) == 50
+
+
+def test_voters_are_those_of_the_classifier():
+    """Classifiers that follow each other in one worker, each freed before the next: none meets another's voters."""
+    word = lambda n: "w" + chr(97 + n % 26) + chr(97 + n // 26 % 26)
+    for n in range(300):
+        weights = np.zeros(1 + toxicity.PATTERNS)
+        weights[0] = 5.0
+        shared = SimpleNamespace(value=toxicity.Classifier([word(n)], weights, 0.0))
+        without, other, own = toxicity._scores(shared, ["plain", word(n + 1), word(n)])
+        assert without == other == 0.5 < own
+
+
 def _similarity(a, b):
     sets = []
     for t in (a, b):
