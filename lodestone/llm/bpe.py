@@ -38,6 +38,8 @@ END = "</w>"
 BATCH_WORD_BYTES = 40
 #: Cached words of one Python worker; the cache starts anew beyond it (results do not depend on it).
 CACHED_WORDS = 250_000
+#: Columns of the arc table unpacked at once (a multiple of 8).
+COLUMNS_AT_ONCE = 1024
 
 #: Unicode White_Space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -125,9 +127,10 @@ def compile_automaton(path: str) -> Automaton:
         column[w] = n
         follow[n] = follow[column[u]]  # arcs into w: those into u
     first, col_kind = _classes(follow)
-    bits = np.unpackbits(follow[first], axis=1, count=len(row), bitorder="little").T
-    first, row_kind = _classes(np.packbits(bits, axis=1))
-    arcs = np.packbits(bits[first].T, axis=1, bitorder="little")
+    follow, some = follow[first], range(0, len(first), COLUMNS_AT_ONCE)
+    unpacked = lambda part: np.unpackbits(part, axis=1, count=len(row), bitorder="little")
+    first, row_kind = _classes(np.concatenate([np.packbits(unpacked(follow[lo : lo + COLUMNS_AT_ONCE]).T, axis=1) for lo in some], axis=1))
+    arcs = np.concatenate([np.packbits(unpacked(follow[lo : lo + COLUMNS_AT_ONCE])[:, first], axis=1, bitorder="little") for lo in some])
 
     row_class, col_class = np.zeros(size, np.int32), np.zeros(size, np.int32)
     length, labels = np.zeros(size, np.int32), [b""] * size
