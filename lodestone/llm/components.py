@@ -36,8 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
             labels = roots.select("node", F.col("root").alias("component"))
         else:
             up = roots.select(F.col("node").alias("component"), "root")
-            labels = labels.join(up, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-        labels = stored(labels)
+            labels = stored(labels.join(up, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
         ends = edges.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         edges = stored(ends.filter("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct())
         if edges.isEmpty():
