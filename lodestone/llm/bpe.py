@@ -44,6 +44,23 @@ COLUMNS_AT_ONCE = 1024
 #: Unicode White_Space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+#: Letters and numbers of later Unicode versions than the library's, which it takes for neither.
+_NEWER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE "
+    "11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA "
+    "18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF "
+    "1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+#: Capitals that the library lowers and Python does not know: first, last, and the first one's small letter.
+_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+_LOWERED = {c: small + c - first for first, last, small in _CAPITALS for c in range(first, last + 1)}
+_A_CAPITAL = re.compile("[" + "".join(map(chr, _LOWERED)) + "]")
+_NEWER_CLASS = "[" + "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in _NEWER.split()) + "]"
+_A_NEWER = re.compile(_NEWER_CLASS)
+_WORDS_BESIDE_NEWER = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--{_NEWER_CLASS}]+|[\p{{N}}--{_NEWER_CLASS}]|(?:[^{_SPACE}\p{{L}}\p{{N}}]|{_NEWER_CLASS})+")
 #: str.split() also splits at these, which are not White_Space.
 _CONTROLS = re.compile("[\x1c-\x1f]")
 
@@ -327,12 +344,14 @@ def normalise(text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ")  # lower() would write the final form at a word's end
+        if _A_CAPITAL.search(text):
+            text = text.translate(_LOWERED)
     return text.lower()
 
 
 def split_words(text: str) -> list[str]:
     """Pre-split one normalised text without special tokens."""
-    return _WORDS.findall(text)
+    return (_WORDS if text.isascii() or not _A_NEWER.search(text) else _WORDS_BESIDE_NEWER).findall(text)
 
 
 class Encoder:

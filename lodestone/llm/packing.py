@@ -17,11 +17,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe
@@ -140,12 +141,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     table gives an empty table, repeated rows are packed like any others.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    pieces = stored(pieces.select(*names))
+    pieces = stored(pieces.select(*names, F.monotonically_increasing_id().alias("__row")))
     buckets = max(1, -(-pieces.count() // BUCKET_PIECES))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    # Rows, not ids, are dealt: equal pieces, and pieces without id, fall to all buckets alike.
+    dealt = pieces.select(*names, F.pmod(F.xxhash64("__row"), F.lit(buckets)).cast("int").alias("bucket"))
 
     def work(bucket: pd.DataFrame) -> pd.DataFrame:
-        bucket = bucket.sort_values(["doc_id", "piece"], ignore_index=True)
+        bucket = bucket.sort_values(["doc_id", "piece", "ids_crc32"], ignore_index=True)
         sequence, bucket["offset"] = pack_lengths(bucket["length"].to_numpy(), capacity)
         bucket["sequence_id"] = bucket["bucket"].astype("int64") * (1 << 32) + sequence
         return bucket[[*names, "sequence_id", "offset"]]
@@ -154,10 +156,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def assemble(pieces: DataFrame, packed: DataFrame) -> DataFrame:
-    """``(sequence_id, length, ids)``: the packed sequences themselves; ``pieces`` come from :func:`cut` with ids."""
-    key = ["doc_id", "piece", "ids_crc32"]
-    once = pieces.select(*key, "ids").dropDuplicates(key)
-    parts = packed.join(once, key).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"), F.sum("length").alias("length"))
+    """``(sequence_id, length, ids)``: the packed sequences themselves; ``pieces`` come from :func:`cut` with ids.
+
+    Pieces without doc_id are told apart by the rest of their rows.
+    """
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    once = pieces.select(*key, "ids").dropDuplicates(key).toDF(*(f"__{c}" for c in key), "ids")
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key))
+    parts = packed.join(once, same).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"), F.sum("length").alias("length"))
     joined = F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["ids"]))
     return parts.select("sequence_id", "length", joined.alias("ids"))
 

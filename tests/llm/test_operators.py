@@ -53,6 +53,17 @@ def test_encoding_equals_the_library(docs):
         assert got[i].decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_every_character_equals_the_library():
+    """All code points, doubled between letters: classes, case and composition are those of the library."""
+    tok, encoder = Tokenizer.from_file(PATH), bpe.Encoder(bpe.compile_automaton(PATH))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 2000):
+        block = [f"q{chr(c)}{chr(c)}q" for c in points[lo : lo + 2000]]
+        got = encoder.encode(block)
+        for unit, mine, theirs in zip(block, got, tok.encode_batch(block, add_special_tokens=False), strict=True):
+            assert np.frombuffer(mine, "<u4").tolist() == theirs.ids, ascii(unit)
+
+
 def test_encoded_ids_decode_again(docs):
     tok = Tokenizer.from_file(PATH)
     ids = encoding.encode(docs, PATH)
@@ -124,6 +135,19 @@ def test_packing(spark, awkward):
     assert all(len(r.ids) == 4 * r.length for r in whole)
 
 
+def test_packing_rows_without_ids(spark):
+    """Equal pieces without id are dealt to all buckets, and assembled."""
+    n = 60_000
+    same = spark.range(n).selectExpr("CAST(NULL AS LONG) AS doc_id", "0 AS piece", "0L AS start", "7L AS length", "1L AS ids_crc32")
+    packed = packing.pack(same)
+    per = packed.selectExpr("sequence_id >> 32 AS b").groupBy("b").count().collect()
+    assert len(per) == 4 and max(r["count"] for r in per) < packing.BUCKET_PIECES and sum(r["count"] for r in per) == n
+    df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "d"), (1, "a b c"), (1, "a b c")], "doc_id long, text string")
+    pieces = packing.cut(df, PATH, with_ids=True)
+    whole = packing.assemble(pieces, packing.pack(pieces)).collect()
+    assert sum(len(r.ids) // 4 for r in whole) == sum(r.length for r in whole) == 4 * 4 + 2
+
+
 def test_packing_many_lengths():
     rng = np.random.default_rng(0)
     lengths = np.concatenate([rng.integers(1, 2049, 3000), np.full(50, 2048), np.full(50, 1)])
