@@ -33,6 +33,8 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
+from lodestone.llm.tables import held
+
 END = "</w>"
 #: Words of more bytes take the scalar walk, so that one odd word does not widen a batch.
 BATCH_WORD_BYTES = 40
@@ -57,6 +59,8 @@ _CAPITALS = (
     (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
 )
 _LOWERED = {c: small + c - first for first, last, small in _CAPITALS for c in range(first, last + 1)}
+#: Where all of these are: most texts have nothing there, which is seen sooner.
+_BEYOND = re.compile("[\u0558-\u1fff\u2070-\u20ff\ua7cb-\uabff\U00010000-\U0010ffff]")
 _A_CAPITAL = re.compile("[" + "".join(map(chr, _LOWERED)) + "]")
 _NEWER_CLASS = "[" + "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in _NEWER.split()) + "]"
 _A_NEWER = re.compile(_NEWER_CLASS)
@@ -344,14 +348,14 @@ def normalise(text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ")  # lower() would write the final form at a word's end
-        if _A_CAPITAL.search(text):
+        if _BEYOND.search(text) and _A_CAPITAL.search(text):
             text = text.translate(_LOWERED)
     return text.lower()
 
 
 def split_words(text: str) -> list[str]:
     """Pre-split one normalised text without special tokens."""
-    return (_WORDS if text.isascii() or not _A_NEWER.search(text) else _WORDS_BESIDE_NEWER).findall(text)
+    return (_WORDS_BESIDE_NEWER if not text.isascii() and _BEYOND.search(text) and _A_NEWER.search(text) else _WORDS).findall(text)
 
 
 class Encoder:
@@ -408,16 +412,9 @@ class Encoder:
         return b" ".join(map(self.automaton.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode()
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encoder_of(automaton: Broadcast) -> Encoder:
-    """This worker's encoder; it lasts as long as the worker, so its cache serves many tasks."""
-    key = id(automaton.value)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(automaton.value)
-    return _ENCODERS[key]
+    """This worker's encoder; it serves many tasks, and so does its cache."""
+    return held("encoder", id(automaton.value), lambda: Encoder(automaton.value))
 
 
 def in_slices(texts: Sequence[str | None], most_chars: int = 1 << 20) -> Iterator[tuple[int, int]]:

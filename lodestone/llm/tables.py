@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone import reachable_by_workers
 from lodestone.plans.lineage import written as stored
 
-__all__ = ["bounded_batches", "documents", "map_batches", "map_rows", "named_once", "stored", "table"]
+__all__ = ["bounded_batches", "documents", "held", "map_batches", "map_rows", "named_once", "stored", "table"]
 
 #: An Arrow batch sent to a Python worker holds at most so many bytes or rows, however long the texts are.
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 1000
@@ -43,13 +43,41 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
+#: What this worker holds for one operator or another (encoders, caches of words), and which of it its task has asked for.
+_HELD: dict[str, tuple[object, object]] = {}
+_ASKED: set[str] = set()
+
+
+def held(name: str, key: object, make: Callable[[], object]) -> object:
+    """A worker's own thing, made once for each ``key`` and kept from task to task while tasks ask for it."""
+    _ASKED.add(name)
+    if name not in _HELD or _HELD[name][0] != key:
+        _HELD.pop(name, None)
+        _HELD[name] = key, make()
+    return _HELD[name][1]
+
+
+def _begin() -> None:
+    _ASKED.clear()
+
+
+def _let_go() -> None:
+    """Forget what the running task has not asked for: workers outlive operators, and must not add up what those held."""
+    for name in set(_HELD) - _ASKED:
+        del _HELD[name]
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow of a function of a partition's batches, which are bounded; any column names will do."""
     bounded_batches(df.sparkSession)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from work(batch.rename_columns(names) for batch in batches)
+        _begin()
+        for n, out in enumerate(work(batch.rename_columns(names) for batch in batches)):
+            if not n:
+                _let_go()
+            yield out
 
     return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe
-from lodestone.llm.tables import documents, map_rows
+from lodestone.llm.tables import documents, held, map_rows
 
 #: Tokens that a text may have.
 LIMIT = 2048
@@ -146,15 +146,8 @@ class Counter:
         return best
 
 
-_COUNTERS: dict[int, Counter] = {}
-
-
 def _counter(automaton) -> Counter:
-    key = id(automaton.value)
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = Counter(automaton.value)
-    return _COUNTERS[key]
+    return held("counter", id(automaton.value), lambda: Counter(automaton.value))
 
 
 def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", budget: int = LIMIT) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.quality import held_out, training_rows
-from lodestone.llm.tables import documents, map_rows, table
+from lodestone.llm.tables import documents, held, map_rows, table
 
 #: Labelled documents of each class to learn from, at most.
 TRAIN_PER_CLASS = 1500
@@ -232,15 +232,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     return Classifier(terms, *fit_linear(votes, model.posterior(votes)))
 
 
-#: A worker's last classifier and its voters.
-_LAST: list[tuple[Classifier, Voters]] = []
-
-
 def _scores(shared, texts: list[str | None]) -> np.ndarray:
     model = shared.value
-    if not _LAST or _LAST[0][0] is not model:
-        _LAST[:] = [(model, Voters(model.terms))]
-    voters = _LAST[0][1]
+    _, voters = held("voters", id(model), lambda: (model, Voters(model.terms)))
     return model.scores(np.stack([voters.votes(t) for t in texts]))
 
 

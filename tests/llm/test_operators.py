@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -489,3 +490,17 @@ def test_automaton_on_random_words():
     words = ["".join(rng.choice(letters, rng.integers(1, 60))) for _ in range(1500)] + ["a" * n for n in range(1, 120)]
     for word, ids in zip(words, bpe.encode_words(automaton, [w.encode() for w in words]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(word, add_special_tokens=False).ids
+
+
+def test_workers_forget_what_tasks_do_not_use(docs, spark):
+    """An encoder outlives a task that uses it, and not one that does not."""
+    from lodestone.llm import tables
+
+    def holding(batch):
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(tables._HELD), pa.string())], ["name"])
+        yield pa.RecordBatch.from_arrays([pa.array(["then", *sorted(tables._HELD)], pa.string())], ["name"])
+
+    one = docs.coalesce(1)
+    encoding.encode(one, PATH).count()
+    names = [r.name for r in tables.map_rows(one.select("doc_id").limit(1), holding, "name string").collect()]
+    assert names == ["then"] or names == ["encoder", "then"]
