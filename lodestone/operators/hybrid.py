@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -64,20 +64,21 @@ def _fold(blocks: Column, used: Column, budget: Column, header: str, tag: str) -
     return F.aggregate(blocks, start, place)
 
 
-def build_context(hits: DataFrame, most: int = settings.HYBRID_CONTEXT_CHARS) -> DataFrame:
-    """One row ``context, sources, n_graph, n_vector, truncated`` from ``hits(kind, rank, source, text)``.
+def build_context(hits: DataFrame, most: int = settings.HYBRID_CONTEXT_CHARS, keys: Sequence[str] = ()) -> DataFrame:
+    """``context, sources, n_graph, n_vector, truncated`` from ``hits(kind, rank, source, text)``: one row for each value of ``keys``.
 
-    Graph blocks may take 60 % of the budget (all of it if there are no passages); passages take what is left.
+    Without keys all hits are one question's: one row, also of no hits.  Graph blocks may take 60 % of the budget (all of it if there are no passages); passages take what is left.
     """
 
     def of(kind: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "source", "text"))))
 
-    lists = hits.agg(of("graph").alias("g"), of("vector").alias("v"))
+    lists = hits.groupBy(*keys).agg(of("graph").alias("g"), of("vector").alias("v"))
     share = F.when(F.size("v") > 0, int(most * settings.HYBRID_GRAPH_SHARE)).otherwise(most)
     graph = lists.withColumn("gs", _fold(F.col("g"), F.lit(0), share, HEADERS["graph"], "graph: "))
     both = graph.withColumn("vs", _fold(F.col("v"), F.col("gs.used"), F.lit(most), HEADERS["vector"], "vector: "))
     return both.select(
+        *keys,
         F.array_join(F.concat("gs.blocks", "vs.blocks"), "\n\n").alias("context"),
         F.array_sort(F.array_distinct(F.concat("gs.sources", "vs.sources"))).alias("sources"),
         F.size("gs.blocks").alias("n_graph"),

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from lodestone import settings
 from lodestone.functions.text import folded, query_terms
 from lodestone.functions.vectors import dot, normalised
-from lodestone.plans.lineage import written
 
 
 def term_hits(text: Column, file: Column, terms: Column) -> Column:
@@ -26,21 +25,39 @@ def term_hits(text: Column, file: Column, terms: Column) -> Column:
     return F.transform(terms, lambda t: F.contains(hay, t))
 
 
-def keyword_boost(chunks: DataFrame, query: str, most: float = settings.MAX_BOOST, per_term: float = settings.BOOST_PER_TERM, keep: list[str] | None = None) -> DataFrame:
-    """``chunks`` (or the columns ``keep``) with ``boost``: each term found adds ``per_term * (1 - df / n)``, ``most`` at most.
+def _found(rows: DataFrame, terms: Sequence[str]) -> list[Column]:
+    """For each term, whether it occurs in the column ``__hay`` of ``rows``."""
+    return [F.contains(rows["__hay"], F.lit(t)) for t in terms]
 
-    Texts are looked at once: what is kept is written with its hits.  Document frequencies are then one
-    aggregation over the hits alone, with a column for each term of the question; its single row joins back.
+
+def _hay(text: str = "text", file: str = "file") -> Column:
+    return F.concat(folded(text), F.lit(" "), folded(file)).alias("__hay")
+
+
+def term_gains(chunks: DataFrame, query: str, per_term: float = settings.BOOST_PER_TERM) -> dict[str, float]:
+    """What each term of a question that occurs adds: ``per_term * (1 - df / n)``.
+
+    One scan of texts and file names alone, and one row of counts (a number for each term of the question).
     """
-    spark, kept = chunks.sparkSession, [F.col(f"`{c}`") for c in keep or chunks.columns]
-    terms = spark.range(1).select(query_terms(F.lit(query)).alias("t")).first()["t"]
+    terms = chunks.sparkSession.range(1).select(query_terms(F.lit(query)).alias("t")).first()["t"]
     if not terms:
-        return chunks.select(*kept, F.lit(0.0).alias("boost"))
-    hits = written(chunks.select(*kept, term_hits(F.col("text"), F.col("file"), F.array(*map(F.lit, terms))).alias("__hits")))
-    counts = hits.agg(F.array(*(F.sum(F.col("__hits")[i].cast("int")) for i in range(len(terms)))).alias("__df"), F.count("*").alias("__n"))
-    gain = F.zip_with("__hits", "__df", lambda hit, df: F.when(hit, F.lit(per_term) * (1 - df / F.col("__n"))).otherwise(0.0))
-    total = F.aggregate(gain, F.lit(0.0), lambda acc, x: acc + x)
-    return hits.crossJoin(F.broadcast(counts)).withColumn("boost", F.least(total, F.lit(most))).drop("__hits", "__df", "__n")
+        return {}
+    hay = chunks.select(_hay())
+    counts = hay.agg(F.count("*").alias("n"), *(F.sum(hit.cast("long")).alias(f"t{i}") for i, hit in enumerate(_found(hay, terms)))).first()
+    return {t: per_term * (1 - counts[f"t{i}"] / counts["n"]) for i, t in enumerate(terms) if counts["n"] and counts[f"t{i}"]}
+
+
+def keyword_boost(chunks: DataFrame, query: str, most: float = settings.MAX_BOOST, per_term: float = settings.BOOST_PER_TERM, keep: list[str] | None = None, gains: dict[str, float] | None = None) -> DataFrame:
+    """``chunks`` (or the columns ``keep``) with ``boost``: the gains of the terms found, ``most`` at most.
+
+    Nothing is written: the terms' gains (:func:`term_gains`) are numbers in the plan, which reads the chunks a second time.
+    """
+    gains = term_gains(chunks, query, per_term) if gains is None else gains
+    if not gains:
+        return chunks.select(*(F.col(f"`{c}`") for c in keep or chunks.columns), F.lit(0.0).alias("boost"))
+    rows = chunks.select(*(F.col(f"`{c}`") for c in keep or chunks.columns), _hay())
+    parts = [F.when(hit, F.lit(g)).otherwise(0.0) for hit, g in zip(_found(rows, list(gains)), gains.values(), strict=True)]
+    return rows.withColumn("boost", F.least(reduce(Column.__add__, parts), F.lit(most))).drop("__hay")
 
 
 def cosine(normed: Column, query: Sequence[float]) -> Column:
@@ -84,11 +101,19 @@ def mmr_order(shortlist: Column, k: int, weight: float) -> Column:
 def search(chunks: DataFrame, query: str, vector: Sequence[float], top_k: int = 4, min_score: float = 0.3, use_mmr: bool = True, mmr_lambda: float = 0.7, fetch_k: int | None = None, boost: bool = True) -> DataFrame:
     """``rank``, ``score`` and the columns of ``chunks``: the best chunks for a question; none above the threshold, no rows.
 
-    ``score`` is cosine plus boost (it may exceed 1) also where the diverse choice decides the order.
+    ``score`` is cosine plus boost (it may exceed 1) also where the diverse choice decides the order.  The chunks are
+    read twice, once for texts and names alone, and nothing is written; :func:`question_search.search_all` answers many
+    questions in the same two scans.
     """
     top_k = max(1, top_k)
-    rows = keyword_boost(chunks, query) if boost else chunks.withColumn("boost", F.lit(0.0))
-    scored = rows.withColumn("score", cosine(F.col("normed"), vector) + F.col("boost")).filter(F.col("score") >= min_score)
+    near = chunks.withColumn("__cosine", cosine(F.col("normed"), vector))
+    if boost:
+        # No boost lifts a cosine by more than its bound, so rows below that go before their texts are looked at.
+        near = near.filter(F.col("__cosine") >= min_score - settings.MAX_BOOST)
+        rows = keyword_boost(near, query, gains=term_gains(chunks, query))
+    else:
+        rows = near.withColumn("boost", F.lit(0.0))
+    scored = rows.withColumn("score", F.col("__cosine") + F.col("boost")).drop("__cosine").filter(F.col("score") >= min_score)
     if not use_mmr:
         return ranked(scored, top_k)
     short = shortlist(scored, top_k, fetch_k)
@@ -96,20 +121,3 @@ def search(chunks: DataFrame, query: str, vector: Sequence[float], top_k: int =
     gathered = short.agg(F.array_sort(F.collect_list(F.struct("rank", "score", "normed", *(c for c in own if c not in ("score", "normed"))))).alias("s"))
     chosen = gathered.select("s", F.posexplode(mmr_order(F.col("s"), top_k, mmr_lambda)).alias("n", "i"))
     return chosen.select(F.get("s", F.col("i")).alias("hit"), (F.col("n") + 1).alias("rank")).select(*(F.col("hit")[c].alias(c) for c in own), "rank")
-
-
-#: Questions broadcast at once; more are asked block by block.
-QUESTIONS_AT_ONCE = 4096
-
-
-def batch_search(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
-    """``query_id, rank, key, score``: the ``k`` best cosines of each of a set of questions (``query_id, normed``)."""
-    blocks = max(1, -(-queries.count() // QUESTIONS_AT_ONCE))
-    dealt = queries.select("query_id", F.col("normed").alias("__q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("__block"))
-    found = []
-    for i in range(blocks):
-        pairs = chunks.select(key, F.col("normed").alias("__c")).crossJoin(F.broadcast(dealt.filter(F.col("__block") == i)))
-        scored = pairs.select("query_id", key, dot(F.col("__c"), F.col("__q")).alias("score"))
-        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key))
-        found.append(scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", key, "score"))
-    return reduce(DataFrame.unionByName, found)

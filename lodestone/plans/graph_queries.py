@@ -1,4 +1,4 @@
-"""Traversal of edge tables, and code graphs of the fixture package."""
+"""Traversal of edge tables, and graphs of code that is generated from a table."""
 
 from __future__ import annotations
 
@@ -9,16 +9,23 @@ from pyspark.sql import functions as F
 
 from lodestone import settings
 from lodestone.operators import code_graph, code_parse, code_query, hybrid, traversal, vector_search
-from lodestone.plans.fixtures import CHAIN, generated, generated_graph, package, package_graph
+from lodestone.plans.fixtures import CHAIN, RULES, TURNED, generated, generated_graph, ruled, ruled_graph, turned_graph
 from lodestone.plans.registry import Registry, table
 from lodestone.plans.text_queries import _CHUNKS, _HITS, _TERMS, QUESTION, document_chunks
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
 
+
+
+def _quoted(text: str) -> str:
+    """SQL of a text with line ends."""
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
 _EDGES = """
 edges AS (SELECT src, dst, bool_or(certain) AS certain FROM (
-  SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_linestatus <> 'O' AS certain FROM lineitem WHERE l_returnflag = 'R'
+  SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_linestatus <> 'O' AS certain FROM lineitem WHERE l_returnflag <> 'A'
   UNION ALL
   SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, l_linestatus <> 'O' AS certain FROM lineitem WHERE l_returnflag = 'A'
 ) GROUP BY src, dst)
@@ -26,9 +33,9 @@ edges AS (SELECT src, dst, bool_or(certain) AS certain FROM (
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "lineitem").filter("l_returnflag IN ('R', 'A')")
+    items = table(spark, d, "lineitem")
     s, p = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")
-    out = F.col("l_returnflag") == "R"
+    out = F.col("l_returnflag") != "A"
     each = items.select(F.when(out, s).otherwise(p).alias("src"), F.when(out, p).otherwise(s).alias("dst"), (F.col("l_linestatus") != "O").alias("certain"))
     return each.groupBy("src", "dst").agg(F.bool_or("certain").alias("certain"))
 
@@ -70,89 +77,103 @@ def ambiguous_names(spark: SparkSession, d: str) -> DataFrame:
     return code_graph.guessed(methods, parts.select(F.col("p_type").alias("src"), "called").distinct())
 
 
-@query("""
-SELECT * FROM (VALUES ('app', 'app'), ('zoo', 'zoo'), ('animals', 'zoo.animals'), ('cat', 'zoo.animals.cat'), ('animals.cat', 'zoo.animals.cat'), ('base', 'zoo.animals.base'),
-  ('animals.base', 'zoo.animals.base'), ('dog', 'zoo.animals.dog'), ('animals.dog', 'zoo.animals.dog'), ('toys', 'zoo.toys'), ('empty', 'empty'),
-  ('zoo.animals', 'zoo.animals'), ('zoo.animals.cat', 'zoo.animals.cat'), ('zoo.animals.base', 'zoo.animals.base'), ('zoo.animals.dog', 'zoo.animals.dog'), ('zoo.toys', 'zoo.toys')) v(dotted, target)
+#: Modules and definitions of the packages of ``ruled``, by supplier.
+_RULED = """
+k AS (SELECT s_suppkey AS k, 't' || s_suppkey AS t FROM supplier),
+modules AS (SELECT t AS name FROM k UNION ALL SELECT t || '.base' FROM k UNION ALL SELECT t || '.use' FROM k UNION ALL SELECT t || '.long' FROM k)
+"""
+
+
+@query(f"""
+WITH {_RULED}
+SELECT name AS dotted, name AS target FROM modules
+UNION ALL SELECT 'base', min_by(t || '.base', t || '.base.py') FROM k
+UNION ALL SELECT 'use', min_by(t || '.use', t || '.use.py') FROM k
+UNION ALL SELECT 'long', min_by(t || '.long', t || '.long.py') FROM k
 """)
 def suffix_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return code_graph.module_table(package_graph(spark).nodes)
+    """Last parts that many modules share find the first of them."""
+    return code_graph.module_table(ruled_graph(spark, d).nodes)
 
 
-@query("""
-SELECT * FROM (VALUES
- ('app', 'module'), ('app.main', 'function'), ('app.thing', 'function'), ('empty', 'module'), ('zoo', 'module'), ('zoo.animals', 'module'),
- ('zoo.animals.base', 'module'), ('zoo.animals.base.Animal', 'class'), ('zoo.animals.base.Animal.__init__', 'method'), ('zoo.animals.base.Animal.speak', 'method'),
- ('zoo.animals.base.Animal.noise', 'method'), ('zoo.animals.base.register', 'function'), ('zoo.animals.cat', 'module'), ('zoo.animals.cat.Cat', 'class'),
- ('zoo.animals.cat.Cat.noise', 'method'), ('zoo.animals.cat.Cat.groom', 'method'), ('zoo.animals.dog', 'module'), ('zoo.animals.dog.Dog', 'class'),
- ('zoo.animals.dog.Dog.noise', 'method'), ('zoo.animals.dog.Dog.fetch', 'method'), ('zoo.toys', 'module'), ('zoo.toys.Ball', 'class'),
- ('zoo.toys.Ball.roll', 'method'), ('zoo.toys.Ball.bounce', 'method'), ('zoo.toys.play', 'function')) v(name, kind)
+@query(f"""
+WITH {_RULED}
+SELECT name, 'module' AS kind FROM modules
+UNION ALL SELECT t || '.base.Base', 'class' FROM k UNION ALL SELECT t || '.use.Child', 'class' FROM k
+UNION ALL SELECT t || unnest(['.base.helper', '.use.typed', '.use.called', '.long.long']), 'function' FROM k
+UNION ALL SELECT t || unnest(['.base.Base.__init__', '.base.Base.ready', '.base.Base.only' || k, '.use.Child.only' || k]), 'method' FROM k
 """)
 def code_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return package_graph(spark).nodes.select("name", "kind")
-
-
-@query("""
-SELECT * FROM (VALUES
- ('app', 'app.main', true), ('app', 'zoo.animals.dog.Dog', true),
- ('app.main', 'app.thing', true), ('app.main', 'zoo.animals.dog.Dog.fetch', true), ('app.main', 'zoo.animals.base.register', true),
- ('app.main', 'zoo.animals.cat.Cat', true), ('app.main', 'zoo.toys.Ball.roll', false),
- ('zoo.animals.base.Animal.speak', 'zoo.animals.base.Animal.noise', true),
- ('zoo.animals.cat.Cat.groom', 'zoo.animals.cat.Cat.noise', true), ('zoo.animals.cat.Cat.groom', 'zoo.animals.base.Animal.speak', true),
- ('zoo.animals.dog.Dog.fetch', 'zoo.toys.Ball.roll', false), ('zoo.animals.dog.Dog.fetch', 'zoo.animals.base.register', true),
- ('zoo.toys.Ball.bounce', 'zoo.toys.Ball.roll', true),
- ('zoo.toys.play', 'zoo.animals.cat.Cat.groom', true), ('zoo.toys.play', 'zoo.animals.cat.Cat', true)) v(src, dst, certain)
+    """Packages generated from suppliers; files that do not parse define nothing."""
+    return ruled_graph(spark, d).nodes.select("name", "kind")
+
+
+@query(f"""
+WITH {_RULED}
+SELECT t || '.base.Base.__init__' AS src, t || '.base.Base.ready' AS dst, true AS certain FROM k
+UNION ALL SELECT t || '.base.helper', t || '.base.Base.__init__', true FROM k
+UNION ALL SELECT t || '.use.Child.only' || k, t || '.base.Base.ready', true FROM k
+UNION ALL SELECT t || '.use.typed', t || '.base.Base.' || unnest(['ready', 'only' || k]), true FROM k
+UNION ALL SELECT t || '.use.called', t || '.base.' || unnest(['helper', 'Base.__init__', 'Base.ready']), true FROM k
+UNION ALL SELECT t || '.use.called', t || unnest(['.base.Base.only' || k, '.use.Child.only' || k]), false FROM k
 """)
 def code_calls(spark: SparkSession, d: str) -> DataFrame:
-    return package_graph(spark).calls
+    """Annotations of all forms, aliases, star and relative imports, outside names, constructors, and calls that can only be guessed."""
+    return ruled_graph(spark, d).calls
 
 
-@query("""
-SELECT * FROM (VALUES
- ('app', 'zoo'), ('app', 'zoo.animals'), ('zoo', 'zoo.animals'), ('zoo', 'zoo.animals.base'), ('zoo.animals', 'zoo.animals.cat'), ('zoo.animals', 'zoo.animals.dog'),
- ('zoo.animals.cat', 'zoo.animals.base'), ('zoo.animals.dog', 'zoo.animals.base'), ('zoo.toys', 'zoo.animals.cat')) v(src, dst)
-""")
+@query(f"WITH {_RULED} SELECT t AS src, t || '.base' AS dst FROM k UNION ALL SELECT t || '.use', unnest([t, t || '.base']) FROM k")
 def code_imports(spark: SparkSession, d: str) -> DataFrame:
-    return package_graph(spark).imports
+    return ruled_graph(spark, d).imports
 
 
-@query("SELECT * FROM (VALUES ('zoo.animals.cat.Cat', 'zoo.animals.base.Animal'), ('zoo.animals.dog.Dog', 'zoo.animals.base.Animal')) v(src, dst)")
+@query(f"WITH {_RULED} SELECT t || '.use.Child' AS src, t || '.base.Base' AS dst FROM k")
 def code_bases(spark: SparkSession, d: str) -> DataFrame:
-    return package_graph(spark).bases.select("src", "dst")
+    return ruled_graph(spark, d).bases.select("src", "dst")
 
 
-@query("""
-SELECT * FROM (VALUES ('zoo.toys.py', 0, '[zoo.toys.py — imports]', 37), ('zoo.toys.py', 1, '[zoo.toys.py — class Ball]', 156), ('zoo.toys.py', 2, '[zoo.toys.py — function play]', 78)) v(file, ord, label, n)
+@query(f"""
+WITH {_RULED}, f AS (SELECT 't' || s_suppkey || part AS module, replace(text, '{{k}}', CAST(s_suppkey AS VARCHAR)) AS text, part FROM supplier, (VALUES {", ".join(f"('{part}', {_quoted(text)})" for part, text in RULES.items())}) v(part, text)),
+whole AS (
+  SELECT module || '.py' AS file, 0 AS seg, 'function long' AS label, regexp_replace(text, '\\s+$', '') AS code FROM f WHERE part = '.long'
+  UNION ALL SELECT module || '.py', 0, NULL, text FROM f WHERE part = '.broken'
+),
+starts AS (SELECT *, unnest(range(0, length(code), 650)) AS start FROM (SELECT file, seg, label, regexp_replace(code, '^\\s+|\\s+$', '', 'g') AS code FROM whole)),
+pieces AS (SELECT file, label, start, regexp_replace(substr(code, start + 1, 800), '^\\s+|\\s+$', '', 'g') AS piece FROM starts)
+SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY start) - 1 AS INTEGER) AS ord, '[' || file || ' — ' || label || ']' AS label, piece FROM pieces WHERE piece <> ''
 """)
 def code_chunks(spark: SparkSession, d: str) -> DataFrame:
-    found = code_parse.code_chunks(package(spark).filter("file = 'zoo.toys.py'"))
-    return found.select("file", "ord", "label", F.length("piece").alias("n"))
+    """A function too long for one chunk, whose windows repeat its label, and a file that does not parse."""
+    return code_parse.code_chunks(ruled(spark, d).filter("file LIKE '%.long.py' OR file LIKE '%.broken.py'"))
 
 
-@query("""
-SELECT * FROM (VALUES ('exact', 'zoo.animals.cat.Cat.noise', 1), ('short', 'zoo.animals.base.Animal.noise', 1), ('short', 'zoo.animals.cat.Cat.noise', 2), ('short', 'zoo.animals.dog.Dog.noise', 3)) v(question, name, rank)
+@query(f"""
+WITH {_RULED}, m AS (SELECT 'short' AS question, unnest([t || '.base.Base.ready', t || '.base.helper']) AS name, t || '.base.py' AS file, unnest([1, 2]) AS o FROM k),
+r AS (SELECT question, name, CAST(row_number() OVER (ORDER BY file, o) AS INTEGER) AS rank FROM m)
+SELECT * FROM r WHERE rank <= 5
+UNION ALL SELECT 'exact', t || '.base.Base.only' || k, 1 FROM k WHERE k = 1
 """)
 def code_find_matches(spark: SparkSession, d: str) -> DataFrame:
-    nodes = package_graph(spark).nodes
-    asked = {"exact": "Who calls Cat.noise and noise?", "short": "what is noise for"}
+    nodes = ruled_graph(spark, d).nodes
+    asked = {"exact": "Who calls Base.only1 and helper?", "short": "what is ready or helper for"}
     a, b = (code_query.find_matches(nodes, q).select(F.lit(k).alias("question"), "name", "rank") for k, q in asked.items())
     return a.unionByName(b)
 
 
-@query("""
-SELECT * FROM (VALUES (1, 'zoo'), (1, 'zoo.animals.cat'), (1, 'zoo.animals.dog'), (2, 'app'), (2, 'zoo.animals'), (2, 'zoo.toys')) v(level, node)
-""")
+@query(f"WITH {_RULED} SELECT 1 AS level, t || unnest(['', '.use']) AS node FROM k WHERE k = 1")
 def import_levels(spark: SparkSession, d: str) -> DataFrame:
-    return code_query.import_levels(package_graph(spark), "zoo.animals.base", 3).select("level", "node")
+    return code_query.import_levels(ruled_graph(spark, d), "t1.base", 3).select("level", "node")
 
 
-@query("""
-SELECT * FROM (VALUES
- ('header', 0, 'function zoo.animals.base.register (zoo.animals.base.py:16)'), ('doc', 0, 'Keep an animal.'),
- ('affected', 1, 'app.main, zoo.animals.dog.Dog.fetch'), ('affected', 2, 'app'), ('total', 0, '3 nodes in 2 files')) v(section, ord, line)
+@query(f"""
+WITH {_RULED}, one AS (SELECT * FROM k WHERE k = 1)
+SELECT 'header' AS section, 0 AS ord, 'method t1.base.Base.ready (t1.base.py:10)' AS line FROM one
+UNION ALL SELECT 'affected', 1, 't1.base.Base.__init__, t1.use.Child.only1, t1.use.called, t1.use.typed' FROM one
+UNION ALL SELECT 'affected', 2, 't1.base.helper' FROM one
+UNION ALL SELECT 'total', 0, '5 nodes in 2 files' FROM one
 """)
 def code_describe(spark: SparkSession, d: str) -> DataFrame:
-    return code_query.report(package_graph(spark), "zoo.animals.base.register", 3)
+    return code_query.report(ruled_graph(spark, d), "t1.base.Base.ready", 3)
 
 
 _MODULES = f"""
@@ -204,6 +225,40 @@ def generated_without_file(spark: SparkSession, d: str) -> DataFrame:
     return generated_graph(spark, d, "c0.m1.py").calls.select("src", "dst")
 
 
+#: The packages after the update: ``r`` is the module that their names come from, none where that was removed.
+_TURNED = f"""
+k AS (SELECT s_suppkey AS k FROM supplier),
+g AS (SELECT k, k % {CHAIN} AS p, k // {CHAIN} AS c, 'c' || (k // {CHAIN}) || '.m' AS m FROM k),
+t AS (SELECT *, CASE WHEN p < {TURNED} THEN 0 WHEN c % 2 = 1 THEN {TURNED} END AS r FROM g WHERE NOT (c % 2 = 0 AND p = {TURNED})),
+u AS (SELECT *, {CHAIN} * c + r AS rk FROM t)
+"""
+
+
+@query(f"""
+WITH {_TURNED}
+SELECT m || k || '.go' AS src, m || k || '.C' || k AS dst, true AS certain FROM u
+UNION ALL SELECT m || k || '.go', unnest([m || rk || '.f', m || rk || '.C' || rk || '.hello']), true FROM u WHERE r IS NOT NULL
+UNION ALL SELECT m || k || '.C' || k || '.hello', m || k || '.f', true FROM u WHERE p = r
+""")
+def graph_update_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls after files of the generated packages were taken away and written anew: only what reads from them is resolved again."""
+    return turned_graph(spark, d).calls
+
+
+@query(f"WITH {_TURNED} SELECT m || k AS src, m || (k - 1) AS dst FROM u WHERE p > 0 AND p <> coalesce(r, {TURNED + 1})")
+def graph_update_imports(spark: SparkSession, d: str) -> DataFrame:
+    return turned_graph(spark, d).imports
+
+
+@query(f"""
+WITH {_TURNED}
+SELECT m || k || '.C' || k AS class, 'hello' AS method, m || rk || '.C' || rk || '.hello' AS target FROM u WHERE r IS NOT NULL
+""")
+def graph_update_methods(spark: SparkSession, d: str) -> DataFrame:
+    """Own and inherited methods of every class after the update."""
+    return turned_graph(spark, d).methods
+
+
 @query(f"""
 WITH {_MODULES}, s AS (
   SELECT module || '.py' AS file, 0 AS ord, CASE WHEN p = 0 THEN 'function f' ELSE 'imports' END AS label, CASE WHEN p = 0 THEN 'def f():~    return 1' ELSE 'from .m' || (k - 1) || ' import C' || (k - 1) || ', f' END AS piece FROM g

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -105,9 +105,15 @@ gains AS (SELECT h.chunk_id, sum(0.12 * (1 - df.df / CAST((SELECT count(*) FROM
 """
 
 
-@query(f"WITH {_TERMS} SELECT term FROM terms")
+@query("""
+WITH words AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_\\-]{2,}')) AS w FROM benchmark),
+folded AS (SELECT DISTINCT item_id, replace(replace(lower(w), '-', ''), '_', '') AS term FROM words)
+SELECT item_id, term FROM folded
+WHERE length(term) >= 3 AND term NOT IN ('the','and','for','how','what','with','this','that','from','does','use','are','who','why')
+""")
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1).select(F.explode(text.query_terms(F.lit(QUESTION))).alias("term"))
+    """Terms of each text of ``benchmark`` as a question."""
+    return table(spark, d, "benchmark").select("item_id", F.explode(text.query_terms(F.col("text"))).alias("term"))
 
 
 @query(f"WITH {_CHUNKS}, {_TERMS}, {_HITS} SELECT term, df FROM df")
@@ -133,30 +139,53 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     return vector_search.ranked(scored, 20, by="boost").select("chunk_id", F.round("boost", 6).alias("score"), "rank")
 
 
-@query("""
-SELECT m AS model,
-  CASE WHEN contains(lower(m), 'nomic-embed') THEN 'search_query: ' WHEN contains(lower(m), 'mxbai-embed') THEN 'Represent this sentence for searching relevant passages: ' ELSE '' END AS query_prefix,
-  CASE WHEN contains(lower(m), 'nomic-embed') THEN 'search_document: ' ELSE '' END AS document_prefix
-FROM (VALUES ('nomic-embed-text'), ('MXBAI-embed-large'), ('all-minilm'), ('')) v(m)
+def _named(spark: SparkSession, d: str, endings: tuple[str, ...]) -> DataFrame:
+    """``p_partkey, name``: the words of each part's name joined by hyphens, with one of ``endings``, by its key."""
+    end = F.get(F.array(*map(F.lit, endings)), (F.col("p_partkey") % len(endings)).cast("int"))
+    return table(spark, d, "part").select("p_partkey", F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), end).alias("name"))
+
+
+_MODELS = ("-nomic-embed-text", "/MXBAI-embed-large", "-all-MiniLM", "-instruct", "-E5-small", ":BGE-m3", "")
+_NAMES = f"named AS (SELECT p_partkey, replace(p_name, ' ', '-') || {list(_MODELS)}[1 + p_partkey % {len(_MODELS)}] AS name FROM part)"
+
+
+@query(f"""
+WITH {_NAMES}
+SELECT p_partkey, name AS model,
+  CASE WHEN contains(lower(name), 'nomic-embed') THEN 'search_query: ' WHEN contains(lower(name), 'mxbai-embed') THEN 'Represent this sentence for searching relevant passages: ' ELSE '' END AS query_prefix,
+  CASE WHEN contains(lower(name), 'nomic-embed') THEN 'search_document: ' ELSE '' END AS document_prefix
+FROM named
 """)
 def prefix_by_model(spark: SparkSession, d: str) -> DataFrame:
-    models = spark.createDataFrame([("nomic-embed-text",), ("MXBAI-embed-large",), ("all-minilm",), ("",)], "model string")
-    return models.select("model", text.query_prefix("model").alias("query_prefix"), text.document_prefix("model").alias("document_prefix"))
+    """Parts stand for models of several families."""
+    models = _named(spark, d, _MODELS)
+    return models.select("p_partkey", F.col("name").alias("model"), text.query_prefix("name").alias("query_prefix"), text.document_prefix("name").alias("document_prefix"))
 
 
-@query("SELECT name FROM (VALUES ('llama3'), ('qwen2.5'), ('phi3')) v(name)")
+@query(f"WITH {_NAMES} SELECT p_partkey, name FROM named WHERE NOT regexp_matches(lower(name), 'embed|minilm|bge|e5-')")
 def chat_model_filter(spark: SparkSession, d: str) -> DataFrame:
-    return chat_models(spark.createDataFrame([("llama3",), ("nomic-embed-text",), ("qwen2.5",), ("bge-m3",), ("phi3",), ("E5-small",)], "name string"))
+    return chat_models(_named(spark, d, _MODELS))
 
 
 @query("""
-SELECT * FROM (VALUES ('a/b/__init__.py', 'a.b.py', 'a.b', true), ('a/b/c.py', 'a.b.c.py', 'a.b.c', true), ('README.md', 'README.md', 'README', true),
-  ('other/x.py', 'other.x.py', 'other.x', false), ('a/notes.txt', 'a.notes.txt', 'a.notes', false)) v(path, file, module, kept)
+WITH paths AS (
+  SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'lib' WHEN 1 THEN 'lib/sub' ELSE 'other' END AS dir,
+         CASE doc_id % 4 WHEN 0 THEN 'd' || doc_id || '/__init__.py' WHEN 1 THEN 'd' || doc_id || '.py' WHEN 2 THEN 'README' || doc_id || '.md' ELSE 'notes' || doc_id || '.txt' END AS base
+  FROM documents
+)
+SELECT doc_id, dir || '/' || base AS path,
+       CASE doc_id % 4 WHEN 0 THEN replace(dir, '/', '.') || '.d' || doc_id || '.py' ELSE replace(dir, '/', '.') || '.' || base END AS file,
+       replace(dir, '/', '.') || '.' || CASE doc_id % 4 WHEN 2 THEN 'README' || doc_id WHEN 3 THEN 'notes' || doc_id ELSE 'd' || doc_id END AS module,
+       dir <> 'other' AND doc_id % 4 < 3 AS kept
+FROM paths
 """)
 def archive_names(spark: SparkSession, d: str) -> DataFrame:
-    paths = spark.createDataFrame([("a/b/__init__.py",), ("a/b/c.py",), ("README.md",), ("other/x.py",), ("a/notes.txt",)], "path string")
-    named = paths.withColumn("file", text.flat_name("path"))
-    return named.select("path", "file", text.module_name("file").alias("module"), wanted(F.col("path"), "a").alias("kept"))
+    """Paths in an archive, one for each document: dotted names, modules, and whether an entry is taken."""
+    one_of = lambda *parts: F.get(F.array(*(p if isinstance(p, Column) else F.lit(p) for p in parts)), (F.col("doc_id") % len(parts)).cast("int"))
+    key = F.col("doc_id").cast("string")
+    base = one_of(F.concat(F.lit("d"), key, F.lit("/__init__.py")), F.concat(F.lit("d"), key, F.lit(".py")), F.concat(F.lit("README"), key, F.lit(".md")), F.concat(F.lit("notes"), key, F.lit(".txt")))
+    named = _docs(spark, d).select("doc_id", F.concat_ws("/", one_of("lib", "lib/sub", "other"), base).alias("path")).withColumn("file", text.flat_name("path"))
+    return named.select("doc_id", "path", "file", text.module_name("file").alias("module"), wanted(F.col("path"), "lib").alias("kept"))
 
 
 @query(r"""
@@ -179,12 +208,17 @@ def context_warning(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false), (6, false)) v(id, told)
+WITH c AS (SELECT conv_id, count(*) FILTER (WHERE role = 'tool') AS n, coalesce(max(length(text)) FILTER (WHERE role = 'assistant'), 0) AS chars FROM conversations GROUP BY conv_id),
+m AS (SELECT *, ['hybrid', 'vector', 'graph'][1 + conv_id % 3] AS mode, CASE WHEN conv_id % 4 < 2 THEN 0 ELSE chars END AS used, conv_id % 5 = 0 AS v, conv_id % 7 = 0 AS g, conv_id % 11 = 0 AS failed FROM c)
+SELECT conv_id, CASE mode WHEN 'hybrid' THEN used = 0 AND NOT (v AND g) AND NOT failed WHEN 'vector' THEN n = 0 AND NOT v ELSE false END AS told FROM m
 """)
 def prompt_flags(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "hybrid", 0, "", False, False, 0), (2, "hybrid", 0, "", False, False, 1), (3, "hybrid", 0, "", True, True, 0), (4, "vector", 0, "", False, True, 0), (5, "vector", 2, "x", False, True, 0), (6, "graph", 0, "", True, False, 0)]
-    cases = spark.createDataFrame(rows, "id int, mode string, n int, context string, v boolean, g boolean, e int")
-    return cases.select("id", session.no_match(*(F.col(c) for c in ("mode", "n", "context", "v", "g", "e"))).alias("told"))
+    """Whether each conversation's model must be told that nothing was found; modes, empty sides and errors go by its id."""
+    said = table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "tool").alias("n"), F.coalesce(F.max_by(F.when(F.col("role") == "assistant", F.col("text")), F.when(F.col("role") == "assistant", F.length("text"))), F.lit("")).alias("longest"))
+    every = lambda n: F.col("conv_id") % n == 0
+    mode = F.get(F.array(*map(F.lit, ("hybrid", "vector", "graph"))), (F.col("conv_id") % 3).cast("int"))
+    context = F.when(F.col("conv_id") % 4 < 2, "").otherwise(F.col("longest"))
+    return said.select("conv_id", session.no_match(mode, F.col("n"), context, every(5), every(7), every(11).cast("int")).alias("told"))
 
 
 @query(r"""
@@ -204,13 +238,49 @@ def plain_context(spark: SparkSession, d: str) -> DataFrame:
     return hybrid.plain_context(hits, "conv_id")
 
 
-@query("SELECT 2 AS n_graph, 2 AS n_vector, true AS truncated, 948 AS chars, 'graph: g1|graph: g2|vector: v1|vector: v3' AS sources")
+#: Characters of a conversation's context: enough for a few turns, so that some are cut and some skipped.
+_ROOM = 1200
+_HEAD, _NOTE = hybrid.HEADERS, hybrid.CUT_NOTE
+
+
+@query(f"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'assistant' THEN 0 ELSE 1 END AS side FROM conversations WHERE text IS NOT NULL),
+h AS (
+  SELECT conv_id, side, CASE side WHEN 0 THEN 'graph: ' ELSE 'vector: ' END || role AS source, '[' || role || ']' || chr(10) || text AS block,
+         CASE side WHEN 0 THEN '{_HEAD["graph"]}' ELSE '{_HEAD["vector"]}' END AS head,
+         CASE WHEN side = 0 AND max(side) OVER (PARTITION BY conv_id) = 1 THEN {int(_ROOM * 0.6)} ELSE {_ROOM} END AS budget,
+         row_number() OVER (PARTITION BY conv_id ORDER BY side, turn, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM t
+),
+st(conv_id, i, used, g, v, truncated, parts, sources) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM t
+  UNION ALL
+  SELECT conv_id, i, used + CASE WHEN placed THEN length(body) + 2 + lead ELSE 0 END, g + CASE WHEN placed AND side = 0 THEN 1 ELSE 0 END, v + CASE WHEN placed AND side = 1 THEN 1 ELSE 0 END,
+         truncated OR NOT fits, CASE WHEN placed THEN list_append(parts, CASE WHEN lead > 0 THEN head || chr(10) || chr(10) || body ELSE body END) ELSE parts END,
+         CASE WHEN placed THEN list_append(sources, source) ELSE sources END
+  FROM (
+    SELECT *, fits OR room >= 400 AS placed, CASE WHEN fits THEN block ELSE substr(block, 1, room - {len(_NOTE)}) || chr(10) || '{_NOTE.strip()}' END AS body
+    FROM (
+      SELECT *, length(block) <= room AS fits
+      FROM (
+        SELECT *, budget - used - lead - 2 AS room
+        FROM (SELECT st.conv_id, h.i, used, g, v, truncated, parts, sources, side, block, head, source, budget,
+                     CASE WHEN (side = 0 AND g = 0) OR (side = 1 AND v = 0) THEN length(head) + 2 ELSE 0 END AS lead
+              FROM st JOIN h ON h.conv_id = st.conv_id AND h.i = st.i + 1)
+      )
+    )
+  )
+)
+SELECT st.conv_id, array_to_string(parts, chr(10) || chr(10)) AS context, array_to_string(list_sort(list_distinct(sources)), '|') AS sources,
+       CAST(g AS INTEGER) AS n_graph, CAST(v AS INTEGER) AS n_vector, truncated
+FROM st JOIN (SELECT DISTINCT conv_id, n FROM h) e ON e.conv_id = st.conv_id AND e.n = st.i
+""")
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks that fit, are skipped for want of room, and are smaller and fit again."""
-    rows = [("graph", 1, "g1", "a" * 200), ("graph", 2, "g2", "b" * 200), ("vector", 1, "v1", "c" * 200), ("vector", 2, "v2", "d" * 900), ("vector", 3, "v3", "e" * 290)]
-    hits = spark.createDataFrame(rows, "kind string, rank int, source string, text string")
-    packed = hybrid.build_context(hits, 1000)
-    return packed.select("n_graph", "n_vector", "truncated", F.length("context").alias("chars"), F.array_join("sources", "|").alias("sources"))
+    """The context of each conversation: answers stand for relations, all other turns for passages."""
+    kind = F.when(F.col("role") == "assistant", "graph").otherwise("vector")
+    hits = table(spark, d, "conversations").filter("text IS NOT NULL").select("conv_id", kind.alias("kind"), F.col("turn").alias("rank"), F.col("role").alias("source"), "text")
+    packed = hybrid.build_context(hits, _ROOM, ["conv_id"])
+    return packed.select("conv_id", "context", F.array_join("sources", "|").alias("sources"), "n_graph", "n_vector", "truncated")
 
 
 @query("""
@@ -287,10 +357,17 @@ def prompt_text(spark: SparkSession, d: str) -> DataFrame:
     return said.select("conv_id", session.prompt(F.lit("Be kind."), mode, context, F.col("conv_id") % 3 == 0).alias("prompt"))
 
 
-@query("SELECT * FROM (VALUES ('embed_model', 'nomic-embed-text'), ('use_rag', 'True'), ('mode', 'hybrid'), ('top_k', '4'), ('min_score', '0.3'), ('use_mmr', 'True'), ('mmr_lambda', '0.7'), ('graph_depth', '3'), ('temperature', '0.5'), ('num_ctx', '8192')) v(name, value)")
+@query("""
+SELECT conv_id, CASE WHEN bool_or(contains(lower(text), 'the')) THEN 6 ELSE 4 END AS top_k, 'hybrid' AS mode, CAST(0.3 AS DOUBLE) AS min_score, CAST(0.7 AS DOUBLE) AS mmr_lambda, 3 AS graph_depth, 8192 AS num_ctx
+FROM conversations GROUP BY conv_id
+""")
 def session_defaults(spark: SparkSession, d: str) -> DataFrame:
-    held = {k: str(v) for k, v in asdict(settings.Session()).items() if k not in ("chat_model", "system_prompt")}
-    return spark.createDataFrame(list(held.items()), "name string, value string")
+    """Settings of each conversation's session: defaults, but for what its messages ask for."""
+    held = asdict(settings.Session())
+    asks = F.bool_or(F.lower("text").contains("the"))
+    convs = table(spark, d, "conversations").groupBy("conv_id").agg(F.coalesce(asks, F.lit(False)).alias("more"))
+    kept = [F.lit(held[k]).alias(k) for k in ("mode", "min_score", "mmr_lambda", "graph_depth", "num_ctx")]
+    return convs.select("conv_id", F.when(F.col("more"), 6).otherwise(held["top_k"]).alias("top_k"), *kept)
 
 
 @query("SELECT DISTINCT source AS name FROM documents WHERE source IS NOT NULL")

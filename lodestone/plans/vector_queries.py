@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import query_prefix
 from lodestone.functions.vectors import dot, normalised
-from lodestone.operators import embedding, vector_search
+from lodestone.operators import embedding, question_search, vector_search
+from lodestone.plans.lineage import written
 from lodestone.plans.registry import Registry, table
 from lodestone.plans.text_queries import _CHUNKS, _HITS, _TERMS, QUESTION, document_chunks
 
@@ -49,13 +53,15 @@ def cosine_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_V}, p AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.u, b.u) AS score FROM n a, n b WHERE a.vec_id < 5),
+WITH {_V}, p AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.u, b.u) AS score FROM n a, n b WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5
 """)
 def cosine_batch_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Questions: every vector whose id is divisible by 20."""
     chunks = _chunks(spark, d)
-    found = vector_search.batch_search(chunks, chunks.filter("chunk_id < 5").withColumnRenamed("chunk_id", "query_id"), 5)
+    asked = chunks.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.lit(None).cast("string").alias("query"), "normed")
+    found = question_search.search_all(chunks, asked, top_k=5, min_score=-2.0, use_mmr=False, boost=False)
     return found.select("query_id", "rank", F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
@@ -114,11 +120,33 @@ def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_id", F.posexplode("vector").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
 
 
-@query(f"WITH asked AS (SELECT 0 AS id, '{QUESTION}' AS t), {_hashed('asked', 'id', 't', 'v')} SELECT CAST(unnest(range(64)) AS INTEGER) AS pos, round(unnest(u), 6) AS x FROM v")
+@query(f"WITH {_hashed('benchmark', 'item_id', 'text', 'v')} SELECT item_id, CAST(unnest(range(64)) AS INTEGER) AS pos, round(unnest(u), 6) AS x FROM v")
 def embed_question(spark: SparkSession, d: str) -> DataFrame:
-    """One text by itself."""
-    vector = embedding.HashEmbedder().embed([QUESTION])[0].tolist()
-    return spark.range(1).select(F.posexplode(normalised(F.array(*map(F.lit, vector)))).alias("pos", "x")).withColumn("x", F.round("x", 6))
+    """Questions one by one: the texts of ``benchmark``."""
+    return stored_questions(spark, d).select(F.col("query_id").alias("item_id"), F.posexplode("normed").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+_STORED: dict[str, DataFrame] = {}
+
+
+def _once(spark: SparkSession, d: str, what: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is ingested once per application, as a store is, and searched many times."""
+    key = f"{spark.sparkContext.applicationId} {d} {what}"
+    if key not in _STORED:
+        _STORED[key] = written(make())
+    return _STORED[key]
+
+
+def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """``chunk_id, doc_id, file, text, normed, model, dim``: the store of all documents' chunks, with the offline embedder."""
+    chunks = lambda: embedding.embedded(document_chunks(spark, d).withColumn("embed_text", F.col("text")), embedding.HashEmbedder()).drop("embed_text", "vector")
+    return _once(spark, d, "chunks", chunks)
+
+
+def stored_questions(spark: SparkSession, d: str) -> DataFrame:
+    """``query_id, query, normed``: the texts of ``benchmark``."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.concat(query_prefix(F.lit("hash-64")), "text").alias("embed_text"))
+    return _once(spark, d, "questions", lambda: embedding.embedded(asked, embedding.HashEmbedder()).select("query_id", "query", "normed"))
 
 
 @query(f"""
@@ -129,8 +157,54 @@ SELECT p4.vec_id AS chunk_id, source AS file, round(score, 6) AS score, CAST(ran
 """)
 def search_boosted(spark: SparkSession, d: str) -> DataFrame:
     """The whole of vector search over documents, with the offline embedder."""
-    embedder = embedding.HashEmbedder()
-    chunks = document_chunks(spark, d).withColumn("embed_text", F.col("text"))
-    rows = embedding.embedded(chunks, embedder).drop("embed_text", "vector")
-    found = vector_search.search(rows, QUESTION, embedder.embed([QUESTION])[0].tolist(), top_k=4, min_score=0.1)
+    vector = embedding.HashEmbedder().embed([QUESTION])[0].tolist()
+    found = vector_search.search(stored_chunks(spark, d), QUESTION, vector, top_k=4, min_score=0.1)
     return found.select("chunk_id", "file", F.round("score", 6).alias("score"), "rank")
+
+
+def _picks_each(k: int) -> str:
+    """The diverse choice for every question: one pick after the other."""
+    out = ["""ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s WHERE score >= 0.3),
+short AS (SELECT query_id, vec_id, u, score FROM ranked WHERE r <= 16), p1 AS (SELECT query_id, vec_id, u, score, 1 AS rank FROM ranked WHERE r = 1)"""]
+    for i in range(2, k + 1):
+        out.append(f"""c{i} AS (SELECT x.query_id, x.vec_id, any_value(x.u) AS u, any_value(x.score) AS score, 0.7 * any_value(x.score) - 0.3 * max(list_dot_product(x.u, p.u)) AS m
+  FROM short x JOIN p{i - 1} p ON p.query_id = x.query_id WHERE (x.query_id, x.vec_id) NOT IN (SELECT query_id, vec_id FROM p{i - 1}) GROUP BY x.query_id, x.vec_id),
+p{i} AS (SELECT * FROM p{i - 1} UNION ALL SELECT query_id, vec_id, u, score, {i} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY m DESC, score DESC, vec_id) AS r FROM c{i}) WHERE r = 1)""")
+    return ",\n".join(out)
+
+
+_ASKED = f"""
+{_PIECES},
+words AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_\\-]{{2,}}')) AS w FROM benchmark),
+terms AS (SELECT DISTINCT item_id, replace(replace(lower(w), '-', ''), '_', '') AS term FROM words
+          WHERE length(replace(replace(lower(w), '-', ''), '_', '')) >= 3
+            AND replace(replace(lower(w), '-', ''), '_', '') NOT IN ('the','and','for','how','what','with','this','that','from','does','use','are','who','why')),
+hay AS (SELECT chunk_id, replace(replace(lower(piece), '-', ''), '_', '') || ' ' || replace(replace(lower(source), '-', ''), '_', '') AS h FROM pieces),
+hits AS (SELECT chunk_id, term FROM hay JOIN (SELECT DISTINCT term FROM terms) ON contains(h, term)),
+df AS (SELECT term, 0.12 * (1 - count(*) / CAST((SELECT count(*) FROM pieces) AS DOUBLE)) AS gain FROM hits GROUP BY term),
+gains AS (SELECT item_id, chunk_id, least(sum(gain), 0.25) AS g FROM hits JOIN df USING (term) JOIN terms USING (term) GROUP BY item_id, chunk_id),
+{_hashed('benchmark', 'item_id', 'text', 'question')},
+{_hashed('pieces', 'chunk_id', 'piece', 'v')},
+s AS (SELECT q.item_id AS query_id, v.chunk_id AS vec_id, v.u, list_dot_product(v.u, q.u) + coalesce(g, 0) AS score
+      FROM question q CROSS JOIN v LEFT JOIN gains ON gains.item_id = q.item_id AND gains.chunk_id = v.chunk_id)
+"""
+
+
+@query(f"""
+WITH {_ASKED}, {_picks_each(4)}
+SELECT query_id, p4.vec_id AS chunk_id, source AS file, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM p4 JOIN pieces ON p4.vec_id = pieces.chunk_id
+""")
+def search_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of ``benchmark`` as a question to all chunks of documents: boost, threshold, diverse choice."""
+    found = question_search.search_all(stored_chunks(spark, d), stored_questions(spark, d), top_k=4)
+    return found.select("query_id", "chunk_id", "file", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""
+WITH {_ASKED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score >= 0.2)
+SELECT query_id, vec_id AS chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
+""")
+def search_questions_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The same without the diverse choice."""
+    found = question_search.search_all(stored_chunks(spark, d), stored_questions(spark, d), top_k=10, min_score=0.2, use_mmr=False)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
