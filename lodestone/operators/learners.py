@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Model
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
@@ -121,6 +122,23 @@ def random_normal(seed: int, *index: Column) -> Column:
     return F.sqrt(-2 * F.ln(a)) * F.cos(2 * math.pi * b)
 
 
+def fourier_features(columns: list[Column], size: int, gamma: float, seed: int = 0) -> list[Column]:
+    """``size`` features whose inner products come near to the kernel ``exp(-gamma |x - y|^2)`` (to about ``1 / sqrt(size)``).
+
+    Frequencies and phases are drawn by a hash of seed and place, so they need no table and are the same for every row and
+    run.  A machine with that kernel is then a linear one on these columns: its fit is a few passes over the rows, where
+    a kernel matrix would have a cell for each pair of them.
+    """
+    wide = math.sqrt(2 * gamma)
+
+    def feature(j: int) -> Column:
+        phase = F.lit(2 * math.pi) * _uniform(seed, F.lit(j))
+        turn = reduce(Column.__add__, (x.cast("double") * (random_normal(seed, F.lit(i), F.lit(j)) * wide) for i, x in enumerate(columns)))
+        return F.cos(turn + phase) * math.sqrt(2 / size)
+
+    return [feature(j) for j in range(size)]
+
+
 def initialised(i: Column, j: Column, rule: str, fan_in: int, fan_out: int, seed: int) -> Column:
     """Random weights of a matrix given as rows ``(i, j)``: uniform or normal, scaled by the rule."""
     match rule:

@@ -205,18 +205,18 @@ def assign_clusters(points: DataFrame, centroids: DataFrame, key: str, vector: s
     """
     blocks = max(1, -(-centroids.count() // CENTRES_AT_ONCE))
     dealt = centroids.withColumn("__block", F.pmod(F.xxhash64("cluster"), F.lit(blocks)))
-    rows = points.select(key, vector)
-    for i in range(blocks):
-        block = dealt.filter(F.col("__block") == i).agg(F.collect_list(F.struct("cluster", "centre")).alias(f"__c{i}"))
-        rows = rows.crossJoin(F.broadcast(block))
 
     def near(c: Column) -> Column:
         gap = F.zip_with(vector, c["centre"], lambda a, b: a.cast("double") - b)
         return F.struct(F.sqrt(dot(gap, gap)).alias("distance"), c["cluster"].alias("cluster"))
 
-    best = [F.array_min(F.transform(f"__c{i}", near)) for i in range(blocks)]
-    found = rows.select(key, vector, F.array_min(F.array(*best)).alias("b"))
-    return found.select(key, vector, "b.cluster", "b.distance")
+    rows = points.select(key, vector, F.lit(None).alias("__best"))
+    for i in range(blocks):  # a point carries the nearest centre so far, never the blocks
+        block = dealt.filter(F.col("__block") == i).agg(F.collect_list(F.struct("cluster", "centre")).alias("__centres"))
+        nearest = F.array_min(F.transform("__centres", near))
+        best = nearest if not i else F.least(F.coalesce("__best", nearest), F.coalesce(nearest, F.col("__best")))
+        rows = rows.crossJoin(F.broadcast(block)).select(key, vector, best.alias("__best"))
+    return rows.select(key, vector, "__best.cluster", "__best.distance")
 
 
 def kmeans_start(points: DataFrame, k: int, key: str, vector: str, seed: int = 0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import learners, ml
@@ -346,6 +346,69 @@ def svm_regression(spark: SparkSession, d: str) -> DataFrame:
     return _fitted(spark, d, loss="insensitive", margin=0.1, decay=0.01)
 
 
+#: Two columns of every row, and a class that no straight line tells: the middle quantities.
+_BAND = "r AS (SELECT l_quantity / 50 AS a, l_discount * 10 AS b, CASE WHEN l_quantity BETWEEN 15 AND 35 THEN 1.0 ELSE -1.0 END AS y FROM lineitem)"
+_SIZE, _GAMMA, _SEED = 8, 2.0, 7
+
+
+def _drawn(*index: object) -> str:
+    return f"((('0x' || substr(md5('{':'.join(map(str, (_SEED, *index)))}'), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+
+
+def _fourier() -> list[str]:
+    """SQL of the features: a hashed normal frequency for each column, and a hashed phase."""
+    normal = lambda i, j: f"(sqrt(-2 * ln({_drawn(i, j, 'a')})) * cos(2 * pi() * {_drawn(i, j, 'b')}) * sqrt(2 * {_GAMMA}))"
+    return [f"cos(a * {normal(0, j)} + b * {normal(1, j)} + 2 * pi() * {_drawn(j)}) * sqrt(2.0 / {_SIZE})" for j in range(_SIZE)]
+
+
+def _descended_on(features: list[str], slope: str, cost: str, steps: int = 3, rate: float = 0.5, decay: float = 0.01) -> str:
+    """SQL of gradient descent on any features of _BAND's rows, a table for each step, and the share of right signs."""
+    n = range(len(features))
+    out = [_BAND, "z AS (SELECT y, " + ", ".join(f"{f} AS z{j}" for j, f in enumerate(features)) + " FROM r)", "w0 AS (SELECT 0.0::DOUBLE AS w, 0.0::DOUBLE AS loss, " + ", ".join(f"0.0::DOUBLE AS w{j}" for j in n) + ")"]
+    for i in range(steps + 1):
+        out.append(f"e{i} AS (SELECT z.*, w{i}.*, " + " + ".join(f"w{j} * z{j}" for j in n) + f" + w AS p FROM z, w{i})")
+        moved = ", ".join(f"any_value(w{j}) - {rate} * (avg({slope} * z{j}) + {decay} * any_value(w{j})) AS w{j}" for j in n)
+        if i < steps:
+            out.append(f"w{i + 1} AS (SELECT any_value(w) - {rate} * avg({slope}) AS w, avg({cost}) AS loss, {moved} FROM e{i})")
+    rows = [f"SELECT 'loss{i}' AS name, loss AS value FROM w{i + 1}" for i in range(steps)] + [f"SELECT 'w{j}', w{j} FROM w{steps}" for j in n]
+    rows += [f"SELECT 'bias', w FROM w{steps}", f"SELECT 'right', avg(CASE WHEN p * y > 0 THEN 1.0 ELSE 0.0 END) FROM e{steps}"]
+    return "WITH " + ",\n".join(out) + f" SELECT name, round(value, 6) AS value FROM ({' UNION ALL '.join(rows)})"
+
+
+def _fitted_on(spark: SparkSession, d: str, features: list[Column], **how) -> DataFrame:
+    y = F.when(F.col("l_quantity").between(15, 35), 1.0).otherwise(-1.0)
+    rows = table(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"), y.alias("y"))
+    names = [f"z{j}" for j in range(len(features))]
+    rows = rows.select("y", *(f.alias(n) for f, n in zip(features, names, strict=True)))
+    w, b, losses = ml.fit_linear(rows, names, "y", 3, 0.5, decay=0.01, **how)
+    right = F.avg(F.when(ml.predicted([F.col(n) for n in names], w, b) * F.col("y") > 0, 1.0).otherwise(0.0)).alias("value")
+    found = [(f"loss{i}", x) for i, x in enumerate(losses)] + list(zip([f"w{j}" for j in range(len(w))], w, strict=True)) + [("bias", b)]
+    fitted = spark.createDataFrame(found, "name string, value double")
+    return fitted.unionByName(rows.agg(right).select(F.lit("right").alias("name"), "value")).withColumn("value", F.round("value", 6))
+
+
+_HINGE = ("(CASE WHEN y * p < 1 THEN -y ELSE 0 END)", "greatest(1 - y * p, 0)")
+_INSENSITIVE = ("(CASE WHEN abs(p - y) > 0.1 THEN sign(p - y) ELSE 0 END)", "greatest(abs(p - y) - 0.1, 0)")
+
+
+@query(_descended_on(_fourier(), *_HINGE))
+def svm_rbf(spark: SparkSession, d: str) -> DataFrame:
+    """A support vector machine with a Gaussian kernel, by hashed Fourier features."""
+    return _fitted_on(spark, d, learners.fourier_features([F.col("a"), F.col("b")], _SIZE, _GAMMA, _SEED), loss="hinge")
+
+
+@query(_descended_on(_fourier(), *_INSENSITIVE))
+def svr_rbf(spark: SparkSession, d: str) -> DataFrame:
+    """Support vector regression with a Gaussian kernel."""
+    return _fitted_on(spark, d, learners.fourier_features([F.col("a"), F.col("b")], _SIZE, _GAMMA, _SEED), loss="insensitive", margin=0.1)
+
+
+@query(_descended_on(["a", "b", "a * a", "a * b", "b * b"], *_HINGE))
+def svm_polynomial(spark: SparkSession, d: str) -> DataFrame:
+    """A support vector machine with a polynomial kernel of degree 2: a linear one on its monomials."""
+    return _fitted_on(spark, d, [c for _, c in ml.polynomial(["a", "b"], 2)], loss="hinge")
+
+
 _STEPPED = {
     "sgd": ("v - 0.1 * g", "m", "s"),
     "momentum": ("v + (0.9 * m - 0.1 * g)", "0.9 * m - 0.1 * g", "s"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -12,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone import reachable_by_workers
 from lodestone.functions.text import flat_name
+from lodestone.sources import archives
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -61,17 +62,14 @@ def wanted(path: Column, package: str, with_tests: bool = False) -> Column:
     return keep | ((top == "tests") & path.endswith(".py")) if with_tests else keep
 
 
-def archive_entries(spark: SparkSession, path: str, package: str, with_tests: bool = False) -> DataFrame:
-    """``file, text`` of the kept entries of zip files: root folder stripped, names flattened, blank files left out."""
+def archive_entries(spark: SparkSession, path: str, package: str, with_tests: bool = False, bytes_per_task: int = 16 << 20) -> DataFrame:
+    """``file, text`` of the kept entries of zip files: root folder stripped, names flattened, blank files left out.
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for content in b["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if not name.endswith("/") and "/" in name:
-                            yield pd.DataFrame({"path": [name.partition("/")[2]], "text": [z.read(name).decode("utf-8", "ignore")]})
-
-    entries = spark.read.format("binaryFile").load(path).select("content").mapInPandas(work, "path string, text string")
-    kept = entries.filter(wanted(F.col("path"), package, with_tests) & F.col("text").rlike(r"\S"))
+    Entries are dealt to tasks by size, also those of a single archive (:mod:`archives`).
+    """
+    reachable_by_workers(spark)
+    archives.register(spark)
+    entries = spark.read.format("zip_entries").option("bytesPerTask", bytes_per_task).load(path).filter(F.contains("path", F.lit("/")))
+    named = entries.select(F.expr("substr(path, instr(path, '/') + 1)").alias("path"), "content")
+    kept = named.filter(wanted(F.col("path"), package, with_tests)).select("path", text_of(F.lit("txt"), F.col("content")).alias("text")).filter(F.col("text").rlike(r"\S"))
     return kept.select(flat_name("path").alias("file"), "text")

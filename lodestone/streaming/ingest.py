@@ -7,28 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators.store import new_documents
+from lodestone.operators.chunk_store import ChunkStore
 from lodestone.sources.files import with_text
 
 
-def ingest(spark: SparkSession, folder: str, table_path: str, checkpoint: str, to_chunks: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+def ingest(spark: SparkSession, folder: str, store: ChunkStore | str, checkpoint: str, to_chunks: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Process what is there and stop; run again for what came since.
 
-    ``to_chunks`` maps ``file, ext, text`` to rows with ``file``.  Files already in the table are
-    skipped, so a repeated batch adds nothing.
+    ``to_chunks`` maps ``file, ext, text`` to the rows of the store (a path makes one that takes whatever these are).  Files already in the store are skipped, and only the
+    partitions of a batch's files are looked at, so a repeated batch adds nothing.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).load(folder)
-
-    def store(batch: DataFrame, _: int) -> None:
-        texts = with_text(batch)
-        try:
-            held = batch.sparkSession.read.parquet(table_path)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            held = None
-        fresh = texts if held is None else new_documents(texts, held)
-        to_chunks(fresh).write.mode("append").parquet(table_path)
-
-    return files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if isinstance(store, str):
+        none = spark.createDataFrame([], "file string, ext string, text string")
+        store = ChunkStore(spark, store, to_chunks(none).schema)
+    put = lambda batch, _: store.add(with_text(batch), to_chunks)
+    return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
