@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,9 +87,8 @@ class _Best:
         self.found[query] = ids[order], scores[order]
 
 
-def _scan(candidates: DataFrame, query_ids: np.ndarray, weights: np.ndarray, k: int) -> DataFrame:
-    """Each partition's best for the queries; ``candidates(id, terms)`` stay where they are."""
-    shared = candidates.sparkSession.sparkContext.broadcast((query_ids, weights))
+def _scan(candidates: DataFrame, shared: Broadcast, k: int) -> DataFrame:
+    """Each partition's best for the queries (ids and weights, ``shared``); ``candidates(id, terms)`` stay where they are."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weights = shared.value
@@ -139,7 +139,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     for i in range(blocks):
         block = (rows.filter(F.col("block") == i) if blocks > 1 else rows).select("id", "terms").toArrow().combine_chunks()
         if block.num_rows:
-            found.append(_scan(candidates, block["id"].to_numpy(), _matrix(block["terms"].chunk(0)), k))
+            shared = queries.sparkSession.sparkContext.broadcast((block["id"].to_numpy(), _matrix(block["terms"].chunk(0))))
+            hits = _scan(candidates, shared, k)
+            if blocks > 1:  # one block after the other: only its hits stay
+                hits = stored(hits)
+                shared.unpersist()
+            found.append(hits)
     hits = reduce(DataFrame.unionByName, found) if found else queries.sparkSession.createDataFrame([], HITS)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
