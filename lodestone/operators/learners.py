@@ -1,4 +1,4 @@
-"""Models: trees grown from best splits, and Spark ML's forests, margins and networks on vector columns."""
+"""Models: trees and forests grown from best splits, and Spark ML's margins of several classes and networks on vector columns."""
 
 from __future__ import annotations
 
@@ -8,13 +8,13 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Model
-from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.ml import best_splits
+from lodestone.plans.lineage import spread, written
 
 
 @dataclass
@@ -82,11 +82,73 @@ def with_features(rows: DataFrame, vector: str) -> DataFrame:
     return rows.withColumn("features", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
 
 
-def forest(rows: DataFrame, label: str, trees: int = 20, depth: int = 5, regression: bool = False, seed: int = 1) -> Model:
-    """Bootstrap forest: a square root of the features per split for classes, a third for numbers."""
+#: Chances that a row is drawn at most 0, 1, 2, ... times when as many rows are drawn as there are (Poisson).
+DRAWN = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+
+
+@dataclass
+class Forest:
+    """``splits(node, feature, threshold)`` and ``leaves(node, value)``; node = tree * 2^(depth + 1) + place in its tree."""
+
+    splits: list[DataFrame]  # by level
+    leaves: DataFrame
+    trees: int
+    depth: int
+
+
+def _step(rows: DataFrame, splits: DataFrame, features: list[str], size: int) -> DataFrame:
+    """Rows moved one level down by the splits of their nodes: a row for each node at most, so they go to the rows."""
+    own = rows.columns
+    moved = rows.join(F.broadcast(splits.select("node", F.col("feature").alias("__feature"), F.col("threshold").alias("__threshold"))), "node", "left")
+    x = F.coalesce(*(F.when(F.col("__feature") == f, F.col(f).cast("double")) for f in features))
+    below = F.col("node") + F.col("node") % size + F.when(x <= F.col("__threshold"), 0).otherwise(1)
+    return moved.withColumn("node", F.when(F.col("__feature").isNull(), F.col("node")).otherwise(below)).select(*own)
+
+
+def _rooted(rows: DataFrame, trees: int, size: int) -> DataFrame:
+    return rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", F.col("tree").cast("long") * size + 1)
+
+
+def grow_forest(rows: DataFrame, keys: list[str], features: list[str], label: str, trees: int = 20, depth: int = 3, drawn: int | None = None, seed: int = 0, regression: bool = False) -> Forest:
+    """Trees on bootstraps of the rows, a level of all trees at a time: one aggregation finds all their splits.
+
+    How often a tree draws a row (Poisson), and which ``drawn`` of the features a node may split by (about the square root
+    of them for classes, a third for numbers), come from hashes of seed, tree, ``keys`` and node: every run grows the
+    same.  Rows without a label or with a null feature take no part.
+    """
+    size, y = 1 << (depth + 1), F.col(label).cast("double")
+    drawn = drawn or max(1, len(features) // 3 if regression else round(math.sqrt(len(features))))
+    whole = rows.filter(y.isNotNull()).select(*keys, *features, y.alias("__y")).na.drop(subset=features)
+    # Written before it is compared: a hash for each tree and row is drawn once.
+    dealt = written(_rooted(spread(whole), trees, size).select(*features, "__y", "node", _uniform(seed, F.col("tree"), *map(F.col, keys)).alias("__u")))
+    times = reduce(Column.__add__, (F.when(F.col("__u") >= p, 1).otherwise(0) for p in DRAWN))
+    at = dealt.filter(F.col("__u") >= DRAWN[0]).withColumn("__w", times).drop("__u")
+    classes = None if regression else [r[0] for r in whole.select("__y").distinct().orderBy("__y").collect()]
+
+    def allowed(node: Column, f: Column) -> Column:
+        order = F.array(*(_uniform(seed, node, F.lit(i)) for i in range(len(features))))
+        return F.size(F.filter(order, lambda u: u < F.get(order, f))) < drawn
+
+    levels = []
+    for _ in range(depth):
+        found = written(best_splits(at, features, "__y", classes, "node", "__w", allowed).filter("gain > 0").select("node", "feature", "threshold"))
+        levels.append(found)
+        at = _step(at, found, features, size)
     if regression:
-        return RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", seed=seed).fit(rows)
-    return RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed).fit(rows)
+        leaves = at.groupBy("node").agg((F.sum(F.col("__w") * F.col("__y")) / F.sum("__w")).alias("value"))
+    else:
+        counts = at.groupBy("node", "__y").agg(F.sum("__w").alias("n"))
+        leaves = counts.groupBy("node").agg(F.min_by("__y", F.struct(-F.col("n"), "__y")).alias("value"))
+    return Forest(levels, written(leaves), trees, depth)
+
+
+def forest_values(rows: DataFrame, keys: list[str], features: list[str], forest: Forest) -> DataFrame:
+    """``keys, tree, value``: what every tree says of every row."""
+    size = 1 << (forest.depth + 1)
+    at = _rooted(spread(rows.select(*keys, *features)), forest.trees, size)
+    for splits in forest.splits:
+        at = _step(at, splits, features, size)
+    return at.join(F.broadcast(forest.leaves), "node").select(*keys, "tree", "value")
 
 
 def linear_margin(rows: DataFrame, label: str, regularisation: float = 0.01, rounds: int = 50, many: bool = False) -> Model:

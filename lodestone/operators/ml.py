@@ -6,6 +6,7 @@ Matrices are ``(i, j, v)`` rows; feature rows are columns of doubles or arrays.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -248,22 +249,29 @@ def kmeans(points: DataFrame, centroids: DataFrame, key: str, vector: str, round
 # --- trees ---------------------------------------------------------------------------------
 
 
-def best_splits(rows: DataFrame, features: list[str], label: str, classes: list[float] | None = None, node: str | None = None) -> DataFrame:
+def best_splits(
+    rows: DataFrame, features: list[str], label: str, classes: list[float] | None = None, node: str | None = None,
+    weight: str | None = None, allowed: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
     """``node, feature, threshold, gain``: for each node the split ``x <= threshold`` of most gain.
 
     Gain is that of entropy over ``classes``, or of squared error where there are none.  Every distinct value is
     tried; sums run along ranges of values, all features and nodes in one pass.  Ties go to the first feature, then
-    the smaller value.  Null values of a feature and null labels are left out.
+    the smaller value.  Null values of a feature and null labels are left out.  A row counts ``weight`` times, once
+    without it; of a node only features (by number) that are ``allowed(node, feature)`` are tried, all without it.
     """
+    times = F.lit(1) if weight is None else F.col(weight)
     y, at = F.col(label).cast("double"), F.lit(0) if node is None else F.col(node)
     values = F.array(*(F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("x")) for i, c in enumerate(features)))
-    long = rows.select(at.alias("node"), y.alias("y"), F.explode(values).alias("v")).select("node", "y", "v.f", "v.x").filter("x IS NOT NULL AND y IS NOT NULL")
+    long = rows.select(at.alias("node"), y.alias("y"), times.alias("w"), F.explode(values).alias("v")).select("node", "y", "w", "v.f", "v.x").filter("x IS NOT NULL AND y IS NOT NULL")
     if classes is None:
-        kept = {"s0": F.sum("y"), "s1": F.sum(F.col("y") * F.col("y"))}
+        kept = {"s0": F.sum(F.col("w") * F.col("y")), "s1": F.sum(F.col("w") * F.col("y") * F.col("y"))}
     else:
-        kept = {f"s{k}": F.count_if(F.col("y") == float(c)) for k, c in enumerate(classes)}
+        kept = {f"s{k}": F.sum(F.when(F.col("y") == float(c), F.col("w")).otherwise(0)) for k, c in enumerate(classes)}
     names = ["n", *kept]
-    by_value = long.groupBy("node", "f", "x").agg(F.count("*").alias("n"), *(c.alias(k) for k, c in kept.items()))
+    by_value = long.groupBy("node", "f", "x").agg(F.sum("w").alias("n"), *(c.alias(k) for k, c in kept.items()))
+    if allowed is not None:
+        by_value = by_value.filter(allowed(F.col("node"), F.col("f")))
     c = running(by_value, ["x"], {f"l_{n}": n for n in names}, ("node", "f"))
     whole = by_value.groupBy("node", "f").agg(*(F.sum(n).alias(f"t_{n}") for n in names))
     c = c.join(whole, ["node", "f"]).filter("l_n < t_n")

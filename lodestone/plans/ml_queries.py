@@ -576,26 +576,75 @@ def _labelled_vectors(spark: SparkSession, d: str) -> DataFrame:
     return learners.with_features(table(spark, d, "embeddings").withColumn("y", F.col("label").cast("double")), "embedding")
 
 
-@query("""
-WITH r AS (SELECT d.doc_id, n_chars, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
-SELECT doc_id, CAST(CASE WHEN (SELECT max(quality) FROM r) = 0 THEN 0 ELSE 1 END AS DOUBLE) AS always FROM r WHERE n_chars IS NOT NULL
-""")
-def tree_predict_majority(spark: SparkSession, d: str) -> DataFrame:
-    """A tree without a split predicts the more frequent class."""
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").filter("n_chars IS NOT NULL")
-    return rows.select("doc_id", learners.grow_tree(rows, ["n_chars"], "quality", depth=0).predicted().alias("always"))
-
-
 @query()
 def tree_predict(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     return rows.select("doc_id", learners.grow_tree(rows, ["n_chars"], "quality", depth=2).predicted().alias("quality"))
 
 
-@query()
+_TREES, _DEPTH, _DRAWN = 4, 2, 2
+
+
+def _forest(label: str, regression: bool) -> str:
+    """SQL of a forest: bootstraps, levels of all trees, leaves; then every row through every tree (tables ``q``)."""
+    size = 1 << (_DEPTH + 1)
+    uniform = lambda *parts: "((('0x' || substr(md5(concat_ws(':', '7', " + ", ".join(parts) + ")), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+    chance = uniform("tree", "l_orderkey", "l_linenumber")
+    times = " + ".join(f"CASE WHEN u >= {p!r} THEN 1 ELSE 0 END" for p in learners.DRAWN)
+    stats = "sum(w * y) AS a, sum(w * y * y) AS b, 0 AS c" if regression else "sum(w) FILTER (y = 0) AS a, sum(w) FILTER (y = 1) AS b, sum(w) FILTER (y = 2) AS c"
+
+    def impurity(n: str, a: str, b: str, c: str) -> str:
+        if regression:
+            return f"({b} / {n} - ({a} / {n}) * ({a} / {n}))"
+        return "-(" + " + ".join(f"CASE WHEN {x} > 0 THEN {x} / {n} * log2({x} / {n}) ELSE 0 END" for x in (a, b, c)) + ")"
+
+    def moved(before: str, level: int, more: str) -> str:
+        below = f"a.node + a.node % {size} + CASE WHEN [f0, f1, f2][b.f + 1] <= b.x THEN 0 ELSE 1 END"
+        return f"(SELECT CASE WHEN b.node IS NULL THEN a.node ELSE {below} END AS node, {more} FROM {before} a LEFT JOIN b{level} b ON a.node = b.node)"
+
+    out = [_GROWN, f"t AS (SELECT r.*, tree, tree * {size} + 1 AS node, l_quantity AS f0, l_discount AS f1, l_tax AS f2, {chance} AS u FROM r, (SELECT unnest(range({_TREES})) AS tree))"]
+    out.append(f"n0 AS (SELECT node, f0, f1, f2, {label} AS y, {times} AS w FROM t WHERE {times} > 0)")
+    for i in range(1, _DEPTH + 1):
+        out.append(f"v{i} AS (SELECT node, f, x, sum(w)::DOUBLE AS n, {stats} FROM (SELECT node, y, w, unnest([0, 1, 2]) AS f, unnest([f0, f1, f2]) AS x FROM n{i - 1}) GROUP BY node, f, x)")
+        out.append(f"d{i} AS (SELECT node, f FROM (SELECT node, f, row_number() OVER (PARTITION BY node ORDER BY {uniform('node', 'f')}) AS k FROM (SELECT DISTINCT node, unnest([0, 1, 2]) AS f FROM n{i - 1})) WHERE k <= {_DRAWN})")
+        sums = ", ".join(f"sum(coalesce({c}, 0)) OVER w AS l{c}, sum(coalesce({c}, 0)) OVER (PARTITION BY node, f) AS t{c}" for c in "nabc")
+        out.append(f"s{i} AS (SELECT node, f, x, {sums} FROM v{i} JOIN d{i} USING (node, f) WINDOW w AS (PARTITION BY node, f ORDER BY x))")
+        gain = f"{impurity('tn', 'ta', 'tb', 'tc')} - ln / tn * {impurity('ln', 'la', 'lb', 'lc')} - (tn - ln) / tn * {impurity('(tn - ln)', '(ta - la)', '(tb - lb)', '(tc - lc)')}"
+        out.append(f"g{i} AS (SELECT node, f, x, round({gain}, 12) AS gain FROM s{i} WHERE ln < tn)")
+        out.append(f"b{i} AS (SELECT node, f, x FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, x) AS k FROM g{i}) WHERE k = 1 AND gain > 0)")
+        out.append(f"n{i} AS {moved(f'n{i - 1}', i, 'f0, f1, f2, y, w')}")
+    if regression:
+        out.append(f"leaf AS (SELECT node, sum(w * y) / sum(w) AS value FROM n{_DEPTH} GROUP BY node)")
+    else:
+        out.append(f"leaf AS (SELECT node, y AS value FROM (SELECT node, y, row_number() OVER (PARTITION BY node ORDER BY sum(w) DESC, y) AS k FROM n{_DEPTH} GROUP BY node, y) WHERE k = 1)")
+    out.append("q0 AS (SELECT node, tree, l_orderkey, l_linenumber, f0, f1, f2 FROM t)")
+    out += [f"q{i} AS {moved(f'q{i - 1}', i, 'tree, l_orderkey, l_linenumber, f0, f1, f2')}" for i in range(1, _DEPTH + 1)]
+    out.append(f"said AS (SELECT l_orderkey, l_linenumber, value FROM q{_DEPTH} q JOIN leaf ON q.node = leaf.node)")
+    return ",\n".join(out)
+
+
+def _forest_of(spark: SparkSession, d: str, label: str, regression: bool) -> DataFrame:
+    rows, keys = _tree_rows(spark, d), ["l_orderkey", "l_linenumber"]
+    grown = learners.grow_forest(rows, keys, _FEATURES, label, _TREES, _DEPTH, _DRAWN, seed=7, regression=regression)
+    return learners.forest_values(rows, keys, _FEATURES, grown)
+
+
+@query(f"""
+WITH {_forest("y", False)},
+v AS (SELECT l_orderkey, l_linenumber, value, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY count(*) DESC, value) AS k FROM said GROUP BY l_orderkey, l_linenumber, value)
+SELECT l_orderkey, l_linenumber, value FROM v WHERE k = 1
+""")
 def forest_predict(spark: SparkSession, d: str) -> DataFrame:
-    rows = _labelled_vectors(spark, d)
-    return learners.forest(rows, "y").transform(rows).select("vec_id", "prediction")
+    """Trees on bootstraps with drawn features, and the vote of all of them on every row."""
+    said = _forest_of(spark, d, "y", False)
+    counts = said.groupBy("l_orderkey", "l_linenumber", "value").count()
+    return counts.groupBy("l_orderkey", "l_linenumber").agg(F.min_by("value", F.struct(-F.col("count"), "value")).alias("value"))
+
+
+@query(f"WITH {_forest('z', True)} SELECT l_orderkey, l_linenumber, round(avg(value), 4) AS value FROM said GROUP BY l_orderkey, l_linenumber")
+def forest_regression(spark: SparkSession, d: str) -> DataFrame:
+    """The same for numbers: means in the leaves, and the mean of all trees."""
+    return _forest_of(spark, d, "z", True).groupBy("l_orderkey", "l_linenumber").agg(F.round(F.avg("value"), 4).alias("value"))
 
 
 @query()
