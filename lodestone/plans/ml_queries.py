@@ -576,7 +576,10 @@ def _labelled_vectors(spark: SparkSession, d: str) -> DataFrame:
     return learners.with_features(table(spark, d, "embeddings").withColumn("y", F.col("label").cast("double")), "embedding")
 
 
-@query()
+_BY_LENGTH = "r AS (SELECT d.doc_id AS l_orderkey, 0 AS l_linenumber, n_chars AS l_quantity, 0 AS l_discount, 0 AS l_tax, CAST(quality AS DOUBLE) AS y, 0 AS z FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+
+
+@query(f"WITH {_grown(2, 'y', False).replace(_GROWN, _BY_LENGTH)} SELECT l_orderkey AS doc_id, value AS quality FROM n2 JOIN leaf ON n2.node = leaf.node")
 def tree_predict(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     return rows.select("doc_id", learners.grow_tree(rows, ["n_chars"], "quality", depth=2).predicted().alias("quality"))
