@@ -1,4 +1,4 @@
-"""Models: trees and forests grown from best splits, and Spark ML's margins of several classes and networks on vector columns."""
+"""Models: trees and forests grown from best splits, hashed features of kernels, initial weights and optimizers."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Model
-from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,11 +74,6 @@ def grow_tree(rows: DataFrame, features: list[str], label: str, depth: int = 3,
     return root
 
 
-def with_features(rows: DataFrame, vector: str) -> DataFrame:
-    """Adds ``features`` for Spark ML from an array column."""
-    return rows.withColumn("features", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
-
-
 #: Chances that a row is drawn at most 0, 1, 2, ... times when as many rows are drawn as there are (Poisson).
 DRAWN = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(8)]
 
@@ -151,17 +143,6 @@ def forest_values(rows: DataFrame, keys: list[str], features: list[str], forest:
     return at.join(F.broadcast(forest.leaves), "node").select(*keys, "tree", "value")
 
 
-def linear_margin(rows: DataFrame, label: str, regularisation: float = 0.01, rounds: int = 50, many: bool = False) -> Model:
-    """Linear support vectors; one against the rest for many classes."""
-    svc = LinearSVC(labelCol=label, regParam=regularisation, maxIter=rounds)
-    return OneVsRest(classifier=svc, labelCol=label).fit(rows) if many else svc.fit(rows)
-
-
-def network(rows: DataFrame, label: str, layers: list[int], rounds: int = 60, seed: int = 1) -> Model:
-    """A dense network for classes."""
-    return MultilayerPerceptronClassifier(labelCol=label, layers=layers, maxIter=rounds, seed=seed).fit(rows)
-
-
 def dense(x: Column, weights: list[list[float]], bias: list[float], activation: Callable[[Column], Column]) -> Column:
     """One layer's forward pass on an array column: ``activation(W x + b)``."""
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import learners, ml
+from lodestone.operators import learners, ml, networks
 from lodestone.plans.registry import Registry, table
 
 query = Registry()
@@ -572,10 +572,6 @@ def forest_vote(spark: SparkSession, d: str) -> DataFrame:
     return ml.majority(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag")
 
 
-def _labelled_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return learners.with_features(table(spark, d, "embeddings").withColumn("y", F.col("label").cast("double")), "embedding")
-
-
 _BY_LENGTH = "r AS (SELECT d.doc_id AS l_orderkey, 0 AS l_linenumber, n_chars AS l_quantity, 0 AS l_discount, 0 AS l_tax, CAST(quality AS DOUBLE) AS y, 0 AS z FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
 
 
@@ -650,16 +646,104 @@ def forest_regression(spark: SparkSession, d: str) -> DataFrame:
     return _forest_of(spark, d, "z", True).groupBy("l_orderkey", "l_linenumber").agg(F.round(F.avg("value"), 4).alias("value"))
 
 
-@query()
+_LABELS = 10
+
+
+def _trained(sizes: list[int], loss: str, epochs: int, rate: float, momentum: float = 0.0, decay: float = 0.0, seed: int | None = None) -> str:
+    """SQL of a network on ``embeddings``: tanh between layers, then softmax (``categorical``) or nothing (``hinge``).
+
+    Tables ``w{layer}_{epoch}`` (i, j, v, m), ``o{epoch}`` (outputs) and ``c{epoch}`` (losses); rows of all layers are
+    numbered one after the other, a layer's biases last.
+    """
+    layers, starts = range(len(sizes) - 1), [sum(n + 1 for n in sizes[:k]) for k in range(len(sizes))]
+    label = "JOIN embeddings USING (vec_id)"
+    out = [f"a0 AS MATERIALIZED (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS v FROM embeddings UNION ALL SELECT vec_id, {sizes[0]}, 1 FROM embeddings)"]
+    for k in layers:
+        drawn = "0.0" if seed is None else f"(((('0x' || substr(md5('{seed}:' || i || ':' || j), 1, 8))::BIGINT + 0.5) / 4294967296.0) * 2 - 1) * sqrt(6.0 / {sizes[k] + sizes[k + 1]})"
+        bias = starts[k] + sizes[k]
+        out.append(f"w{k}_0 AS MATERIALIZED (SELECT i, j, CASE WHEN i = {bias} THEN 0.0 ELSE {drawn} END::DOUBLE AS v, 0.0::DOUBLE AS m FROM range({starts[k]}, {bias + 1}) a(i), range({sizes[k + 1]}) b(j))")
+    for e in range(epochs + 1):
+        came = "a0"
+        for k in layers:
+            z = f"SELECT vec_id, w.j, sum(x.v * w.v) AS z FROM {came} x JOIN w{k}_{e} w ON x.i = w.i GROUP BY vec_id, w.j"
+            if k < layers[-1]:
+                end = f"SELECT DISTINCT vec_id, {starts[k + 1] + sizes[k + 1]}, 1.0 FROM embeddings"
+                came = f"h{k}_{e}"
+                out.append(f"{came} AS MATERIALIZED (SELECT vec_id, j + {starts[k + 1]} AS i, (exp(2 * z) - 1) / (exp(2 * z) + 1) AS v FROM ({z}) UNION ALL {end})")
+            elif loss == "categorical":
+                out.append(f"o{e} AS MATERIALIZED (SELECT vec_id, j, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM (SELECT vec_id, j, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM ({z})))")
+                out.append(f"c{e} AS (SELECT avg(-ln(p)) AS loss FROM o{e} {label} WHERE j = label)")
+                slope = "p - CASE WHEN j = label THEN 1 ELSE 0 END"
+            else:
+                sign = "CASE WHEN j = label THEN 1 ELSE -1 END"
+                out.append(f"o{e} AS MATERIALIZED (SELECT vec_id, j, z AS p FROM ({z}))")
+                out.append(f"c{e} AS (SELECT sum(greatest(1 - p * ({sign}), 0)) / count(DISTINCT vec_id) AS loss FROM o{e} {label})")
+                slope = f"CASE WHEN p * ({sign}) < 1 THEN -({sign}) ELSE 0 END"
+        if e == epochs:
+            break
+        after = f"(SELECT vec_id, j, {slope} AS d FROM o{e} {label})"
+        for k in reversed(layers):
+            came = f"h{k - 1}_{e}" if k else "a0"
+            out.append(f"d{k}_{e} AS MATERIALIZED (SELECT * FROM {after})")
+            out.append(f"g{k}_{e} AS MATERIALIZED (SELECT x.i, d.j, sum(x.v * d.d) / (SELECT count(*) FROM embeddings) AS g FROM {came} x JOIN d{k}_{e} d USING (vec_id) GROUP BY x.i, d.j)")
+            shrunk = f"{rate} * (g + CASE WHEN w.i = {starts[k] + sizes[k]} THEN 0 ELSE {decay} * v END)"
+            out.append(f"w{k}_{e + 1} AS MATERIALIZED (SELECT w.i, w.j, v + {momentum} * m - {shrunk} AS v, {momentum} * m - {shrunk} AS m FROM w{k}_{e} w JOIN g{k}_{e} g ON w.i = g.i AND w.j = g.j)")
+            after = f"(SELECT x.vec_id, x.i - {starts[k]} AS j, any_value(1 - x.v * x.v) * sum(d.d * w.v) AS d FROM {came} x JOIN d{k}_{e} d ON x.vec_id = d.vec_id JOIN w{k}_{e} w ON w.i = x.i AND w.j = d.j WHERE x.i < {starts[k] + sizes[k]} GROUP BY x.vec_id, x.i)"
+    return "WITH " + ",\n".join(out)
+
+
+def _fitted_network(layers: int, epochs: int) -> str:
+    weights = " UNION ALL ".join(f"SELECT 'weight' AS kind, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, v FROM w{k}_{epochs}" for k in range(layers))
+    costs = " UNION ALL ".join(f"SELECT 'loss', {e}, 0, loss FROM c{e}" for e in range(epochs))
+    return f"SELECT kind, i, j, round(v, 6) + 0.0 AS v FROM ({weights} UNION ALL {costs})"
+
+
+def _best_output(epochs: int) -> str:
+    return f"SELECT vec_id, CAST(j AS INTEGER) AS prediction FROM (SELECT vec_id, j, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, j) AS k FROM o{epochs}) WHERE k = 1"
+
+
+def _fit_vectors(spark: SparkSession, d: str, off: float, **how) -> networks.Network:
+    rows = table(spark, d, "embeddings").select("embedding", networks.one_of(F.col("label"), _LABELS, off).alias("t"))
+    return networks.train(rows, "embedding", "t", **how)
+
+
+def _network_rows(spark: SparkSession, network: networks.Network) -> DataFrame:
+    cells = [("weight", i, j, v) for i, j, v in networks.cells(network.weights)] + [("loss", e, 0, c) for e, c in enumerate(network.losses)]
+    return spark.createDataFrame(cells, "kind string, i long, j long, v double").withColumn("v", F.round("v", 6) + 0.0)
+
+
+def _said(spark: SparkSession, d: str, network: networks.Network) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", networks.largest(networks.scores(F.col("embedding"), network)).alias("prediction"))
+
+
+_MACHINE = {"sizes": [64, _LABELS], "activations": ["linear"], "loss": "hinge", "epochs": 6, "rate": 0.3, "decay": 0.01, "initial": None}
+_NETWORK = {"sizes": [64, 6, _LABELS], "activations": ["tanh", "softmax"], "loss": "categorical", "epochs": 6, "rule": "momentum", "rate": 0.5, "seed": 7}
+_MACHINE_SQL = _trained([64, _LABELS], "hinge", 6, 0.3, decay=0.01)
+_NETWORK_SQL = _trained([64, 6, _LABELS], "categorical", 6, 0.5, 0.9, seed=7)
+
+
+@query(f"{_MACHINE_SQL} {_best_output(6)}")
 def svm_multiclass(spark: SparkSession, d: str) -> DataFrame:
-    rows = _labelled_vectors(spark, d)
-    return learners.linear_margin(rows, "y", rounds=20, many=True).transform(rows).select("vec_id", "prediction")
+    """One support vector machine against the rest for each class, all of them in one pass a step; the largest margin wins."""
+    return _said(spark, d, _fit_vectors(spark, d, -1.0, **_MACHINE))
+
+
+@query(f"{_MACHINE_SQL} {_fitted_network(1, 6)}")
+def svm_multiclass_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Weights, biases and losses of these machines."""
+    return _network_rows(spark, _fit_vectors(spark, d, -1.0, **_MACHINE))
+
+
+@query(f"{_NETWORK_SQL} {_fitted_network(2, 6)}")
+def network_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Six epochs of a network with one hidden layer, by momentum: every weight and the losses."""
+    return _network_rows(spark, _fit_vectors(spark, d, 0.0, **_NETWORK))
 
 
-@query()
+@query(f"{_NETWORK_SQL} {_best_output(6)}")
 def network_predict(spark: SparkSession, d: str) -> DataFrame:
-    rows = _labelled_vectors(spark, d)
-    return learners.network(rows, "y", [64, 16, 10], rounds=20).transform(rows).select("vec_id", "prediction")
+    """The most probable class by that network."""
+    return _said(spark, d, _fit_vectors(spark, d, 0.0, **_NETWORK))
 
 
 @query("""
