@@ -13,6 +13,12 @@ from lodestone import settings
 from lodestone.functions.text import strip
 
 
+def shortened(text: Column | str, old_chars: int = settings.HISTORY_OLD_MESSAGE_CHARS) -> Column:
+    """An older message: without mode tags, trimmed and cut."""
+    clean = strip(F.regexp_replace(text, r"\*\*\[(?:GRAPH|VECTOR)\]\*\*:?\s*", ""))
+    return F.when(F.length(clean) > old_chars, F.concat(F.substring(clean, 1, old_chars), F.lit("…"))).otherwise(clean)
+
+
 def history(messages: DataFrame, most: int = settings.MAX_HISTORY_MESSAGES, chars: int = settings.HISTORY_MAX_CHARS, old_chars: int = settings.HISTORY_OLD_MESSAGE_CHARS) -> DataFrame:
     """``conv_id, turn, role, content`` sent to a model, from ``messages(conv_id, turn, role, text)``.
 
@@ -20,10 +26,8 @@ def history(messages: DataFrame, most: int = settings.MAX_HISTORY_MESSAGES, char
     their characters fit.  Only ``most`` messages per conversation count.
     """
     newest = W.partitionBy("conv_id").orderBy(F.desc("turn"))
-    clean = strip(F.regexp_replace("text", r"\*\*\[(?:GRAPH|VECTOR)\]\*\*:?\s*", ""))
-    short = F.when(F.length(clean) > old_chars, F.concat(F.substring(clean, 1, old_chars), F.lit("…"))).otherwise(clean)
     rows = messages.withColumn("back", F.row_number().over(newest)).filter(F.col("back") <= most)
-    rows = rows.withColumn("content", F.when(F.col("back") == 1, F.col("text")).otherwise(short))
+    rows = rows.withColumn("content", F.when(F.col("back") == 1, F.col("text")).otherwise(shortened("text", old_chars)))
     used = F.sum(F.when(F.col("back") == 1, 0).otherwise(F.length("content"))).over(newest.rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("used", used).filter(F.col("used") <= chars).select("conv_id", "turn", "role", "content")
 

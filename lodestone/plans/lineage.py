@@ -23,13 +23,20 @@ def shared_folder(spark: SparkSession) -> str:
     return given
 
 
+def own_folder(spark: SparkSession, kind: str = "table") -> str:
+    """A new place, not made yet, in a new folder of the shared one; the application's end deletes it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return f"{path.toString()}/rows"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back; the application's end deletes it."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}")
-    df.write.parquet(path.toString())
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(path.toString())
+    path = own_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ from lodestone import settings
 from lodestone.functions import text
 from lodestone.operators import chunking, hybrid, session, store, vector_search
 from lodestone.operators.models import ModelList, chat_models
-from lodestone.plans.lineage import spread
+from lodestone.plans.lineage import own_folder, spread
 from lodestone.plans.registry import Registry, table
 from lodestone.sources.files import wanted, with_text
+from lodestone.streaming import conversation
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -188,17 +189,32 @@ def archive_names(spark: SparkSession, d: str) -> DataFrame:
     return named.select("doc_id", "path", "file", text.module_name("file").alias("module"), wanted(F.col("path"), "lib").alias("kept"))
 
 
-@query(r"""
+_HISTORY = r"""
 WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
 c AS (SELECT *, regexp_replace(regexp_replace(text, '\*\*\[(?:GRAPH|VECTOR)\]\*\*:?\s*', '', 'g'), '^\s+|\s+$', '', 'g') AS clean FROM m WHERE back <= 6),
 s AS (SELECT *, CASE WHEN back = 1 THEN text WHEN length(clean) > 400 THEN substr(clean, 1, 400) || '…' ELSE clean END AS content FROM c),
 u AS (SELECT *, sum(CASE WHEN back = 1 THEN 0 ELSE length(content) END) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM s)
 SELECT conv_id, turn, role, content FROM u WHERE used <= 1500
-""")
+"""
+
+
+@query(_HISTORY)
 def history_window(spark: SparkSession, d: str) -> DataFrame:
     return session.history(table(spark, d, "conversations"))
 
 
+@query(_HISTORY)
+def history_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stream: messages come in four parts, state is kept by conversation, the last versions are read."""
+    source, versions, checkpoint = (own_folder(spark, kind) for kind in ("messages", "versions", "progress"))
+    messages = table(spark, d, "conversations")
+    messages.repartitionByRange(4, "turn").write.parquet(source)
+    came = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    conversation.keep_versions(conversation.history_stream(came, interval=0), versions, checkpoint, once=True).awaitTermination()
+    return conversation.latest(spark.read.schema(conversation.VERSIONS).parquet(versions))
+
+
+
 @query("""
 SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS chars, sum(length(text)) > 0.9 * 2048 AS too_long FROM conversations GROUP BY conv_id
 """)
