@@ -269,11 +269,13 @@ def best_splits(
     else:
         kept = {f"s{k}": F.sum(F.when(F.col("y") == float(c), F.col("w")).otherwise(0)) for k, c in enumerate(classes)}
     names = ["n", *kept]
-    by_value = long.groupBy("node", "f", "x").agg(F.sum("w").alias("n"), *(c.alias(k) for k, c in kept.items()))
+    # Written, for it is read three times; and what is asked of nodes and features is else asked of every row below.
+    by_value = written(long.groupBy("node", "f", "x").agg(F.sum("w").alias("n"), *(c.alias(k) for k, c in kept.items())))
+    whole = by_value.groupBy("node", "f").agg(*(F.sum(n).alias(f"t_{n}") for n in names))
     if allowed is not None:
-        by_value = by_value.filter(allowed(F.col("node"), F.col("f")))
+        whole = written(written(whole).filter(allowed(F.col("node"), F.col("f"))))
+        by_value = by_value.join(whole, ["node", "f"], "left_semi")
     c = running(by_value, ["x"], {f"l_{n}": n for n in names}, ("node", "f"))
-    whole = by_value.groupBy("node", "f").agg(*(F.sum(n).alias(f"t_{n}") for n in names))
     c = c.join(whole, ["node", "f"]).filter("l_n < t_n")
 
     def impurity(n: Column, of: list[Column]) -> Column:
