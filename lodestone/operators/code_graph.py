@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodestone import settings
 from lodestone.functions.text import module_name
 from lodestone.operators.code_parse import parsed
-from lodestone.plans.lineage import written
+from lodestone.plans.lineage import spread, written
 
 
 @dataclass
@@ -390,7 +390,7 @@ def _with_guesses(nodes: DataFrame, certain: DataFrame, guesses: DataFrame) -> D
 
 
 def _with_modules(files: DataFrame) -> DataFrame:
-    return files.filter("file IS NOT NULL").withColumn("module", module_name("file"))
+    return spread(files.filter("file IS NOT NULL")).withColumn("module", module_name("file"))
 
 
 def build(files: DataFrame) -> CodeGraph:

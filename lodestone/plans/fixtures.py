@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.code_graph import CodeGraph, build, update
+from lodestone.plans.lineage import spread
 
 PACKAGE = {
     "zoo.py": '"""A zoo."""\nfrom .animals import Cat\nfrom .animals.base import *\n',
@@ -52,7 +53,7 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k").cast("string")
     before = (F.col("k") - 1).cast("string")
     later = F.concat(F.lit("from .m"), before, F.lit(" import C"), before, F.lit(", f\n\n\nclass C"), k, F.lit("(C"), before, F.lit("):\n    pass\n"), _go(k))
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k")))
     name = F.concat(F.lit("c"), F.floor(F.col("k") / CHAIN).cast("string"), F.lit(".m"), k, F.lit(".py"))
     return rows.select(name.alias("file"), F.when(F.col("k") % CHAIN == 0, _first_module(k)).otherwise(later).alias("text"))
 
@@ -78,7 +79,7 @@ def turned_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     """The generated packages' graph, updated: module TURNED of even packages removed, of odd ones written anew as a first module."""
 
     def make() -> CodeGraph:
-        rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k")).filter(F.col("k") % CHAIN == TURNED)
+        rows = spread(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k")).filter(F.col("k") % CHAIN == TURNED))
         rows = rows.withColumn("file", F.concat(F.lit("c"), F.floor(F.col("k") / CHAIN).cast("string"), F.lit(".m"), F.col("k").cast("string"), F.lit(".py")))
         odd = F.floor(F.col("k") / CHAIN) % 2 == 1
         changed = rows.filter(odd).select("file", _first_module(F.col("k").cast("string")).alias("text"))
@@ -144,9 +145,9 @@ def called(thing, p: os.PathLike):
 
 def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``file, text``: a package of RULES for each supplier."""
-    k = F.col("s_suppkey").cast("string")
+    k, rows = F.col("s_suppkey").cast("string"), spread(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey"))
     parts = F.array(*(F.struct(F.concat(F.lit("t"), k, F.lit(part + ".py")).alias("file"), F.replace(F.lit(text), F.lit("{k}"), k).alias("text")) for part, text in RULES.items()))
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.explode(parts).alias("f")).select("f.*")
+    return rows.select(F.explode(parts).alias("f")).select("f.*")
 
 
 def ruled_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import ml
+from lodestone.operators import code_graph, ml
+from lodestone.plans import fixtures
 
 
 def test_a_split_asks_once_which_features_a_node_may_use(spark):
@@ -18,3 +19,13 @@ def test_a_split_asks_once_which_features_a_node_may_use(spark):
     best = {r["node"]: r["feature"] for r in ml.best_splits(rows, ["a", "b"], "y", [0.0, 1.0], "node", "w", drawn).collect()}
     assert best == {0: "a", 1: "b", 2: "a", 3: "b"}
     assert asked.value <= 16
+
+
+def test_generated_files_are_dealt_to_all_cores(spark, tmp_path):
+    """A small table has one part, but a file of code is generated and parsed for each of its rows."""
+    spark.range(40).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    parts = lambda rows: rows.rdd.getNumPartitions()
+    assert parts(fixtures.generated(spark, str(tmp_path))) == 4
+    assert parts(fixtures.ruled(spark, str(tmp_path))) == 4
+    one = fixtures.package(spark).coalesce(1)
+    assert parts(code_graph._with_modules(one)) == 4
