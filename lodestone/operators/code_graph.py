@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodestone import settings
 from lodestone.functions.text import module_name
 from lodestone.operators.code_parse import parsed
-from lodestone.plans.lineage import spread, written
+from lodestone.plans.lineage import joined_in_tasks, spread, written
 
 
 @dataclass
@@ -393,6 +393,7 @@ def _with_modules(files: DataFrame) -> DataFrame:
     return spread(files.filter("file IS NOT NULL")).withColumn("module", module_name("file"))
 
 
+@joined_in_tasks
 def build(files: DataFrame) -> CodeGraph:
     """The graph of ``files(file, text)``, computed anew from all of them."""
     facts = written(parsed(_with_modules(files)))
@@ -445,6 +446,7 @@ def affected_modules(graph: CodeGraph, gone: DataFrame, fresh: DataFrame, r: _Re
         reached = reached.unionByName(frontier)
 
 
+@joined_in_tasks
 def update(graph: CodeGraph, changed: DataFrame | None = None, removed: DataFrame | None = None) -> CodeGraph:
     """``graph`` after the files ``changed(file, text)`` were added or written anew and ``removed(file)`` taken away.
 

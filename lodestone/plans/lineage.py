@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +42,31 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+T = TypeVar("T")
+
+#: A written table is sent to the driver for a join if its files are no larger; as rows it may take ten times that and more.
+SENT = "256KB"
+
+
+def joined_in_tasks(make: Callable[..., T]) -> Callable[..., T]:
+    """``make(table, ...)``, which writes all that it computes, with only very small tables sent through the driver for its joins.
+
+    Dozens of joins, each of which may send a table below the session's threshold, add up; others are shuffled.
+    """
+
+    @functools.wraps(make)
+    def run(first, *more, **named):
+        conf, key = (getattr(first, "nodes", first)).sparkSession.conf, "spark.sql.autoBroadcastJoinThreshold"
+        was = conf.get(key, None)
+        conf.set(key, SENT)
+        try:
+            return make(first, *more, **named)
+        finally:
+            conf.unset(key) if was is None else conf.set(key, was)
+
+    return run
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores where its files are cut into fewer parts than that; any larger input stays where it lies."""
     cores = df.sparkSession.sparkContext.defaultParallelism

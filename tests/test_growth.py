@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators import code_graph, ml
-from lodestone.plans import fixtures
+from lodestone.plans import fixtures, lineage
 
 
 def test_a_split_asks_once_which_features_a_node_may_use(spark):
@@ -29,3 +29,13 @@ def test_generated_files_are_dealt_to_all_cores(spark, tmp_path):
     assert parts(fixtures.ruled(spark, str(tmp_path))) == 4
     one = fixtures.package(spark).coalesce(1)
     assert parts(code_graph._with_modules(one)) == 4
+
+
+def test_graphs_send_only_very_small_tables_through_the_driver(spark):
+    """Their joins follow a lower threshold than the session's, which stands again afterwards."""
+    key, seen = "spark.sql.autoBroadcastJoinThreshold", []
+    before = spark.conf.get(key)
+    graph = code_graph.build(fixtures.package(spark))
+    assert spark.conf.get(key) == before
+    lineage.joined_in_tasks(lambda rows: seen.append(rows.sparkSession.conf.get(key)))(graph.nodes)
+    assert seen == [lineage.SENT] and all(hasattr(f, "__wrapped__") for f in (code_graph.build, code_graph.update))
