@@ -127,6 +127,12 @@ class _Shortlists:
         self.parts, self.held = [], 0
 
 
+def _pieces(rows: int, questions: int) -> Iterator[tuple[int, int]]:
+    """``start, many`` of a batch's parts: a part has no more scores than a task holds, whatever the batch and the block."""
+    step = max(1, HELD_SCORES // max(questions, 1))
+    yield from ((start, min(step, rows - start)) for start in range(0, rows, step))
+
+
 def _shortlists(chunks: DataFrame, block: _Block, fetch_k: int, min_score: float, most: float, boost: bool) -> DataFrame:
     """``query_id, chunk_id, score, rank``: the ``fetch_k`` best chunks of each question of a block: one scan."""
 
@@ -135,11 +141,13 @@ def _shortlists(chunks: DataFrame, block: _Block, fetch_k: int, min_score: float
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            scores = vectors @ block.vectors.T
-            if boost:
-                scores += block.boosts(automaton, batch.column(1).to_pylist(), most)
-            best.add(batch.column(0).to_numpy(), scores)
+            for start, many in _pieces(batch.num_rows, len(block.ids)):
+                piece = batch.slice(start, many)
+                vectors = piece.column(2).flatten().to_numpy(zero_copy_only=False).reshape(many, -1)
+                scores = vectors @ block.vectors.T
+                if boost:
+                    scores += block.boosts(automaton, piece.column(1).to_pylist(), most)
+                best.add(piece.column(0).to_numpy(), scores)
         best.settle()
         yield pa.RecordBatch.from_arrays([pa.array(block.ids[best.question], pa.int64()), pa.array(best.key, pa.int64()), pa.array(best.score)], ["query_id", "chunk_id", "score"])
 

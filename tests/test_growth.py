@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import code_graph, ml
+from lodestone.operators import arrays, code_graph, ml, question_search
 from lodestone.plans import fixtures, lineage
 
 
@@ -39,3 +39,28 @@ def test_graphs_send_only_very_small_tables_through_the_driver(spark):
     assert spark.conf.get(key) == before
     lineage.joined_in_tasks(lambda rows: seen.append(rows.sparkSession.conf.get(key)))(graph.nodes)
     assert seen == [lineage.SENT] and all(hasattr(f, "__wrapped__") for f in (code_graph.build, code_graph.update))
+
+
+def test_scores_of_a_batch_are_held_in_bounded_parts():
+    """Not rows of a batch times questions of a block at once."""
+    for rows, questions in ((10_000, 2048), (7, 1 << 21), (5, 0), (0, 3)):
+        parts = list(question_search._pieces(rows, questions))
+        assert sum(n for _, n in parts) == rows and [s for s, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
+        assert all(n == 1 or n * questions <= question_search.HELD_SCORES for _, n in parts)
+
+
+def test_cells_outside_a_stored_part_are_dealt_to_all_tasks(spark):
+    """They have no null key in the join."""
+    a = spark.range(4000).select(F.array("id", F.lit(0).cast("long")).alias("at"), F.lit(1.0).alias("v"))
+    value = spark.createDataFrame([([0], 5.0)], "at array<long>, v double")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = arrays.stored(a, (4000, 1), [-1, slice(None)], value).withColumn("task", F.spark_partition_id())
+        assert max(r["count"] for r in out.groupBy("task").count().collect()) < 2000
+        assert [r["at"] for r in out.filter("v = 5").collect()] == [[3999, 0]]
+        assert out.count() == 4000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
