@@ -17,6 +17,9 @@ def norm(a: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    """Divided by its length plus a small number, so that a zero vector stays zero."""
-    size = norm(a) + F.lit(EPSILON)
-    return F.transform(a, lambda x: x.cast("double") / size)
+    """Divided by its length plus a small number, so that a zero vector stays zero.
+
+    The length is a variable of the lambda: named in it as an expression, it would be computed again for every number.
+    """
+    size = F.array(norm(a) + F.lit(EPSILON))
+    return F.get(F.transform(size, lambda s: F.transform(a, lambda x: x.cast("double") / s)), F.lit(0))

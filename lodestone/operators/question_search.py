@@ -3,8 +3,9 @@
 The first scan has texts and names alone: one automaton over the terms of all questions finds every term in a text at
 once, and document frequencies are counts by term, summed before they are shuffled.  The second scan has vectors too:
 cosines with all questions are one matrix product a batch, and the automaton's hits add each question's gains.  A task
-keeps no more than the shortlist of each question, and once it is full only what beats its last entry.  Shortlists meet
-by question, and the diverse choice is made in each group of at most ``fetch_k`` rows.
+keeps no more than the shortlist of each question, and once it is full only what beats its last entry; a text is not
+searched for the terms of a question whose shortlist it could not enter with all of them.  Shortlists meet by question,
+and the diverse choice is made in each group of at most ``fetch_k`` rows.
 
 Questions come in blocks of a fixed number, one block after the other: what is shipped to tasks (vectors, terms, gains)
 and what a block's shortlists hold are bounded, however many questions there are.
@@ -32,6 +33,10 @@ from lodestone.plans.lineage import written
 QUESTIONS_AT_ONCE = 2048
 #: Scores that a task holds before it keeps the best of each question alone.
 HELD_SCORES = 1 << 20
+#: Rows scored at once: between them floors rise.
+ROWS_AT_ONCE = 1024
+#: A text that may enter the shortlists of no more questions is searched for their terms alone.
+FEW_QUESTIONS = 12
 
 
 def _automaton(terms: list[str]):
@@ -85,9 +90,17 @@ class _Block:
         self.first = np.cumsum([0, *(len(q) for q in of_term.values())])
         self.asking = np.array([i for q in of_term.values() for i in q], np.int64)
         self.gain = np.zeros(len(self.terms))
+        self.of_question: list[list[tuple[str, float]]] = [[] for _ in self.ids]
 
     def weigh(self, df: np.ndarray, n: int, per_term: float) -> None:
         self.gain = np.where(df > 0, per_term * (1 - df / max(n, 1)), 0.0)
+        for term in np.argsort(-df, kind="stable"):
+            for i in self.asking[self.first[term] : self.first[term + 1]]:
+                self.of_question[i].append((self.terms[term], float(self.gain[term])))
+
+    def bounds(self, most: float) -> np.ndarray:
+        """What a text may add for each question at most; a little more, as sums in other orders may differ by that."""
+        return np.minimum(np.bincount(self.asking, np.repeat(self.gain, np.diff(self.first)), len(self.ids)), most) + 1e-9
 
     def boosts(self, automaton, hays: list[str | None], most: float) -> np.ndarray:
         """``[text, question]``."""
@@ -98,6 +111,31 @@ class _Block:
         np.add.at(out, (np.repeat(row, many), self.asking[place]), np.repeat(self.gain[term], many))
         return np.minimum(out, most)
 
+    def boosted(self, automaton, hays: pa.Array, scores: np.ndarray, least: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+        """Texts with a cosine of ``least`` or more for some question, and their scores; other texts are not looked at.
+
+        Scores of other questions may be left at minus infinity.
+        """
+        near = scores >= least
+        kept = np.flatnonzero(near.any(axis=1))
+        near, scores, some = near[kept], scores[kept], hays.take(pa.array(kept)).to_pylist()
+        if near.sum() > FEW_QUESTIONS * len(kept):
+            return kept, scores + self.boosts(automaton, some, most)
+        scores[~near] = -np.inf
+        for i, q in zip(*np.nonzero(near), strict=True):
+            scores[i, q] += self.boost(some[i], q, most)
+        return kept, scores
+
+    def boost(self, hay: str | None, question: int, most: float) -> float:
+        """One text for one question: its terms, frequent ones first, until nothing can be added."""
+        found = 0.0
+        for term, gain in self.of_question[question]:
+            if hay and term in hay:
+                found += gain
+                if found >= most:
+                    return most
+        return found
+
 
 class _Shortlists:
     """The best chunks of each question of a task: score first, then the smaller id."""
@@ -112,7 +150,7 @@ class _Shortlists:
         row, question = np.nonzero(scores >= self.floor)
         self.parts.append((question, keys[row], scores[row, question]))
         self.held += len(row)
-        if self.held > HELD_SCORES:
+        if self.held > min(HELD_SCORES, 4 * self.size * len(self.floor)):  # early, as a floor spares texts
             self.settle()
 
     def settle(self) -> None:
@@ -129,7 +167,7 @@ class _Shortlists:
 
 def _pieces(rows: int, questions: int) -> Iterator[tuple[int, int]]:
     """``start, many`` of a batch's parts: a part has no more scores than a task holds, whatever the batch and the block."""
-    step = max(1, HELD_SCORES // max(questions, 1))
+    step = max(1, min(ROWS_AT_ONCE, HELD_SCORES // max(questions, 1)))
     yield from ((start, min(step, rows - start)) for start in range(0, rows, step))
 
 
@@ -138,16 +176,18 @@ def _shortlists(chunks: DataFrame, block: _Block, fetch_k: int, min_score: float
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, best = _automaton(block.terms if boost else []), _Shortlists(len(block.ids), fetch_k, min_score)
+        bounds = block.bounds(most)
         for batch in batches:
             if not batch.num_rows:
                 continue
             for start, many in _pieces(batch.num_rows, len(block.ids)):
                 piece = batch.slice(start, many)
                 vectors = piece.column(2).flatten().to_numpy(zero_copy_only=False).reshape(many, -1)
-                scores = vectors @ block.vectors.T
+                scores, keys = vectors @ block.vectors.T, piece.column(0).to_numpy()
                 if boost:
-                    scores += block.boosts(automaton, piece.column(1).to_pylist(), most)
-                best.add(piece.column(0).to_numpy(), scores)
+                    kept, scores = block.boosted(automaton, piece.column(1), scores, best.floor - bounds, most)
+                    keys = keys[kept]
+                best.add(keys, scores)
         best.settle()
         yield pa.RecordBatch.from_arrays([pa.array(block.ids[best.question], pa.int64()), pa.array(best.key, pa.int64()), pa.array(best.score)], ["query_id", "chunk_id", "score"])
 

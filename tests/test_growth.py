@@ -1,8 +1,15 @@
 """What queries cost as their tables grow: how often a thing is asked, and over how many tasks rows are dealt."""
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.operators import arrays, code_graph, ml, question_search
+from lodestone.functions import vectors
+from lodestone.operators import arrays, code_graph, embedding, ml, question_search
 from lodestone.plans import fixtures, lineage
 
 
@@ -64,3 +71,39 @@ def test_cells_outside_a_stored_part_are_dealt_to_all_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_a_length_is_computed_once_a_vector(spark):
+    """Not for each of its numbers."""
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None])], "id long, v array<float>")
+    plan = lambda c: rows.select(c.alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert not re.search(r"/ \(?\(?SQRT\(", plan(vectors.normalised(F.col("v"))), re.I)
+    got = [r["n"] for r in rows.orderBy("id").select(vectors.normalised(F.col("v")).alias("n")).collect()]
+    assert got == [[3 / (5 + 1e-8), 4 / (5 + 1e-8)], None, [0.0, 0.0], [None, None]]
+
+
+def test_words_are_hashed_together():
+    """Distinct words of a batch at once, whatever their lengths; the same vectors as word by word."""
+    words = ["", "a", "é" * 27, "x" * 55, "x" * 56, "ü" * 28, "y" * 200, *(hashlib.sha256(bytes([i])).hexdigest()[: i % 60] for i in range(256))]
+    heads = [int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") for w in words]
+    assert embedding._md5_heads(pa.array(words, pa.large_string())).tolist() == heads
+    want = np.zeros((2, 5))
+    for w, h in zip(words, heads, strict=True):
+        want[1, (h >> 1) % 5] += (1 if h & 1 else -1) * bool(w)
+    assert (embedding.HashEmbedder(5).embed(["", " ".join(words).upper().lower()]) == want).all() and embedding.HashEmbedder().embed([]).shape == (0, 64)
+
+
+def test_texts_are_searched_for_questions_that_they_may_answer(monkeypatch):
+    """Not all texts for all terms; both ways give the same scores."""
+    terms = [["red", "fox"], ["fox", "lake", "heron"], []]
+    block = question_search._Block(pd.DataFrame({"query_id": range(3), "normed": [[1.0, 0.0]] * 3, "terms": terms}))
+    block.weigh(np.array([{"red": 1, "fox": 3, "lake": 2, "heron": 0}[t] for t in block.terms]), 4, 0.12)
+    hays = pa.array(["a red fox", "foxes by a lake", None, "heron and fox and lake", "never read"])
+    cosines = np.array([[0.3, 0.2, 0.1], [0.0, 0.3, 0.3], [0.5, 0.5, 0.5], [0.3, 0.3, 0.3], [-1, -1, -1]])
+    full = cosines + block.boosts(question_search._automaton(block.terms), hays.to_pylist(), 0.1)
+    floor = np.array([0.35, 0.35, 0.2])
+    for few in (100, -1):
+        monkeypatch.setattr(question_search, "FEW_QUESTIONS", few)
+        kept, scores = block.boosted(question_search._automaton(block.terms), hays, cosines.copy(), floor - block.bounds(0.1), 0.1)
+        assert kept.tolist() == [0, 1, 2, 3]
+        assert np.allclose(np.where(scores >= floor, scores, 0), np.where(full[:4] >= floor, full[:4], 0))
