@@ -7,6 +7,7 @@ is gathered for the diverse choice.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone import settings
 from lodestone.functions.text import folded, query_terms
-from lodestone.functions.vectors import dot, normalised
+from lodestone.functions.vectors import EPSILON, dot
 
 
 def term_hits(text: Column, file: Column, terms: Column) -> Column:
@@ -62,7 +63,8 @@ def keyword_boost(chunks: DataFrame, query: str, most: float = settings.MAX_BOOS
 
 def cosine(normed: Column, query: Sequence[float]) -> Column:
     """Cosine with a question's vector; both lengths have the small number added."""
-    return dot(normed, normalised(F.array(*(F.lit(float(x)) for x in query))))
+    size = math.sqrt(reduce(lambda acc, x: acc + float(x) * float(x), query, 0.0)) + EPSILON  # here: a plan would compute it for every row
+    return dot(normed, F.array(*(F.lit(float(x) / size) for x in query)))
 
 
 def ranked(scored: DataFrame, k: int, by: str = "score", key: str = "chunk_id") -> DataFrame:

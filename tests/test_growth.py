@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors
-from lodestone.operators import arrays, code_graph, embedding, ml, question_search
+from lodestone.operators import arrays, code_graph, embedding, ml, question_search, vector_search
 from lodestone.plans import fixtures, lineage
 
 
@@ -107,3 +107,11 @@ def test_texts_are_searched_for_questions_that_they_may_answer(monkeypatch):
         kept, scores = block.boosted(question_search._automaton(block.terms), hays, cosines.copy(), floor - block.bounds(0.1), 0.1)
         assert kept.tolist() == [0, 1, 2, 3]
         assert np.allclose(np.where(scores >= floor, scores, 0), np.where(full[:4] >= floor, full[:4], 0))
+
+
+def test_a_question_is_normalised_once(spark):
+    """Not in the plan, where it would be for every row (and, until it was a variable, for every number)."""
+    rows = spark.createDataFrame([([0.6, 0.8],)], "v array<float>")
+    near = rows.select(vector_search.cosine(F.col("v"), [4.0, 3.0]).alias("c"))
+    assert "sqrt" not in near._jdf.queryExecution().analyzed().toString().lower()
+    assert abs(near.first()["c"] - 0.96) < 1e-6
