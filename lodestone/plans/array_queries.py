@@ -25,6 +25,11 @@ def _figures(spark: SparkSession, d: str) -> DataFrame:
     return arrays.cells(long, [F.col("l_orderkey"), F.col("line"), F.col("figure")], F.col("v"))
 
 
+def _extent(spark: SparkSession, d: str) -> tuple[int, ...]:
+    """The shape of the array of figures, from places alone."""
+    return (*arrays.shape(arrays.cells(table(spark, d, "lineitem"), [F.col("l_orderkey"), F.col("l_linenumber") - 1], F.lit(0)), 2), 3)
+
+
 def _shown(a: DataFrame, axes: int, digits: int = 4, *values: str) -> DataFrame:
     places = [F.get("at", F.lit(k)).alias(f"at{k}") for k in range(axes)]
     return a.select(*places, *((F.round(v, digits) + 0.0).alias(v) for v in values or ("v",)))
@@ -59,7 +64,7 @@ SELECT CAST((ni - 1 - i) // 2 AS BIGINT) AS at0, CAST(j - 1 AS BIGINT) AS at1, r
 def array_sliced(spark: SparkSession, d: str) -> DataFrame:
     """Every other order from the last one back, lines 1 to 3, the price alone."""
     a = _figures(spark, d)
-    return _shown(arrays.taken(a, arrays.shape(a, 3), [slice(None, None, -2), slice(1, 4), 1]), 2)
+    return _shown(arrays.taken(a, _extent(spark, d), [slice(None, None, -2), slice(1, 4), 1]), 2)
 
 
 @query(f"""
@@ -70,7 +75,7 @@ SELECT CAST(i AS BIGINT) AS at0, CAST(c.j AS BIGINT) AS at1, CAST(k AS BIGINT) A
 def array_stored(spark: SparkSession, d: str) -> DataFrame:
     """A number put into every third order's discounts, then the mean of each line into the last order's quantities."""
     a = _figures(spark, d)
-    extent = arrays.shape(a, 3)
+    extent = _extent(spark, d)
     means = arrays.reduced(arrays.taken(a, extent, [slice(None), slice(None), 0]), 2, [0]).select("at", F.col("mean").alias("v"))
     numbers = arrays.stored(a, extent, [slice(None, None, 3), slice(None), 2], -1.0)
     return _shown(arrays.stored(numbers, extent, [-1, slice(None), 0], means), 3)
@@ -80,7 +85,7 @@ def array_stored(spark: SparkSession, d: str) -> DataFrame:
 def array_reshaped(spark: SparkSession, d: str) -> DataFrame:
     """A row of all figures for each order."""
     a = _figures(spark, d)
-    extent = arrays.shape(a, 3)
+    extent = _extent(spark, d)
     return _shown(arrays.reshaped(a, extent, (-1, extent[1] * extent[2])), 2)
 
 
@@ -91,7 +96,7 @@ SELECT CAST(i AS BIGINT) AS at0, CAST(c.j AS BIGINT) AS at1, CAST(c.k AS BIGINT)
 def array_broadcast(spark: SparkSession, d: str) -> DataFrame:
     """Less the mean of each line and figure (two axes), by the deviation of each figure (one axis)."""
     a = _figures(spark, d)
-    extent = arrays.shape(a, 3)
+    extent = _extent(spark, d)
     mean, std = (arrays.reduced(a, 3, over).select("at", F.col(of).alias("v")) for over, of in (([0], "mean"), ([0, 1], "std")))
     return _shown(arrays.combined(arrays.combined(a, mean, "-", extent, extent[1:]), std, "/", extent, extent[2:]), 3)
 
@@ -107,10 +112,9 @@ SELECT CAST(i AS BIGINT) AS at0, CAST(j AS BIGINT) AS at1, CAST(l AS BIGINT) AS
 def array_product(spark: SparkSession, d: str) -> DataFrame:
     """Every line's figures, in other units, times the summed products of figures with each other, which a single number divides."""
     a = _figures(spark, d)
-    extent = arrays.shape(a, 3)
+    extent = _extent(spark, d)
     units = spark.createDataFrame([([k], u) for k, u in enumerate(_UNITS)], "at array<long>, v double")
     a = arrays.combined(a, units, "*", extent, extent[2:])
-    flat = arrays.reshaped(a, extent, (-1, extent[2]))
-    products = arrays.multiplied(arrays.permuted(flat, [1, 0]), flat, 2, 2)
+    products = arrays.gram(a, 3, extent[2])
     largest = arrays.reduced(products, 2, [0, 1]).select("at", F.col("max").alias("v"))
-    return _shown(arrays.multiplied(a, arrays.combined(products, largest, "/", (extent[2], extent[2]), ()), 3, 2), 3, 6)
+    return _shown(arrays.multiplied(a, arrays.combined(products, largest, "/", (extent[2], extent[2]), ()), 3, 2, (extent[2], extent[2])), 3, 6)

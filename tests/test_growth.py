@@ -115,3 +115,29 @@ def test_a_question_is_normalised_once(spark):
     near = rows.select(vector_search.cosine(F.col("v"), [4.0, 3.0]).alias("c"))
     assert "sqrt" not in near._jdf.queryExecution().analyzed().toString().lower()
     assert abs(near.first()["c"] - 0.96) < 1e-6
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_that_meet_a_small_array_stay_where_they_lie(spark):
+    """Three keys are no keys to deal cells by: the small array goes to them, and their sums are one row a place."""
+    x = np.random.default_rng(3).normal(size=(5, 3))
+    x[4, 1] = np.nan
+    rows = [([int(i), int(k)], float(v)) for (i, k), v in np.ndenumerate(x) if v == v]
+    a = spark.createDataFrame(rows, "at array<long>, v double")
+    b = spark.createDataFrame([([0, 0], 2.0), ([1, 0], 3.0), ([1, 1], -1.0), ([2, 2], None)], "at array<long>, v double")
+    units = spark.createDataFrame([([k], 2.0 * k) for k in range(3)], "at array<long>, v double")
+    dense = lambda df: sorted((r["at"], None if r["v"] is None else round(r["v"], 9)) for r in df.collect())
+    scaled = arrays.combined(a, units, "*", (5, 3), (3,))
+    assert "BroadcastHashJoin" in _plan(scaled) and "SortMergeJoin" not in _plan(scaled)
+    assert dense(scaled) == [(at, round(v * 2.0 * at[1], 9)) for at, v in sorted(rows)]
+    product = arrays.multiplied(a, b, 2, 2, (3, 3))
+    assert "SortMergeJoin" not in _plan(product) and dense(product) == dense(arrays.multiplied(a, b, 2, 2))
+    assert dense(product)[-1] == ([4, 2], None), "a null cell is there, and counts as nothing"
+    for last in (3, 3000):  # in a row, and by a join
+        pairs = arrays.gram(a, 2, last)
+        assert dense(pairs) == dense(arrays.multiplied(arrays.permuted(a, [1, 0]), a, 2, 2))
+    assert arrays.gram(a.filter("false"), 2, 3).isEmpty() and arrays.multiplied(a.filter("false"), b, 2, 2, (3, 3)).isEmpty()
+    assert arrays.reduced(a.filter("false"), 2, [0, 1]).isEmpty()
