@@ -17,9 +17,16 @@ QUERIES, ORACLE = query.queries, query.oracle
 _CELLS = "c AS (SELECT l_orderkey AS i, l_linenumber - 1 AS j, unnest([0, 1, 2]) AS k, unnest([sum(l_quantity), sum(l_extendedprice), sum(l_discount)])::DOUBLE AS v FROM lineitem GROUP BY l_orderkey, l_linenumber), n AS (SELECT max(i) + 1 AS ni, max(j) + 1 AS nj FROM c)"
 
 
+#: Lines of a task, about: tasks grow in number with the table, not in memory.
+LINES_AT_ONCE = 250_000
+
+
 def _figures(spark: SparkSession, d: str) -> DataFrame:
-    names = ["l_quantity", "l_extendedprice", "l_discount"]
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.sum(c).alias(c) for c in names))
+    """Lines are dealt by order: sums over what an order or a line has need no other shuffle."""
+    names, rows = ["l_quantity", "l_extendedprice", "l_discount"], table(spark, d, "lineitem")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // LINES_AT_ONCE))
+    dealt = rows.select("l_orderkey", "l_linenumber", *names).repartition(tasks, "l_orderkey")
+    lines = dealt.groupBy("l_orderkey", "l_linenumber").agg(*(F.sum(c).alias(c) for c in names))
     figures = F.array(*names)
     long = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("line"), F.posexplode(figures).alias("figure", "v"))
     return arrays.cells(long, [F.col("l_orderkey"), F.col("line"), F.col("figure")], F.col("v"))

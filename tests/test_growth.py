@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors
 from lodestone.operators import arrays, code_graph, embedding, ml, question_search, vector_search
-from lodestone.plans import fixtures, lineage
+from lodestone.plans import array_queries, fixtures, lineage
 
 
 def test_a_split_asks_once_which_features_a_node_may_use(spark):
@@ -141,3 +141,15 @@ def test_cells_that_meet_a_small_array_stay_where_they_lie(spark):
         assert dense(pairs) == dense(arrays.multiplied(arrays.permuted(a, [1, 0]), a, 2, 2))
     assert arrays.gram(a.filter("false"), 2, 3).isEmpty() and arrays.multiplied(a.filter("false"), b, 2, 2, (3, 3)).isEmpty()
     assert arrays.reduced(a.filter("false"), 2, [0, 1]).isEmpty()
+
+
+def test_reductions_group_where_rows_lie_in_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    """An order's lines lie in one task, tasks grow in number with the table, and no sum of an order is shuffled again."""
+    rows = spark.range(3000).select((F.col("id") / 3).cast("long").alias("l_orderkey"), (F.col("id") % 3 + 1).cast("int").alias("l_linenumber"), *(F.lit(1.0).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount")))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(array_queries, "LINES_AT_ONCE", 300, raising=False)
+    a = array_queries._figures(spark, str(tmp_path))
+    assert a.rdd.getNumPartitions() == 10
+    for over in ([1], [-1]):
+        assert _plan(arrays.reduced(a, 3, over)).count("Exchange") == 1
+    assert arrays.reduced(a, 3, [1]).filter("sum = 3 AND std = 0").count() == 3000
