@@ -3,6 +3,9 @@
 What asks for files reads the partitions of their names alone, and what changes files rewrites those alone (dynamic
 partition overwrite); all other partitions are neither read nor written.  Every change can be repeated: files that are
 stored are skipped, replaced files are replaced again, removed ones stay removed.
+
+A change deals rows by partition once, with the names that it is about among them, and writes them once: Spark stages an
+overwrite of partitions, and moves it in place when it is whole.
 """
 
 from __future__ import annotations
@@ -10,11 +13,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.plans.lineage import written
-
 ToChunks = Callable[[DataFrame], DataFrame]
 
 
@@ -60,9 +62,22 @@ class ChunkStore:
         return chunks.select(*(f"`{c}`" for c in self.columns), self._bucket(F.col("file")).alias("bucket"))
 
     def add(self, uploads: DataFrame, to_chunks: ToChunks) -> None:
-        """Store the chunks of ``uploads(file, ...)`` whose file is not stored; the others are not even cut."""
-        held = self._pruned(self._buckets(uploads)).select("file").distinct()
-        fresh = uploads.filter("file IS NOT NULL").join(held, "file", "left_anti")
+        """Store the chunks of ``uploads(file, ...)`` whose file is not stored; the others are not even cut.
+
+        Names are compared first; only partitions that have new files are looked at again, with all columns, and if they
+        have stored ones too.
+        """
+        known = uploads.filter("file IS NOT NULL")
+        names = known.select("file").distinct()
+        held = self._pruned(self._buckets(names)).select("file").distinct()
+        state = names.join(held.withColumn("__held", F.lit(True)), "file", "left").groupBy(self._bucket(F.col("file")).alias("b")).agg(F.count("__held").alias("held"), F.count("*").alias("n")).collect()
+        new = {r["b"] for r in state if r["held"] < r["n"]}
+        if not new:
+            return
+        fresh = known.filter(self._bucket(F.col("file")).isin(sorted(new)))
+        mixed = sorted(r["b"] for r in state if r["b"] in new and r["held"])
+        if mixed:
+            fresh = fresh.join(self._pruned(mixed).select("file").distinct(), "file", "left_anti")
         self._place(to_chunks(fresh)).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
 
     def replace(self, uploads: DataFrame, to_chunks: ToChunks) -> None:
@@ -75,10 +90,21 @@ class ChunkStore:
 
     def _rewrite(self, names: DataFrame, more: DataFrame | None) -> None:
         buckets = self._buckets(names)
-        rows = self._pruned(buckets).join(names, "file", "left_anti").select(*(f"`{c}`" for c in self.columns), "bucket")
-        rows = written(rows if more is None else rows.unionByName(more))  # whole before anything is overwritten
-        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
-        left = {r.bucket for r in rows.select("bucket").distinct().collect()}
-        for b in set(buckets) - left:  # a partition without rows is not overwritten: it goes
+        before = {b: self._files(b) for b in buckets}
+        rows = self._pruned(buckets).withColumn("__gone", F.lit(False))
+        gone = names.select("file", self._bucket(F.col("file")).alias("bucket"), F.lit(True).alias("__gone"))
+        rows = rows.unionByName(gone, allowMissingColumns=True)
+        if more is not None:
+            rows = rows.unionByName(more, allowMissingColumns=True)  # neither: not stored yet
+        # By partition, so that what is written needs no other shuffle: names meet their rows in a window there.
+        marked = rows.repartition("bucket").withColumn("__any", F.max("__gone").over(W.partitionBy("bucket", "file")))
+        left = marked.filter("__gone IS NULL OR NOT __any").drop("__gone", "__any")
+        left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        for b in buckets:  # a partition without rows is not overwritten: it goes
             path, fs = self._folder(f"bucket={b}")
-            fs.delete(path, True)
+            if before[b] and self._files(b) == before[b]:
+                fs.delete(path, True)
+
+    def _files(self, bucket: int) -> set[str]:
+        path, fs = self._folder(f"bucket={bucket}")
+        return {f.getPath().getName() for f in fs.listStatus(path)} if fs.exists(path) else set()

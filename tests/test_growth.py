@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors
 from lodestone.operators import arrays, code_graph, embedding, ml, question_search, vector_search
+from lodestone.operators.chunk_store import ChunkStore
 from lodestone.plans import array_queries, fixtures, lineage
 
 
@@ -153,3 +155,44 @@ def test_reductions_group_where_rows_lie_in_tasks_of_bounded_rows(spark, tmp_pat
     for over in ([1], [-1]):
         assert _plan(arrays.reduced(a, 3, over)).count("Exchange") == 1
     assert arrays.reduced(a, 3, [1]).filter("sum = 3 AND std = 0").count() == 3000
+
+
+def _moved(spark, do):
+    """Bytes that the tasks of ``do`` shuffle, and bytes that they write."""
+    context, group = spark.sparkContext, uuid.uuid4().hex
+    context.setJobGroup(group, group)
+    try:
+        do()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store, out = context.statusTracker(), context._jsc.sc().statusStore(), [0, 0]
+    for stage in {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}:
+        data = store.lastStageAttempt(stage)
+        out[0], out[1] = out[0] + data.shuffleWriteBytes(), out[1] + data.outputBytes()
+    return out
+
+
+def test_a_change_of_the_store_moves_its_rows_once(spark, tmp_path):
+    """Texts are not shuffled to find that their files are stored, and changed partitions are dealt and written once."""
+    texts = [(f"f{i}", "".join(hashlib.sha256(f"{i} {j}".encode()).hexdigest() for j in range(150))) for i in range(100)]
+    uploads = spark.createDataFrame(texts, "file string, text string").repartition(3).cache()
+    uploads.count()
+    size = sum(len(t) for _, t in texts)
+    store = ChunkStore(spark, str(tmp_path / "store"), "file string, text string", parts=4)
+    whole = lambda rows: rows.select("file", "text")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more names than are sent
+    try:
+        first, again = _moved(spark, lambda: store.add(uploads, whole)), _moved(spark, lambda: store.add(uploads, whole))
+        assert first[0] < 1.5 * size and again[0] < size / 10 and again[1] == 0
+        part = uploads.filter("file LIKE 'f1%'")
+        changed = _moved(spark, lambda: store.replace(part.withColumn("text", F.concat("text", F.lit("!"))), whole))
+        gone = _moved(spark, lambda: store.remove(uploads.filter("file LIKE 'f2%'")))
+        assert max(changed + gone) < 1.5 * size
+        more = spark.createDataFrame([("g", "new"), ("f3", "not stored again")], "file string, text string")
+        store.add(more, whole)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = [(f, t + "!" * f.startswith("f1")) for f, t in texts if not f.startswith("f2")] + [("g", "new")]
+    assert sorted((r.file, r.text) for r in store.chunks().collect()) == sorted(want)
