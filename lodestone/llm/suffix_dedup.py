@@ -52,6 +52,8 @@ CROWDED = 8192
 PARTITION_ANCHORS = 1 << 20
 #: Documents sampled for hot grams (a part of so many characters, where they are longer), and how many of them make a gram hot.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS, HOT_DOCUMENTS = 3000, 16_384, 8
+#: Hot grams that are sent to all tasks at most: those of the most documents. Others are found crowded, if they are.
+HOT_GRAMS = 1 << 20
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -267,20 +269,22 @@ def _batches(text: list[bytes], rest: list[int], span: int) -> Iterator[list[tup
 
 
 def _hot_grams(docs: DataFrame, gram: int, total: int) -> HotGrams:
-    """Hashes that HOT_DOCUMENTS or more of a bounded sample of documents hold."""
+    """Hashes that HOT_DOCUMENTS or more of a bounded sample of documents hold; HOT_GRAMS at most."""
     share = min(1.0, SAMPLE_DOCUMENTS / max(total, 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.unique(_gram_hashes(np.frombuffer(t, np.uint8), gram)) for b in batches for t in b.column(0).cast(pa.binary()).to_pylist()]
         if held:
             hashes, count = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[count >= HOT_DOCUMENTS].view(np.int64))], ["hash"])
+            hot = np.flatnonzero(count >= HOT_DOCUMENTS)
+            hot = hot[np.argsort(-count[hot], kind="stable")[:HOT_GRAMS]]
+            yield pa.RecordBatch.from_arrays([pa.array([hashes[hot].tobytes()], pa.binary())], ["hashes"])
 
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     part = docs.select("doc_id", F.substr("text", start, F.lit(SAMPLE_CHARS)).alias("text"))
     sampled = part.sample(share, 7) if share < 1 else part
-    found = sampled.select("text").limit(2 * SAMPLE_DOCUMENTS).repartition(1).mapInArrow(work, "hash long").collect()
-    return HotGrams(np.array([r["hash"] for r in found], np.int64).view(np.uint64))
+    found = sampled.select("text").limit(2 * SAMPLE_DOCUMENTS).repartition(1).mapInArrow(work, "hashes binary").collect()
+    return HotGrams(np.frombuffer(b"".join(r["hashes"] for r in found), np.uint64))
 
 
 def _shared_anchors(docs: DataFrame, span: int, gram: int, hot, n_bytes: int) -> DataFrame:
@@ -369,12 +373,21 @@ def _hot_blocks(docs: DataFrame, span: int, gram: int, hot) -> DataFrame:
     return map_rows(docs, work, "hash long, doc_id long, lo long, hi long, body binary")
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that sends neither side through the driver.
+
+    Spark goes by the size of files. Texts that share passages, their windows and spans are tens to hundreds of times as
+    large in rows, and they grow with the input.
+    """
+    return df.hint("merge")
+
+
 def _split_hot(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """First blocks of each text, for the index, and ``doc_id, lo, hi`` of all later ones."""
     rows = stored(rows)
     texts = rows.filter("body IS NOT NULL")
     firsts = stored(texts.groupBy("hash", "body").agg(F.min(F.struct("doc_id", "lo")).alias("at")))
-    later = texts.join(firsts, ["hash", "body"]).filter(F.struct("doc_id", "lo") > F.col("at"))
+    later = texts.join(_shuffled(firsts), ["hash", "body"]).filter(F.struct("doc_id", "lo") > F.col("at"))
     spans = rows.filter("body IS NULL").select("doc_id", "lo", "hi").unionByName(later.select("doc_id", "lo", "hi"))
     return firsts.select("hash", "at.doc_id", F.col("at.lo").alias("first"), "body"), spans
 
@@ -388,7 +401,7 @@ def _of_crowded(rows: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     windows = many.select("doc_id", "first", "body", starts).select("doc_id", (F.col("first") + F.col("s") - 1).alias("lo"), F.substring("body", F.col("s"), F.lit(span)).alias("text"))
     windows = windows.select("doc_id", "lo", F.sha2("text", 256).alias("text"))
     first = stored(windows.groupBy("text").agg(F.min(F.struct("doc_id", "lo")).alias("at"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    later = windows.join(first, "text").filter(F.struct("doc_id", "lo") > F.col("at"))
+    later = windows.join(_shuffled(first), "text").filter(F.struct("doc_id", "lo") > F.col("at"))
     return firsts.join(crowded, "hash", "left_anti"), spans.unionByName(later.select("doc_id", "lo", (F.col("lo") + span).alias("hi")))
 
 
@@ -400,7 +413,7 @@ def repeated_spans(df: DataFrame, span: int = SPAN, gram: int = GRAM, key: str =
     total, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     hot = spark.sparkContext.broadcast(_hot_grams(docs, gram, total))
     shared = _shared_anchors(docs, span, gram, hot, n_bytes)
-    found, more = _bodies(docs.join(shared, "doc_id"), span, gram, hot), None
+    found, more = _bodies(docs.join(_shuffled(shared), "doc_id"), span, gram, hot), None
     if len(hot.value.hashes):
         firsts, more = _split_hot(_hot_blocks(docs, span, gram, hot))
         found = found.unionByName(firsts)
@@ -434,7 +447,7 @@ def _kept(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
 
 def with_spans(df: DataFrame, span: int = SPAN) -> DataFrame:
     """``df`` with its document's ``__spans``, null where nothing repeats."""
-    return df.join(stored(repeated_spans(df, span)).withColumnRenamed("spans", "__spans"), "doc_id", "left")
+    return df.join(_shuffled(stored(repeated_spans(df, span)).withColumnRenamed("spans", "__spans")), "doc_id", "left")
 
 
 def remove_repeats(df: DataFrame, span: int = SPAN) -> DataFrame:

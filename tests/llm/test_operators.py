@@ -1,6 +1,7 @@
 """Each operator against brute force, and on null, empty, long, tied, repeated and clashing inputs."""
 
 import hashlib
+import re
 import struct
 import zlib
 from collections import defaultdict
@@ -10,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -297,6 +299,36 @@ def test_suffix_dedup_of_periodic_and_crowded_texts(spark, monkeypatch, crowded)
         assert r.kept_sha256 == hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
 
 
+def test_suffix_dedup_sends_no_texts_through_the_driver(spark, monkeypatch):
+    """Files say little of the size of texts, windows and spans as rows; only hashes may be broadcast."""
+    rows = [(i, chr(65 + i) + "a" * 150 + SHARED) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bodies = df.select(F.lit(1).cast("long").alias("hash"), "doc_id", F.lit(0).cast("long").alias("first"), F.col("text").cast("binary").alias("body"))
+    monkeypatch.setattr(suffix_dedup, "CROWDED", 1)
+    index, repeats = suffix_dedup._of_crowded(bodies, 100)
+    assert index.count() == 0 and {r.doc_id for r in repeats.collect()} == set(range(12))
+    _, later = suffix_dedup._split_hot(bodies.select("hash", "doc_id", F.col("first").alias("lo"), F.octet_length("body").cast("long").alias("hi"), "body"))
+    for found in (repeats, later, suffix_dedup.with_spans(df)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        assert all("bigint" in x for x in re.findall(r"BroadcastExchange [^\n]*", plan)), plan
+    want = _brute_spans(rows)
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df).collect()} == {i: int(g.sum()) for i, g in want.items()}
+
+
+def test_suffix_dedup_sends_a_bounded_number_of_hot_grams(spark, monkeypatch):
+    """Whatever the texts share; those in the most documents, and the others are found all the same."""
+    rows = [(i, SHARED + " " + (SHARED[::-1] if i % 2 else "") + str(i) * 120) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(suffix_dedup._hot_grams(df, 24, 40).hashes) > 50
+    monkeypatch.setattr(suffix_dedup, "HOT_GRAMS", 50)
+    some = suffix_dedup._hot_grams(df, 24, 40).hashes
+    first = suffix_dedup._gram_hashes(np.frombuffer((SHARED + " ").encode(), np.uint8), 24)
+    assert len(some) == 50 and set(some.tolist()) <= set(first.tolist())
+    want = _brute_spans(rows)
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df).collect()} == {i: int(g.sum()) for i, g in want.items()}
+
+
 def test_texts_of_several_megabytes(spark):
     """Beyond the size at which texts are read in parts: the same blocks, passages and bytes as of the whole."""
     rng = np.random.default_rng(11)
